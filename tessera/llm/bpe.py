@@ -10,10 +10,12 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,8 +198,62 @@ def merge_rounds(flat: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tupl
     return symbols[np.argsort(words, kind="stable")], np.bincount(words, minlength=n_words)
 
 
-def unknown(pieces: list[list[bytes]], known: dict) -> list[bytes]:
-    return list({x for p in pieces for x in p if x not in known})
+#: Where a text's pieces can't be cut at each space alone: a space and more white space, or what may be a special string.
+UNEVEN = r" [ \t\n\v\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+class PieceTable:
+    """The pieces of a column of texts: each distinct one once, and for every text the numbers of its pieces."""
+
+    def __init__(self, texts: pa.Array, vocab: Vocabulary):
+        texts = texts.fill_null("")
+        if vocab.folds:
+            lists = pc.ascii_split_whitespace(texts)
+        else:
+            lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        self.unique: list[bytes] = coded.dictionary.cast(pa.binary()).to_pylist()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        odd = pc.match_substring(texts, "<|")
+        if not vocab.folds:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, UNEVEN))
+            # A space begins every piece but a text's first.
+            first, self.unique = [], [b" " + x for x in self.unique]
+            for at in bounds[:-1].tolist():
+                first.append(self.unique[codes[at]][1:])
+            codes[bounds[:-1]] = len(self.unique) + np.arange(len(first))
+            self.unique += first
+        for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False))[::-1]:
+            own = vocab.pieces(texts[row].as_py())
+            codes = np.concatenate([codes[: bounds[row]], len(self.unique) + np.arange(len(own)), codes[bounds[row + 1] :]])
+            bounds[row + 1 :] += len(own) - (bounds[row + 1] - bounds[row])
+            self.unique += own
+        self.codes, self.bounds = codes, bounds
+
+    def sums(self, each: np.ndarray) -> np.ndarray:
+        """For each text the sum of a number that every distinct piece has."""
+        run = np.concatenate([[0], np.cumsum(each[self.codes])])
+        return run[self.bounds[1:]] - run[self.bounds[:-1]]
+
+    def gathered(self, packed: list[bytes], width: int = 4) -> tuple[bytes, list[int]]:
+        """The texts' packed pieces (of items of ``width`` bytes) one after another, and the bytes where each text ends, from 0."""
+        kind = np.dtype(f"<u{width}")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // width
+        pool, starts = np.frombuffer(b"".join(packed), kind), np.cumsum(sizes) - sizes
+        lens = sizes[self.codes]
+        ends = np.cumsum(lens)
+        at = np.repeat(starts[self.codes] - (ends - lens), lens) + np.arange(int(lens.sum()))
+        run = np.concatenate([[0], ends])
+        return pool[at].tobytes(), (width * run[self.bounds]).tolist()
+
+
+def parts(column: pa.Array, most: int = 8_000_000):
+    """Slices of a column of texts with about ``most`` bytes, one text at least."""
+    sizes = pc.binary_length(column).fill_null(0).to_pylist()
+    for part in chunks(sizes, most):
+        yield part, column.slice(part.start, part.stop - part.start)
 
 
 class Encoder:
@@ -213,12 +269,12 @@ class Encoder:
         for name, i in self.vocab.special.items():
             self.packed[name] = np.array([i], "<u4").tobytes()
 
-    def learn(self, pieces: list[list[bytes]]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Encodes the pieces that aren't remembered yet, all in one batch."""
-        new = unknown(pieces, self.packed)
+        new = [x for x in set(pieces) if x not in self.packed]
         if len(self.packed) + len(new) > CACHE_WORDS:
             self._reset()
-            new = unknown(pieces, self.packed)
+            new = [x for x in set(pieces) if x not in self.packed]
         if new:
             words = list(map(self.vocab.split, new))
             each = set().union(*words)
@@ -229,18 +285,21 @@ class Encoder:
             ids.update(zip(each, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             self.packed.update(zip(new, (ids[w[0]] if len(w) == 1 else b"".join(map(ids.__getitem__, w)) for w in words), strict=True))
 
+    def known(self, pieces: list[bytes]) -> list[bytes]:
+        self.learn(pieces)
+        return list(map(self.packed.__getitem__, pieces))
+
     def encode_batch(self, texts: list[str]):
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        for part in chunks([len(t) for t in texts]):
-            pieces = list(map(self.vocab.pieces, texts[part]))
-            self.learn(pieces)
-            for p in pieces:
-                yield b"".join(map(self.packed.__getitem__, p))
+        for _, part in parts(pa.array(texts, pa.string())):
+            table = PieceTable(part, self.vocab)
+            data, ends = table.gathered(self.known(table.unique))
+            yield from (data[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One for each worker and file: words seen in earlier batches stay known."""
+    """One for each worker and file: pieces seen in earlier batches stay known."""
     return Encoder(path)
 
 
@@ -249,6 +308,18 @@ def decode(packed: bytes, vocab: Vocabulary) -> str:
     return " ".join(map(vocab.names.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
+def encoded(column: pa.Array, known: Encoder):
+    """(slice, ids and decoded text of each text in it) for slices of the column."""
+    spaced = [f"{name} ".encode() for name in known.vocab.names]
+    for part, texts in parts(column):
+        table = PieceTable(texts, known.vocab)
+        packed = known.known(table.unique)
+        names = [b"".join(map(spaced.__getitem__, array("I", p))) for p in packed]
+        ids, ends = table.gathered(packed)
+        text, stops = table.gathered(names, 1)
+        yield part, [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)], [text[a : max(a, b - 1)] for a, b in zip(stops, stops[1:], strict=False)]
+
+
 def encode_documents(documents: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids binary, decoded string) for each row; ids are little-endian unsigned 32-bit integers.
 
@@ -260,11 +331,8 @@ def encode_documents(documents: DataFrame, path: str, text: str = "text", doc_id
     def run(batches):
         known = encoder(path)
         for batch in batches:
-            ids = batch.column(0)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in chunks([len(t) for t in texts]):
-                packed = list(known.encode_batch(texts[part]))
-                yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), pa.array(packed, pa.binary()), pa.array([decode(p, known.vocab) for p in packed], pa.string())], ["doc_id", "ids", "decoded"])
+            for part, ids, texts in encoded(batch.column(1), known):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
@@ -278,14 +346,9 @@ def encode_digests(documents: DataFrame, path: str, text: str = "text", doc_id:
     def run(batches):
         known = encoder(path)
         for batch in batches:
-            ids = batch.column(0)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in chunks([len(t) for t in texts]):
-                sizes, ids_sha, decoded_sha = [], [], []
-                for packed in known.encode_batch(texts[part]):
-                    sizes.append(len(packed) // 4)
-                    ids_sha.append(hashlib.sha256(packed).hexdigest())
-                    decoded_sha.append(hashlib.sha256(decode(packed, known.vocab).encode("utf-8")).hexdigest())
-                yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, ids, texts in encoded(batch.column(1), known):
+                sizes = [len(x) // 4 for x in ids]
+                shas = [pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()) for data in (ids, texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(sizes, pa.int64()), *shas], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

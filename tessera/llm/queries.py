@@ -46,7 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = revisits.resolve(revisits.captures(read_table(spark, sf_dir, "pages")))
     entries = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"])))
-    return out.select("record_id", "url_key", "status", "original_id", F.array_join(entries, "\n").alias("headers"))
+    return out.select("record_id", "url_key", "status", F.coalesce("original_id", F.lit(-1).cast("long")).alias("original_id"), F.coalesce(F.array_join(entries, "\n"), F.lit("")).alias("headers"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +95,10 @@ firsts AS (SELECT r.record_id, r.url_key, r.etag, r.since, r.page_id, max(struct
   FROM keyed r LEFT JOIN keyed f ON f.status = 200 AND f.url_key = r.url_key AND (f.ts < r.ts OR (f.ts = r.ts AND f.record_id < r.record_id))
   WHERE r.status = 304 GROUP BY ALL),
 judged AS (SELECT *, CASE WHEN f IS NULL OR f.record_id IS NULL THEN 'missing' WHEN CASE WHEN etag IS NOT NULL THEN etag <> f.etag ELSE since <> f.since END THEN 'mismatch' ELSE 'resolved' END AS status FROM firsts)
-SELECT record_id, url_key, status, CASE WHEN status = 'resolved' THEN f.record_id END AS original_id,
+SELECT record_id, url_key, status, CASE WHEN status = 'resolved' THEN f.record_id ELSE -1 END AS original_id,
   CASE WHEN status = 'resolved' THEN
     CASE WHEN etag IS NOT NULL THEN 'age: 1' || chr(10) ELSE '' END || 'content-length: ' || f.size || chr(10) || 'content-type: text/html' || chr(10)
-    || 'etag: ' || CASE WHEN etag IS NOT NULL THEN 'W/' || etag ELSE f.etag END || chr(10) || 'last-modified: ' || f.since || chr(10) || 'server: second' END AS headers
+    || 'etag: ' || CASE WHEN etag IS NOT NULL THEN 'W/' || etag ELSE f.etag END || chr(10) || 'last-modified: ' || f.since || chr(10) || 'server: second' ELSE '' END AS headers
 FROM judged
 """
 

@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import CACHE_WORDS, NO_RANK, Vocabulary, every_other, unknown, vocabulary
-from tessera.llm.common import chunks
+from tessera.llm.bpe import CACHE_WORDS, NO_RANK, PieceTable, Vocabulary, every_other, parts, vocabulary
 
 
 class Ragged:
@@ -69,11 +68,11 @@ class Counter:
         self.vocab = vocabulary(path)
         self.known: dict[bytes, int] = dict.fromkeys(self.vocab.special, 1)
 
-    def learn(self, pieces: list[list[bytes]]) -> None:
-        new = unknown(pieces, self.known)
+    def learn(self, pieces: list[bytes]) -> None:
+        new = [x for x in set(pieces) if x not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = dict.fromkeys(self.vocab.special, 1)
-            new = unknown(pieces, self.known)
+            new = [x for x in set(pieces) if x not in self.known]
         if new:
             words = list(map(self.vocab.split, new))
             each = set().union(*words)
@@ -83,10 +82,14 @@ class Counter:
                 counts.update(zip(each, surviving(*self.vocab.symbols(each), self.vocab).tolist(), strict=True))
             self.known.update(zip(new, (counts[w[0]] if len(w) == 1 else sum(map(counts.__getitem__, w)) for w in words), strict=True))
 
-    def count(self, texts: list[str]) -> list[int]:
-        pieces = list(map(self.vocab.pieces, texts))
-        self.learn(pieces)
-        return [sum(map(self.known.__getitem__, p)) for p in pieces]
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text of a column."""
+        out = [np.zeros(0, np.int64)]
+        for _, part in parts(texts):
+            table = PieceTable(part, self.vocab)
+            self.learn(table.unique)
+            out.append(table.sums(np.fromiter(map(self.known.__getitem__, table.unique), np.int64, len(table.unique))))
+        return np.concatenate(out)
 
 
 @lru_cache(maxsize=4)
@@ -105,11 +108,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 2048, text: str =
     def run(batches):
         counts = counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens: list[int] = []
-            for part in chunks([len(t) for t in texts]):
-                tokens += counts.count(texts[part])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts.count(batch.column(1)))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")))
