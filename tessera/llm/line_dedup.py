@@ -46,7 +46,9 @@ def templates(line: bytes) -> list[int]:
     if n < MIN_TOKENS:
         return []
     if DIGIT.search(line):
-        tokens = [b"<*>" if DIGIT.search(t) else t for t in tokens]
+        masked = [b"<*>" if DIGIT.search(t) else t for t in tokens]
+        # A line that is mostly variable fields would be like any other: it is taken as it is.
+        tokens = masked if 2 * masked.count(b"<*>") <= n else tokens
     leaf = b"%d %b\n" % (n, b" ".join(tokens[:LEADING]))
     rest = tokens[LEADING:]
     out = [xxhash.xxh64_intdigest(leaf + b" ".join(rest)) - (1 << 63)]

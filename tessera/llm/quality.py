@@ -91,7 +91,7 @@ def raw_counts(documents: DataFrame) -> np.ndarray:
 def weights_of(texts: list[str], ratio: np.ndarray, features: Features) -> tuple[np.ndarray, np.ndarray]:
     """Log importance weight of each text, and its number of n-grams."""
     buckets, text = features.of(texts)
-    return np.bincount(text, ratio[buckets], len(texts)), np.bincount(text, minlength=len(texts))
+    return np.bincount(text, ratio[buckets], len(texts)).astype(float), np.bincount(text, minlength=len(texts))
 
 
 def mean_weight(weight: np.ndarray, n: np.ndarray) -> np.ndarray:
