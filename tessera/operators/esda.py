@@ -75,6 +75,20 @@ def moran_bivariate(values: DataFrame, w: Weights, x: str = "x", y: str = "y") -
     return parts.crossJoin(m).select(safe(F.col("n") / F.col("s0") * F.col("num"), F.col("m2")).alias("I"), "n")
 
 
+def moran_bivariate_test(values: DataFrame, w: Weights, x: str, y: str, permutations: int = 99, seed: int = 0) -> DataFrame:
+    """One row: observed, p_value (two-sided by rank) with y reordered over the ids and x kept."""
+    c = _centred(values, x).select("id", F.col("z").alias("zx"), "n", "m2")
+    zy = _centred(values, y).select("id", F.col("z").alias("y"))
+    sims = zy.select(F.lit(-1).alias("rep"), "id", "y").unionAll(permuted(zy, permutations, seed))
+    s0 = w.edges.agg(F.sum("w").alias("s0"))
+    e = w.edges.join(c.withColumnRenamed("id", "i"), "i").join(sims.select("rep", F.col("id").alias("j"), F.col("y").alias("yj")), "j").crossJoin(F.broadcast(s0))
+    each = e.groupBy("rep").agg(F.sum(F.col("w") * F.col("zx") * F.col("yj") * F.col("n") / F.col("s0") / F.col("m2")).alias("s"))
+    seen = each.where("rep = -1").select(F.col("s").alias("observed"))
+    n = lambda k: F.sum(F.when(k, 1).otherwise(0))
+    counts = each.where("rep >= 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(n(F.col("s") >= F.col("observed") - 1e-12).alias("up"), n(F.col("s") <= F.col("observed") + 1e-12).alias("down"))
+    return counts.select("observed", p_values(F.col("observed"), F.col("up"), F.col("down"), permutations).alias("p_value"))
+
+
 def moran_difference(values: DataFrame, w: Weights, later: str, earlier: str) -> DataFrame:
     return moran(values.select("id", (F.col(later) - F.col(earlier)).alias("y")), w)
 
@@ -107,6 +121,7 @@ def join_counts(values: DataFrame, w: Weights) -> DataFrame:
 def permutation_test(values: DataFrame, w: Weights, statistic: str = "moran", permutations: int = 99, seed: int = 0) -> DataFrame:
     """One row: observed, mean_sim, p_compat (both tails by distance from 0) and p_value (two-sided by rank).
 
+    ``statistic`` is moran, geary, general_g, or a join count (BB, WW, BW).
     Every replicate is a group of one plan: y is reordered over the ids by a
     hash, and the statistic is summed by replicate.
     """
@@ -123,6 +138,11 @@ def permutation_test(values: DataFrame, w: Weights, statistic: str = "moran", pe
         term, scale = F.pow(F.col("yi") - F.col("yj"), 2), (F.col("n") - 1) / (2 * F.col("s0") * F.col("m2"))
     elif statistic == "general_g":
         term, scale = F.when(F.col("i") != F.col("j"), F.col("yi") * F.col("yj")).otherwise(0.0), 1 / (F.col("sy") * F.col("sy") - F.col("syy"))
+    elif statistic in ("BB", "WW", "BW"):
+        top = values.agg(F.max("y").alias("_top"))
+        e = e.where("i < j").crossJoin(F.broadcast(top)).withColumn("w", F.lit(1.0))
+        black = (F.col("yi") == F.col("_top")).cast("int") + (F.col("yj") == F.col("_top")).cast("int")
+        term, scale = (black == {"BB": 2, "WW": 0, "BW": 1}[statistic]).cast("double"), F.lit(1.0)
     else:
         raise ValueError(f"unknown statistic {statistic!r}")
     each = e.groupBy("rep").agg(F.sum(F.col("w") * term * scale).alias("s"))

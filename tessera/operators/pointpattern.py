@@ -370,7 +370,7 @@ def matern_inhibition(spark: SparkSession, window: Window, intensity: float, rad
 
 
 def envelope_l(pp: PointPattern, nsim: int = 39, r: list[float] | None = None, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(r, est, lo, hi, mad_p): L without edge correction against as many simulated patterns, in one plan."""
+    """(r, est, lo, hi, mad_p, dclf_p): L without edge correction against as many simulated patterns, in one plan."""
     r = r or default_r(pp.window, n=32)
     n, area = pp.events.count(), pp.window.area
     x0, _, x1, _ = pp.window.bounds
@@ -387,9 +387,12 @@ def envelope_l(pp: PointPattern, nsim: int = 39, r: list[float] | None = None, a
 
     run = F.sum(F.coalesce("c", F.lit(0))).over(Over.partitionBy("rep").orderBy("k").rowsBetween(Over.unboundedPreceding, 0))
     curve = grid_.join(steps, ["rep", "k"], "left").select("rep", "k", "r", F.sqrt(run * area / (n * (n - 1) * math.pi)).alias("l"))
-    dev = curve.groupBy("rep").agg(F.max(F.abs(F.col("l") - F.col("r"))).alias("m"))
-    real = dev.where("rep = -1").select(F.col("m").alias("real"))
-    p = dev.where("rep >= 0").crossJoin(real).agg(((F.sum(F.when(F.col("m") >= F.col("real"), 1).otherwise(0)) + 1) / (nsim + 1.0)).alias("mad_p"))
+    # Largest deviation from the theory, and its square summed over r.
+    gap_l = F.col("l") - F.col("r")
+    dev = curve.groupBy("rep").agg(F.max(F.abs(gap_l)).alias("m"), F.sum(gap_l * gap_l).alias("q"))
+    real = dev.where("rep = -1").select(F.col("m").alias("real_m"), F.col("q").alias("real_q"))
+    share = lambda c: (F.sum(F.when(F.col(c) >= F.col(f"real_{c}"), 1).otherwise(0)) + 1) / (nsim + 1.0)
+    p = dev.where("rep >= 0").crossJoin(real).agg(share("m").alias("mad_p"), share("q").alias("dclf_p"))
     band = curve.where("rep >= 0").groupBy("k", "r").agg(F.percentile("l", alpha / 2).alias("lo"), F.percentile("l", 1 - alpha / 2).alias("hi"))
     own = curve.where("rep = -1").select("k", F.col("l").alias("est"))
-    return band.join(own, "k").crossJoin(p).select("r", "est", "lo", "hi", "mad_p").orderBy("r")
+    return band.join(own, "k").crossJoin(p).select("r", "est", "lo", "hi", "mad_p", "dclf_p").orderBy("r")

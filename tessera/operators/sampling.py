@@ -311,6 +311,16 @@ def coverage(frame: DataFrame, sample: DataFrame) -> DataFrame:
     return spatial_balance(frame, sample).crossJoin(d).crossJoin(s)
 
 
+def compare_designs(frame: DataFrame, value: str, sizes: dict[str, int], reps: int = 100, seed: int = 0) -> DataFrame:
+    """(design, n, bias, rmse, coverage, deff): random samples of several sizes, deff against the first by mean squared error."""
+    rows = [evaluate_design(frame, value, n, reps, seed).select(F.lit(k).alias("design"), F.lit(n).alias("n"), "*") for k, n in sizes.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    first = rows[0].select(F.col("rmse").alias("_first"))
+    return out.crossJoin(F.broadcast(first)).withColumn("deff", F.pow(F.col("rmse") / F.col("_first"), 2)).drop("_first")
+
+
 def evaluate_design(frame: DataFrame, value: str, n: int, reps: int = 100, seed: int = 0) -> DataFrame:
     """One row: bias, rmse and coverage of simple random samples' means over replicates, all in one plan."""
     from tessera.plans.resample import replicates

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as Over
@@ -208,6 +209,36 @@ class Window:
         return F.greatest(F.lit(0.0), (x1 - x0) - F.abs(dx)) * F.greatest(F.lit(0.0), (y1 - y0) - F.abs(dy))
 
 
+def centroids(polygons: DataFrame) -> DataFrame:
+    """(id, x, y) of (id, ring array<struct<x, y>>): area centroids as Column expressions."""
+    closed = F.concat("ring", F.slice("ring", 1, 1))
+    cross = lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]
+    step = F.zip_with(F.slice(closed, 1, F.size("ring")), F.slice(closed, 2, F.size("ring")), lambda a, b: F.struct(cross(a, b).alias("c"), ((a["x"] + b["x"]) * cross(a, b)).alias("sx"), ((a["y"] + b["y"]) * cross(a, b)).alias("sy")))
+    total = lambda f: F.aggregate(F.transform(F.col("_s"), lambda v: v[f]), F.lit(0.0), lambda s, v: s + v)
+    area = F.when(total("c") != 0, 3 * total("c"))
+    return polygons.withColumn("_s", step).select("id", (total("sx") / area).alias("x"), (total("sy") / area).alias("y"))
+
+
+def representative_points(polygons: DataFrame) -> DataFrame:
+    """(id, x, y): a place inside each ring, the middle of the widest stretch halfway up."""
+
+    @F.pandas_udf("struct<x:double,y:double>")
+    def inside(rings: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_inside([(p["x"], p["y"]) for p in ring]) for ring in rings], columns=["x", "y"])
+
+    return polygons.select("id", inside("ring").alias("p")).select("id", "p.x", "p.y")
+
+
+def _inside(ring: list[tuple[float, float]]) -> tuple[float, float]:
+    ys = sorted({b for _, b in ring})
+    level = (ys[(len(ys) - 1) // 2] + ys[(len(ys) - 1) // 2 + 1]) / 2 if len(ys) > 1 else ys[0]
+    cuts = sorted(ax + (level - ay) * (bx - ax) / (by - ay) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True) if (ay > level) != (by > level))
+    if len(cuts) < 2:
+        return sum(a for a, _ in ring) / len(ring), level
+    lo, hi = max(zip(cuts[::2], cuts[1::2], strict=False), key=lambda p: p[1] - p[0])
+    return (lo + hi) / 2, level
+
+
 def grid(spark: SparkSession, window: Window, resolution: float | None = None, n_cells: int = 100) -> DataFrame:
     """(ix, iy, x, y) centres inside the window; the longest side has ``n_cells``."""
     x0, y0, x1, y1 = window.bounds

@@ -61,3 +61,29 @@ def test_settings(spark):
     assert config.get_options(spark)["spark.sql.shuffle.partitions"] == "3" and config.resolve_jobs(spark, 5) == 5
     config.set_options(spark, int(before))
     assert [len(r) for r in config.chunked(7, 3)] == [2, 2, 3]
+
+
+def test_points_of_polygons(spark):
+    from tessera.sources.frame import centroids, representative_points
+
+    corner = "array<struct<x:double,y:double>>"
+    shapes = spark.createDataFrame([(0, [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)]), (1, [(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (1.0, 1.0), (1.0, 3.0), (0.0, 3.0)])], f"id long, ring {corner}")
+    c = {r.id: (r.x, r.y) for r in centroids(shapes).collect()}
+    assert c[0] == pytest.approx((1.0, 0.5)) and c[1] == pytest.approx((1.1, 1.1))
+    p = {r.id: (r.x, r.y) for r in representative_points(shapes).collect()}
+    assert p[1][0] < 3 and (p[1][1] <= 1 or p[1][0] <= 1)
+
+
+def test_permutation_tests_and_comparisons(spark):
+    from tessera.operators import esda, kriging, sampling
+
+    d = datasets.lattice(spark, 6)
+    w = weights.lattice(d.select("id", "row", "col"))
+    bb = esda.permutation_test(d.select("id", F.col("binary").cast("double").alias("y")), w, "BB", 19).first()
+    assert bb.observed == esda.join_counts(d.select("id", F.col("binary").alias("y")), w).first().BB and bb.p_value <= 0.1
+    b = esda.moran_bivariate_test(d.withColumn("u", F.col("z") * 2), w, "z", "u", 19).first()
+    assert b.observed == pytest.approx(2 * esda.moran(d.select("id", F.col("z").alias("y")), w).first().I) and b.p_value <= 0.1
+    s = d.withColumn("c", F.sin("x"))
+    assert kriging.compare_methods(s, (0.01, 1.0, 3.0), 8).count() == 3
+    assert kriging.regression_kriging(s, s, ["c"], "gam", (0.0, 1.0, 3.0), 8).join(s, "id").where("abs(pred - z) > 1e-6").isEmpty()
+    assert sampling.compare_designs(s, "z", {"few": 5, "many": 20}, 20).where("design = 'many'").first().deff < 1
