@@ -74,31 +74,45 @@ def sketch(text: bytes) -> int:
 hash32 = xxhash.xxh32_intdigest
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """(template, sketch) rows, each document's every template once."""
+def _few(found: DataFrame, most: int):
+    """The templates as a broadcast set, or None if they are more than ``most``."""
+    if found.count() > most:
+        return None
+    names = np.sort(found.toArrow().column("template").to_numpy())
+    return found.sparkSession.sparkContext.broadcast(names)
+
+
+def _lines(documents: DataFrame, only=None) -> DataFrame:
+    """(template, sketch) rows, each document's every template once; of those in the broadcast ``only`` if it is given."""
 
     def run(batches):
+        wanted = None if only is None else set(only.value.tolist())
         for batch in batches:
             for part in chunks(sizes := batch.column(1).to_pylist(), 4_000_000):
                 texts = batch.column(0).slice(part.start, part.stop - part.start).to_pylist()
                 found, marks = [], []
                 for t in texts:
                     raw = t.encode("utf-8")
-                    own = list({h for line in set(raw.split(b"\n")) for h in templates(line)})
-                    found += own
-                    marks += [sketch(raw)] * len(own)
+                    own = {h for line in set(raw.split(b"\n")) for h in templates(line)}
+                    if wanted is not None:
+                        own &= wanted
+                    if own:
+                        found += own
+                        marks += [sketch(raw)] * len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(marks, pa.int64())], ["template", "sketch"])
 
     rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("n", F.length("text")).mapInArrow(run, "template long, sketch long")
 
 
-def recurring(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, most_broadcast: int = TEMPLATES_BROADCAST) -> DataFrame:
     """(template) that recur. Both counts combine on the map side: a line of every document is one row for each task."""
     rows = _lines(documents)
     ends = rows.groupBy("template").agg(F.count("*").alias("n"), F.min("sketch").alias("a"), F.max("sketch").alias("b"))
     maybe = cut(ends.where(F.col("n") >= min_docs).where("a != b").select("template"))
-    by_sketch = rows.join(maybe, "template", "left_semi").groupBy("template", "sketch").agg(F.count("*").alias("n"))
+    few = _few(maybe, most_broadcast)
+    again = rows.join(maybe, "template", "left_semi") if few is None else _lines(documents, few)
+    by_sketch = again.groupBy("template", "sketch").agg(F.count("*").alias("n"))
     total = by_sketch.groupBy("template").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     return cut(total.where(F.col("n") >= min_docs).where(2 * F.col("most") <= F.col("n")).select("template"))
 
@@ -107,9 +121,7 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 ADDED = ("n_lines", "n_dropped")
 
 
-def _by_broadcast(documents: DataFrame, found: DataFrame) -> DataFrame:
-    names = np.sort(found.toArrow().column("template").to_numpy())
-    shared = documents.sparkSession.sparkContext.broadcast(names)
+def _by_broadcast(documents: DataFrame, shared) -> DataFrame:
     at = documents.columns.index("text")
     schema = T.StructType([*documents.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ADDED)])
 
@@ -159,5 +171,6 @@ def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, most_broadcas
     n_lines or n_dropped. An empty table gives an empty table.
     """
     documents = documents.drop(*ADDED).withColumn("text", F.col("text").cast("string"))
-    found = recurring(documents, min_docs)
-    return (_by_broadcast if found.count() <= most_broadcast else _by_join)(documents, found)
+    found = recurring(documents, min_docs, most_broadcast)
+    shared = _few(found, most_broadcast)
+    return _by_join(documents, found) if shared is None else _by_broadcast(documents, shared)
