@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.bpe import BYTE_LEVEL, CACHE_WORDS, byte_letters, vocabulary
-from tessera.llm.common import chunks, cut
+from tessera.llm.bpe import BYTE_LEVEL, CACHE_WORDS, PieceTable, byte_letters, parts, vocabulary
+from tessera.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length and salt meet in one task: about so many.
@@ -47,9 +47,6 @@ class PieceIds(dict):
         packed = self[piece] = array("I", ids).tobytes()
         return packed
 
-    def pack(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.vocab.pieces(text)))
-
 
 @lru_cache(maxsize=4)
 def piece_ids(path: str) -> PieceIds:
@@ -121,11 +118,12 @@ def token_pieces(documents: DataFrame, path: str, cap: int = 1024, end_id: int =
     def run(batches):
         known = piece_ids(path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in chunks([len(t) for t in texts]):
-                rows = []
-                for doc, packed in zip(ids[part], map(known.pack, texts[part]), strict=True):
-                    packed += end
+            for part, texts in parts(batch.column(1)):
+                ids = batch.column(0).slice(part.start, part.stop - part.start).to_pylist()
+                table, rows = PieceTable(texts, known.vocab), []
+                data, ends = table.gathered(list(map(known.__getitem__, table.unique)))
+                for doc, lo, hi in zip(ids, ends, ends[1:], strict=False):
+                    packed = data[lo:hi] + end
                     n = len(packed) // 4
                     bounds = [0, *range(n % cap or cap, n + 1, cap)]
                     rows += [(doc, k, a, b - a, zlib.crc32(packed[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
