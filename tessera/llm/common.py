@@ -34,6 +34,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def slices(batches, rows: int = 512):
+    """The batches in runs of few rows: what Python holds of them at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(sizes: list[int], most: int = CHUNK_CHARS):
     """Slices of consecutive rows whose sizes sum to about ``most`` (one row at least)."""
     start = total = 0

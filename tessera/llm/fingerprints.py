@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, slices
 
 
 def canonical(text: str | None) -> bytes:
@@ -58,7 +58,7 @@ def fold(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     """(doc_id, folded binary) of each row; a null text folds as the empty one."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(canonical, batch.column(1).to_pylist()), pa.binary())], ["doc_id", "folded"])
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, folded binary")
@@ -69,15 +69,18 @@ AGAIN_BROADCAST = 200_000
 
 
 def _again_rows(documents: DataFrame, again: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(fingerprint, folded) of the documents whose digest is in ``again``; within a batch each pair once."""
+    """(fingerprint, folded) of the documents whose digest is in ``again``; a task gives each pair once while they are few enough to be broadcast."""
     few = again.limit(AGAIN_BROADCAST + 1).count() <= AGAIN_BROADCAST
     wanted = documents.sparkSession.sparkContext.broadcast({bytes.fromhex(r[0]) for r in again.collect()} if few else None)
 
     def run(batches):
-        for batch in batches:
+        sent = set()  # a digest and a cryptographic hash of the bytes: what this task has handed on already
+        for batch in slices(batches):
             pairs = {(xxhash.xxh3_128_digest(x), x) for x in batch.column(1).to_pylist()}
             if wanted.value is not None:
-                pairs = {p for p in pairs if p[0] in wanted.value}
+                named = {(d, hashlib.sha256(x).digest()): (d, x) for d, x in pairs if d in wanted.value}
+                pairs = {p for k, p in named.items() if k not in sent}
+                sent.update(named)
             names, texts = [d.hex() for d, _ in pairs], [x for _, x in pairs]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["fingerprint", "folded"])
 
@@ -110,7 +113,7 @@ def fingerprints(documents: DataFrame, text: str = "text", doc_id: str = "doc_id
     folded = fold(documents, text, doc_id)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             raw = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, raw), pa.string()), pa.array(map(key, raw), pa.int64())], ["doc_id", "fingerprint", "fingerprint_key"])
 
@@ -157,7 +160,7 @@ def edited_fingerprints(documents: DataFrame, text: str = "text", doc_id: str =
 
     def run(batches):
         last = part = None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, own, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last is None:
@@ -178,7 +181,7 @@ def edited_fingerprints(documents: DataFrame, text: str = "text", doc_id: str =
     ends = edge.where("kind = 2").join(after, "part").join(first, "at").select("doc_id", "text", "following")
 
     def run_ends(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_pylist([dict(zip(names[:8], row(*r), strict=True)) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)], schema=pa.schema(list(arrow)[:8]))
 
     out = done.where("kind = 0").select(names[:8]).unionAll(ends.mapInArrow(run_ends, EDITS))
