@@ -9,6 +9,8 @@ partitions' values within them, and what it finds is verified on all bits.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from fractions import Fraction
 from itertools import combinations
 from math import comb
 
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, slices
 from tessera.llm.graph import components
 
 #: A partition's value with more fingerprints than this is linked through their neighbours, not pair by pair.
@@ -268,137 +270,279 @@ def near_duplicates(documents: DataFrame, width: int = 3, most: int = 2, text: s
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Longs of the fingerprint of distinct words, by which candidates are found, and of five-word shingles, by which they are judged.
-FIND, JUDGE = 5, 4
-#: Bits of the former that make up a partition, and partitions.
-PART_BITS = 20
-#: Rows before it in its bucket's order that a row is held against.
-REACH = 8
+#: Partitions beyond those a pair may differ in, by share and number: the signatures with the fewest shingles are then left out.
+SPARE, SPARE_LEAST = 0.3, 6
+#: Longs of a set's parity bitmap.
+PARITY = 16
+#: Sets of a crowded signature that are compared at once.
+BLOCK = 1024
+#: Keys handed to every task (8 bytes each) up to this number; beyond it rows are joined to them.
+KEYS_BROADCAST = 2_000_000
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def most_bits(similarity: float, slack: float = 1.5) -> int:
-    """Differing bits, of those that judge, up to which two texts pass: what the similarity makes expect, and ``slack`` standard deviations."""
-    n = 64 * JUDGE
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(n * share + slack * (n * share * (1 - share)) ** 0.5)
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M2
+    return x ^ (x >> np.uint64(29))
 
 
-class Wide(dict):
-    """Fingerprints of several longs; as a dict, the packed hashes of the words seen lately."""
+class Words(dict):
+    """Hashes of the words seen lately."""
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        packed = self[word] = b"".join(xxhash.xxh64_digest(word, seed) for seed in range(FIND))
-        return packed
-
-    @staticmethod
-    def _majority(raw: np.ndarray) -> np.ndarray:
-        """Of rows of bytes: one row, each bit as most rows have it."""
-        ones = np.zeros(8 * raw.shape[1], np.int64)
-        for a in range(0, len(raw), 1 << 14):
-            ones += np.unpackbits(raw[a : a + (1 << 14)], axis=1).sum(0, dtype=np.int64)
-        return np.packbits(2 * ones > len(raw))
-
-    def of(self, text: str | None, width: int) -> bytes:
-        words = (text or "").encode("utf-8").lower().split()
-        if not words:
-            return bytes(8 * (FIND + JUDGE))
-        find = self._majority(np.frombuffer(b"".join(map(self.__getitem__, set(words))), np.uint8).reshape(-1, 8 * FIND))
-        one = np.frombuffer(b"".join(self[w][:8] for w in words), "<u8")
-        n = max(1, len(one) - width + 1)
-        mixed = np.zeros(n, np.uint64)
-        for j in range(min(width, len(one))):
-            mixed = (mixed ^ one[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(31)
-        each = np.stack([(x := (mixed ^ np.uint64(k * 0x5851F42D4C957F2D & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)) ^ (x >> np.uint64(29)) for k in range(1, JUDGE + 1)], 1)
-        each *= np.uint64(0x94D049BB133111EB)
-        each ^= each >> np.uint64(32)
-        return find.tobytes() + self._majority(np.ascontiguousarray(each).view(np.uint8)).tobytes()
-
-
-def wide_fingerprints(documents: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, wide binary) for each row."""
+        hashed = self[word] = xxhash.xxh64_intdigest(word)
+        return hashed
 
-    def run(batches):
-        wide = Wide()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide.of(t, width) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "wide"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, wide binary")
+def shingle_set(text: str | None, width: int, known: dict) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word shingles; of all words if they are fewer."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(one) - width + 1)
+    mixed = np.zeros(n, np.uint64)
+    for j in range(min(width, len(one))):
+        mixed = (mixed ^ one[j : j + n]) * _M1
+        mixed ^= mixed >> np.uint64(31)
+    return np.unique(mix(mixed))
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap with a bit flipped by each hash: two sets' bitmaps differ in no more bits than the sets do in members."""
+    at = (mix(s * _M1) >> np.uint64(40)).astype(np.int64) % (64 * PARITY)
+    return np.packbits(np.bincount(at, minlength=64 * PARITY) & 1).tobytes()
+
+
+class Signatures:
+    """Signatures of sets such that sets of Jaccard similarity ``similarity`` or more share one.
+
+    Sizes are in classes so wide that such a pair lies in one or two next to each
+    other; a set gives signatures for its class and the next. There, the pair
+    differs in at most ``most`` members, so that of ``parts`` ranges of the hash
+    all but ``most`` hold the same members in both. Ordered alike for all sets,
+    here by members held and their hash, the first ``most`` + 1 of either set have
+    one in common (prefix filter).
+    """
 
+    def __init__(self, similarity: float):
+        t = Fraction(str(similarity))
+        self.p, self.q = t.numerator, t.denominator
+        self.bounds, self.parts = [1], {}
+
+    def most(self, total):
+        """Members in which a pair of ``total`` members together may differ."""
+        return total * (self.q - self.p) // (self.q + self.p)
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return self.q * both >= self.p * (len(a) + len(b) - both)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return s
+        while len(self.bounds) < 3 or self.bounds[-2] <= len(s):
+            self.bounds.append(self.bounds[-1] * self.q // self.p + 1)
+        own = bisect_right(self.bounds, len(s)) - 1
+        cum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s * _M2), dtype=np.uint64)))
+        out = []
+        for c in (own, own + 1):
+            if c not in self.parts:
+                most = self.most(2 * (self.bounds[c + 1] - 1))
+                parts = int(most * (1 + SPARE)) + SPARE_LEAST
+                self.parts[c] = most, np.array([(k << 64) // parts for k in range(1, parts)], np.uint64), mix(np.arange(1, parts + 1, dtype=np.uint64) * _M1 + np.uint64(c))
+            most, edges, salt = self.parts[c]
+            if not most:  # equal sets only, which have one key
+                continue
+            at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
+            held = np.diff(at)
+            sig = mix((np.diff(cum[at]) ^ salt) * _M1)
+            # Empty ranges come last: they are given only where fewer than most + 1 others are held.
+            out.append(sig[np.lexsort((sig, -held))[: most + 1]])
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_sets(documents: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, key, n, bits, members) for each row; key is a hash of the set, members its hashes sorted."""
 
-def similar_links(distinct: DataFrame, most: int) -> DataFrame:
-    """(u, v) edges between rows (key, wide) that agree on a partition and differ in up to ``most`` of the bits that judge.
+    def run(batches):
+        known = Words()
+        for batch in slices(batches):
+            sets = [shingle_set(t, width, known) for t in batch.column(1).to_pylist()]
+            raw = [s.tobytes() for s in sets]
+            keys = pa.array([signed(xxhash.xxh64_intdigest(r)) for r in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), pa.array(map(parity, sets), pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "key", "n", "bits", "members"])
 
-    Rows are sorted by range of partition, value and fingerprint, and each is
-    held against the ``REACH`` rows before it in its bucket: in buckets of up
-    to ``REACH`` + 1 that is every pair, in larger ones those most alike, in
-    another order in each of the partitions. The work is linear whatever the
-    buckets' sizes. From row ``REACH`` of a bucket on, a row is linked to the
-    nearest before it that passes only.
-    """
-    parts = 64 * FIND // PART_BITS
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, n int, bits binary, members binary")
+
+
+def buckets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(sig, key, prev, size) of the signatures that several keys have; prev is the key before it in the bucket."""
 
     def spread(batches):
-        for batch in batches:
-            keys, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            wide = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-            bits = np.unpackbits(wide[:, : 8 * FIND], axis=1)
-            for p in range(parts):
-                value = bits[:, p * PART_BITS : (p + 1) * PART_BITS].astype(np.int64) @ (1 << np.arange(PART_BITS))
-                turn = p * 8 * FIND // parts
-                order = np.concatenate([wide[:, turn : 8 * FIND], wide[:, :turn], wide[:, 8 * FIND :]], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), p, np.int32)), pa.array(value), pa.array(map(bytes, order), pa.binary()), pa.array(keys)], ["part", "val", "turned", "key"])
-
-    rows = distinct.select("key", "wide").mapInArrow(spread, "part int, val long, turned binary, key long")
-    rows = rows.repartitionByRange("part", "val", "turned").sortWithinPartitions("part", "val", "turned")
+        signatures = Signatures(similarity)
+        for batch in slices(batches):
+            found = [signatures.of(np.frombuffer(m, np.uint64)) for m in batch.column(1).to_pylist()]
+            keys = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys)], ["sig", "key"])
 
     def sweep(batches):
-        kept = None
+        last = np.zeros((2, 0), np.int64)  # rows of the bucket that the next batch may go on with
+        for batch in _and_end(batches):
+            rows = last if batch is None else np.concatenate([last, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], 1)
+            if batch is not None:
+                end = np.searchsorted(rows[0], rows[0, -1]) if rows.shape[1] else 0
+                rows, last = rows[:, :end], rows[:, end:]
+            if not rows.shape[1]:
+                continue
+            again = np.concatenate(([False], (rows[:, 1:] == rows[:, :-1]).all(0)))
+            sig, key = rows[:, ~again]
+            begins = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            size = np.diff(np.append(begins, len(sig)))
+            prev = np.concatenate(([0], key[:-1]))
+            first = np.zeros(len(sig), bool)
+            first[begins] = True
+            size = np.repeat(size, size)
+            some = size > 1
+            yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(key[some]), pa.array(prev[some], mask=first[some]), pa.array(size[some])], ["sig", "key", "prev", "size"])
+
+    rows = sets.select("key", "members").mapInArrow(spread, "sig long, key long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(sweep, "sig long, key long, prev long, size long")
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _having(rows: DataFrame, keys: DataFrame, most_broadcast: int = KEYS_BROADCAST) -> DataFrame:
+    """``rows`` whose key (the first column) is among ``keys`` (key, each once)."""
+    if keys.count() > most_broadcast:
+        return rows.join(keys, "key", "left_semi")
+    some = rows.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()))
+
+    def run(batches):
+        wanted = some.value
         for batch in batches:
-            bucket = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
-            keys = batch.column(3).to_numpy()
-            judge = np.frombuffer(b"".join(x[8 * FIND :] for x in batch.column(2).to_pylist()), np.uint64).reshape(-1, JUDGE)
-            place = np.zeros(len(keys), np.int64)
-            if kept is not None:
-                bucket, keys, judge, place = (np.concatenate(x) for x in zip(kept, (bucket, keys, judge, place), strict=True))
-            old = 0 if kept is None else len(kept[0])
-            at = np.arange(len(bucket))
-            begins = np.concatenate(([True], bucket[1:] != bucket[:-1]))
-            begins[:old] = False
-            begins[0] = True
-            begun = np.maximum.accumulate(np.where(begins, at, 0))
-            place = at - begun + np.where(begun < old, place[begun], 0)
-            linked = np.zeros(len(keys), bool)
-            us, vs = [], []
-            for back in range(1, REACH + 1):
-                if back >= len(keys):
-                    break
-                same = bucket[back:] == bucket[:-back]
-                same[: max(0, old - back)] = False
-                apart = np.bitwise_count(judge[back:] ^ judge[:-back]).sum(1)
-                passed = same & (apart <= most) & ~(linked[back:] & (place[back:] >= REACH))
-                linked[back:] |= passed
-                us.append(keys[back:][passed])
-                vs.append(keys[:-back][passed])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-            kept = tuple(x[-REACH:] for x in (bucket, keys, judge, place))
+            if len(wanted):
+                key = batch.column(0).to_numpy()
+                yield batch.filter(pa.array(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` whose sets have Jaccard similarity ``similarity`` or more."""
+
+    def run(batches):
+        alike = Signatures(similarity).alike
+        for batch in slices(batches):
+            a, b = ([np.frombuffer(m, np.uint64) for m in batch.column(c).to_pylist()] for c in (2, 3))
+            yield batch.select(["u", "v"]).filter(pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
-    return rows.mapInArrow(sweep, "u long, v long").distinct()
+    keys = cut(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
+    members = _having(sets.select("key", "members"), keys)
+    left, right = members.toDF("u", "a"), members.toDF("v", "b")
+    return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+
+def open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, best: bool, block: int = BLOCK) -> DataFrame:
+    """(u, v) pairs that share a signature, lie in different components and aren't told apart by their bitmaps.
+
+    Every pair of a bucket that is still in several components is compared, in
+    blocks of about ``block`` by ``block`` of its sets; ``best`` keeps each set's
+    closest pair of a block only.
+    """
+    rooted = members.select("sig", "key").join(roots, members["key"] == roots["node"], "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
+    rooted = cut(rooted)
+    still = rooted.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("sig", "size")
+    rows = cut(rooted.join(still, "sig"))
+    keys = cut(rows.select("key").distinct())
+    rows = rows.join(_having(sets.select("key", "n", "bits"), keys), "key")
+    # Block i of a bucket meets every block j: in cell (least, greatest) both are present.
+    sides = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("key"), sides).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "n", "bits")
+
+    def compare(batches):
+        most = Signatures(similarity).most
+        for table in _cells(batches):
+            own, key, root, n = (table.column(c).to_numpy() for c in ("own", "key", "root", "n"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY)
+            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            us, vs, ds = [], [], []
+            for x in left:
+                y = right[(root[right] != root[x]) & ((key[right] < key[x]) | (i != j))]
+                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
+                ok = apart <= most(n[y].astype(np.int64) + int(n[x]))
+                y, apart = y[ok], apart[ok]
+                if best and len(y):
+                    y, apart = y[[apart.argmin()]], apart[[apart.argmin()]]
+                us.append(np.full(len(y), key[x]))
+                vs.append(key[y])
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    cells = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return cells.mapInArrow(compare, "u long, v long").distinct()
+
+
+def _cells(batches):
+    """Tables of the consecutive rows that have equal sig, i and j."""
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+        begins = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(begins, begins[1:], strict=False):
+            name = tuple(names[:, a].tolist())
+            if held and name != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = name
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) edges, each verified, whose components are those of all pairs (key) of Jaccard similarity ``similarity`` or more.
+
+    A set is first held against the neighbour with which it shares most
+    signatures, which makes one component of most groups of copies. Then all
+    pairs that share a signature and are still apart are compared, the closest
+    before the rest, so that a crowd of copies isn't paired off in full.
+    """
+    members = cut(buckets(sets, similarity))
+    shared = members.where("prev is not null").groupBy("key", "prev").agg(F.count("*").alias("n"))
+    near = cut(shared.groupBy("key").agg(F.max(F.struct("n", "prev")).alias("top")).select(F.col("key").alias("u"), F.col("top.prev").alias("v")))
+    found = verified(near, sets, similarity)
+    for best in (True, False):
+        left = cut(open_pairs(members, cut(components(found)), sets, similarity, best))
+        if left.isEmpty():
+            break
+        found = found.unionAll(verified(left, sets, similarity))
+    return found
 
 
 def text_near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row: groups of texts whose ``width``-word shingles are alike.
 
-    Two texts are linked if their SimHashes of ``width``-word shingles are as
-    close as a Jaccard similarity of ``similarity`` makes expect; candidates
-    agree on one of the partitions of a SimHash of their distinct words, which
-    such texts share almost whole. Texts without words are alike. Nulls,
-    repeated rows and empty tables are treated as in ``near_duplicates``.
+    Two texts are linked just if the Jaccard similarity of their sets of
+    ``width``-word shingles is ``similarity`` or more: candidates come from
+    signatures that such texts are bound to share, and each link is verified on
+    the sets. Texts without words are alike. Nulls, repeated rows and empty
+    tables are treated as in ``near_duplicates``.
     """
-    rows = cut(wide_fingerprints(documents, width).withColumn("key", F.xxhash64("wide")))
-    distinct = rows.groupBy("key").agg(F.first("wide").alias("wide"))
-    links = similar_links(distinct, most_bits(similarity))
-    return component_ids(rows.select("doc_id", "key"), links, "key").select("doc_id", "component_id")
+    rows = cut(shingle_sets(documents, width).withColumn("row", F.monotonically_increasing_id()))
+    again = cut(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("row").alias("first")).where("copies > 1").select("key", "first"))
+    again = F.broadcast(again) if again.count() <= KEYS_BROADCAST else again
+    sets = rows.join(again, "key", "left").where("first is null or row = first").select("key", "n", "bits", "members")
+    return component_ids(rows.select("doc_id", "key"), similar_links(sets, similarity), "key").select("doc_id", "component_id")

@@ -113,6 +113,49 @@ def test_a_crowd_of_near_copies_is_one_group(spark):
     assert got.where("component_id = 0").count() >= 396
 
 
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def plain_groups(texts):
+    sets = [five_words(t) for t in texts]
+    return groups(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+
+
+def grouped(spark, texts, parts=3):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+    return [r.component_id for r in simhash.text_near_duplicates(rows).orderBy("doc_id").collect()]
+
+
+def test_block_edits_are_grouped_as_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for k in range(160):
+        n = int(rng.integers(8, 600))
+        base, block = rng.choice(words, n).tolist(), rng.choice(words, n).tolist()
+        share = rng.uniform(0.02, 0.3)
+        edited = base + block[: round(share * n)] if k % 2 else base[: round((1 - share / 2) * n)] + block[: round(share / 2 * n)]
+        texts += [" ".join(base), " ".join(edited)]
+    want = plain_groups(texts)
+    assert 60 < sum(want[i] != i for i in range(len(want))) < 140
+    assert grouped(spark, texts) == want
+
+
+def test_signatures_of_alike_sets_meet():
+    rng = np.random.default_rng(12)
+    signatures = simhash.Signatures(0.8)
+    for n in [*range(4, 60), 100, 333, 1000, 5000]:
+        for _ in range(20):
+            union = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+            lost = rng.permutation(len(union))[: len(union) // 5]
+            cut = int(rng.integers(0, len(lost) + 1))
+            a, b = np.delete(union, lost[:cut]), np.delete(union, lost[cut:])
+            assert signatures.alike(a, b)
+            assert np.array_equal(a, b) or len(np.intersect1d(signatures.of(a), signatures.of(b)))
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(500, 500)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
