@@ -156,6 +156,36 @@ def test_signatures_of_alike_sets_meet():
             assert np.array_equal(a, b) or len(np.intersect1d(signatures.of(a), signatures.of(b)))
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_crowds_are_grouped_as_by_brute_force(spark, parts):
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choice(words, 200).tolist()
+    texts = [" ".join(base)]
+    for _ in range(300):  # each alike to the base, few to each other
+        text = list(base)
+        at = int(rng.integers(0, 185))
+        text[at : at + 14] = rng.choice(words, 14).tolist()
+        texts.append(" ".join(text))
+    passage = rng.choice(words, 150).tolist()
+    texts += [" ".join(passage + rng.choice(words, int(rng.integers(20, 60))).tolist()) for _ in range(150)]  # unlike, about one passage
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = grouped(spark, texts, parts)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == plain_groups(texts)
+
+
+def test_blocks_of_a_crowd_meet(spark):
+    rng = np.random.default_rng(14)
+    base = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:350], rng.integers(0, 1 << 62, 10).astype(np.uint64)])) for _ in range(30)]
+    frame = spark.createDataFrame([(k, len(s), simhash.parity(s), s.tobytes()) for k, s in enumerate(sets)], "key long, n int, bits binary, members binary")
+    members = spark.createDataFrame([(1, k) for k in range(30)], "sig long, key long")
+    roots = spark.createDataFrame([], "node long, root long")
+    got = {(r.u, r.v) for r in simhash.open_pairs(members, roots, frame, 0.8, False, block=4).collect()}
+    assert got == {(a, b) for a in range(30) for b in range(a)}
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(500, 500)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
