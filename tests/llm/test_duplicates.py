@@ -186,6 +186,18 @@ def test_blocks_of_a_crowd_meet(spark):
     assert got == {(a, b) for a in range(30) for b in range(a)}
 
 
+def test_pairs_below_the_similarity_stay_apart(spark):
+    texts = []
+    for k in range(80):
+        base = [f"{k}w{i}" for i in range(304)]  # 300 shingles
+        edited = base + [f"{k}x{i}" for i in range(75 + k % 2)]  # 300 of 375 or 376 shingles: 0.8 or just below
+        texts += [" ".join(base), " ".join(edited)]
+        if k % 4 == 0:  # a passage over and over: sets count, not repeats
+            texts += [" ".join(base + base[:40] * 9)]
+    want = plain_groups(texts)
+    assert grouped(spark, texts) == want
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(500, 500)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
