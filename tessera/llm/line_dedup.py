@@ -9,9 +9,11 @@ order in which lines arrive. Lines with a template that recurs across documents
 are dropped.
 
 Copies and near copies of a document share all their lines without these being
-boilerplate. A template recurs, therefore, if at least ``min_docs`` documents
-hold it and no more than half of them have the same sketch, the least hash of a
-document's three-word shingles.
+boilerplate. A template recurs, therefore, if documents that are no copies of
+each other hold it, however many copies there are of either: if some holder is
+unlike the holder of the least text hash. Two holders are alike if enough of the
+least hashes of their three-word shingles, those of the line itself left out,
+are common to both.
 """
 
 from __future__ import annotations
@@ -33,7 +35,13 @@ MIN_TOKENS = 4
 #: From this length on blocks of tokens may vary.
 BLOCK_TOKENS = 12
 BLOCKS = 4
-MIN_DOCS = 3
+MIN_DOCS = 2
+#: Least hashes of the rest of a document by which copies are told, and how many of them copies have in common at least.
+SKETCH, COMMON = 16, 5
+#: Bytes of the two sizes before a sketch's hashes.
+SIZES = 16
+#: Templates of more holders are held against their reference by broadcast.
+CROWD = 1_000
 #: Recurring templates handed to every worker (8 bytes each) up to this number; beyond it lines are joined to them.
 TEMPLATES_BROADCAST = 2_000_000
 DIGIT = re.compile(rb"\d")
@@ -61,14 +69,55 @@ def templates(line: bytes) -> list[int]:
     return out
 
 
-def sketch(text: bytes) -> int:
-    """Least hash of the three-word shingles, by sums of word hashes."""
-    words = text.split()
-    if len(words) < 3:
-        return xxhash.xxh64_intdigest(text) - (1 << 63)
-    one = np.fromiter(map(hash32, words), np.uint64, len(words))
-    mixed = (one[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ one[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ one[2:] * np.uint64(0x165667B19E3779F9)) * np.uint64(0x9E3779B97F4A7C15)
-    return int((mixed ^ (mixed >> np.uint64(29))).min()) - (1 << 63)
+def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lines' three-word shingles by sums of word hashes, sorted, and the line of each; a shorter line's words are one shingle."""
+    words = [line.split() for line in lines]
+    n = np.array([len(w) for w in words], np.int64)
+    one = np.fromiter((hash32(x) for w in words for x in w), np.uint64, int(n.sum()))
+    owner = np.repeat(np.arange(len(lines)), n)
+    pad = np.zeros(2, np.uint64)
+    same = lambda k: np.concatenate((owner[k:] == owner[:-k], np.zeros(min(k, len(owner)), bool)))
+    ahead, second = np.concatenate((one, pad)), same(1) if len(one) > 1 else np.zeros(len(one), bool)
+    third = same(2) if len(one) > 2 else np.zeros(len(one), bool)
+    begins = np.concatenate(([True], owner[1:] != owner[:-1]))[: len(one)]
+    mixed = one * np.uint64(0x9E3779B97F4A7C15) ^ np.where(second, ahead[1:-1], 0) * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.where(third, ahead[2:], 0) * np.uint64(0x165667B19E3779F9)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    some = third | (begins & ~third)
+    mixed, owner = mixed[some], owner[some]
+    order = np.argsort(mixed, kind="stable")
+    return mixed[order], owner[order]
+
+
+def rest_sketch(hashes: np.ndarray, owner: np.ndarray, out: set[int]) -> bytes:
+    """Shingles in the lines in ``out`` and in the others, and the ``SKETCH`` least distinct hashes of the others without any that those in ``out`` hold."""
+    inside, few = int(np.isin(owner, list(out)).sum()), 4 * SKETCH
+    sizes = np.array([inside, len(owner) - inside], np.uint64).tobytes()
+    while True:
+        mine = np.isin(owner[:few], list(out))
+        gone = hashes[:few][mine]
+        # Equal hashes stand side by side, so that all but the last here are known whole.
+        kept = hashes[:few][~mine]
+        kept = np.unique(kept[~np.isin(kept, gone)])
+        if len(hashes) > few:
+            kept = kept[kept < hashes[few]]
+        if len(kept) >= SKETCH or few >= len(hashes):
+            return sizes + kept[:SKETCH].tobytes()
+        few *= 4
+
+
+def alike(a: bytes, b: bytes) -> bool:
+    """Whether two rests are those of copies: of the least hashes of both, as many as ``COMMON`` of ``SKETCH`` are in each.
+
+    So are documents that are near copies by the line alone, four fifths of all they hold.
+    """
+    (inside, rest), (other_inside, other_rest) = (np.frombuffer(x, np.uint64, 2).tolist() for x in (a, b))
+    if 5 * min(inside, other_inside) >= 4 * (max(inside, other_inside) + rest + other_rest):
+        return True
+    a, b = np.frombuffer(a, np.uint64)[2:], np.frombuffer(b, np.uint64)[2:]
+    least = np.union1d(a, b)[:SKETCH]
+    both = np.isin(least, a) & np.isin(least, b)
+    return SKETCH * int(both.sum()) >= COMMON * len(least)
 
 
 hash32 = xxhash.xxh32_intdigest
@@ -78,43 +127,88 @@ def _few(found: DataFrame, most: int):
     """The templates as a broadcast set, or None if they are more than ``most``."""
     if found.count() > most:
         return None
-    names = np.sort(found.toArrow().column("template").to_numpy())
+    names = np.sort(found.select("template").toArrow().column("template").to_numpy())
     return found.sparkSession.sparkContext.broadcast(names)
 
 
-def _lines(documents: DataFrame, only=None) -> DataFrame:
-    """(template, sketch) rows, each document's every template once; of those in the broadcast ``only`` if it is given."""
+def _rows(documents: DataFrame, run, schema: str) -> DataFrame:
+    rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("n", F.length("text")).mapInArrow(run, schema)
+
+
+def _texts(batches):
+    for batch in batches:
+        for part in chunks(batch.column(1).to_pylist(), 4_000_000):
+            yield [t.encode("utf-8") for t in batch.column(0).slice(part.start, part.stop - part.start).to_pylist()]
+
+
+def _lines(documents: DataFrame) -> DataFrame:
+    """(template, text) rows, each document's every template once; text is a hash of the whole text."""
 
     def run(batches):
-        wanted = None if only is None else set(only.value.tolist())
-        for batch in batches:
-            for part in chunks(sizes := batch.column(1).to_pylist(), 4_000_000):
-                texts = batch.column(0).slice(part.start, part.stop - part.start).to_pylist()
-                found, marks = [], []
-                for t in texts:
-                    raw = t.encode("utf-8")
-                    own = {h for line in set(raw.split(b"\n")) for h in templates(line)}
-                    if wanted is not None:
-                        own &= wanted
-                    if own:
-                        found += own
-                        marks += [sketch(raw)] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(marks, pa.int64())], ["template", "sketch"])
+        for texts in _texts(batches):
+            found, marks = [], []
+            for raw in texts:
+                own = {h for line in set(raw.split(b"\n")) for h in templates(line)}
+                found += own
+                marks += [xxhash.xxh64_intdigest(raw) - (1 << 63)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(marks, pa.int64())], ["template", "text"])
 
-    rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("n", F.length("text")).mapInArrow(run, "template long, sketch long")
+    return _rows(documents, run, "template long, text long")
+
+
+def _rests(documents: DataFrame, only=None) -> DataFrame:
+    """(template, text, rest) rows, rest the sketch of the document without the lines of the template; of those in the broadcast ``only`` if it is given."""
+
+    def run(batches):
+        wanted = None if only is None else set(only.value.tolist())
+        for texts in _texts(batches):
+            found, marks, rests = [], [], []
+            for raw in texts:
+                lines = list(dict.fromkeys(raw.split(b"\n")))
+                own: dict[int, set[int]] = {}
+                for k, line in enumerate(lines):
+                    for h in templates(line):
+                        if wanted is None or h in wanted:
+                            own.setdefault(h, set()).add(k)
+                if own:
+                    hashes, owner = shingles(lines)
+                    known: dict = {}
+                    for h, out in own.items():
+                        name = tuple(out)
+                        if name not in known:
+                            known[name] = rest_sketch(hashes, owner, out)
+                        rests.append(known[name])
+                    found += own
+                    marks += [xxhash.xxh64_intdigest(raw) - (1 << 63)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(marks, pa.int64()), pa.array(rests, pa.binary())], ["template", "text", "rest"])
+
+    return _rows(documents, run, "template long, text long, rest binary")
 
 
 def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, most_broadcast: int = TEMPLATES_BROADCAST) -> DataFrame:
-    """(template) that recur. Both counts combine on the map side: a line of every document is one row for each task."""
-    rows = _lines(documents)
-    ends = rows.groupBy("template").agg(F.count("*").alias("n"), F.min("sketch").alias("a"), F.max("sketch").alias("b"))
+    """(template) that recur: of ``min_docs`` documents or more, some of them no copies of each other."""
+
+    def unlike(batches):
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield batch.select(["template"]).filter(pa.array([not alike(a, b) for a, b in pairs], pa.bool_()))
+
+    # Counts combine on the map side: a line of every document is one row for each task.
+    ends = _lines(documents).groupBy("template").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b"))
     maybe = cut(ends.where(F.col("n") >= min_docs).where("a != b").select("template"))
     few = _few(maybe, most_broadcast)
-    again = rows.join(maybe, "template", "left_semi") if few is None else _lines(documents, few)
-    by_sketch = again.groupBy("template", "sketch").agg(F.count("*").alias("n"))
-    total = by_sketch.groupBy("template").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    return cut(total.where(F.col("n") >= min_docs).where(2 * F.col("most") <= F.col("n")).select("template"))
+    rows = _rests(documents, few)
+    # A document that is nothing but the line doesn't tell whether others are its copies.
+    rows = cut((rows if few is not None else rows.join(maybe, "template", "left_semi")).where(F.length("rest") > SIZES))
+    firsts = cut(rows.groupBy("template").agg(F.count("*").alias("n"), F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").where(F.col("n") >= min_docs))
+    crowds = F.broadcast(firsts.where(F.col("n") > CROWD))
+    quiet = rows.join(firsts.where(F.col("n") <= CROWD), "template")
+    crowded = rows.join(crowds, "template")
+    refs, crowd_refs = (x.where("text = first").groupBy("template").agg(F.first("rest").alias("ref")) for x in (quiet, crowded))
+    pairs = quiet.where("text != first").join(refs, "template").select("template", "rest", "ref")
+    pairs = pairs.unionAll(crowded.where("text != first").join(F.broadcast(crowd_refs), "template").select("template", "rest", "ref"))
+    return cut(pairs.mapInArrow(unlike, "template long").distinct())
 
 
 #: Columns that the result adds; input columns of these names give way.
@@ -166,7 +260,7 @@ def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, most_broadcas
 
     A null text stays null (no lines) and an empty one empty (one line); a text
     whose every line goes becomes empty. Repeated rows count as documents but,
-    having one sketch, don't make their lines recur; each is returned. Other
+    being copies, don't make their lines recur; each is returned. Other
     columns, null doc_ids among them, are carried, but for input columns named
     n_lines or n_dropped. An empty table gives an empty table.
     """

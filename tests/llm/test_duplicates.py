@@ -283,6 +283,20 @@ def test_recurring_lines_go_and_copies_stay(lined, most):
         assert (got[i].n_lines, got[i].n_dropped) == (len(lines), len(lines) - len(want))
 
 
+def test_a_passage_of_unlike_documents_recurs_whatever_its_share(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 7)) for i in range(4000)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    passages = [prose(100) for _ in range(20)]
+    rows = [f"{prose(40)}\n{p}\n{prose(40)}" for p in passages for _ in range(12)]
+    shared = prose(20)
+    heavy = [f"{prose(100)}\n{shared}" for _ in range(5)]
+    rows += heavy + [heavy[0].replace(heavy[0].split()[k], f"z{k}") for k in range(50)]  # most holders are near copies of one
+    got = [r.text for r in line_dedup.drop_recurring(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[:240] == ["\n".join(t.split("\n")[::2]) for t in rows[:240]]
+    assert got[240:] == [t.split("\n")[0] for t in rows[240:]]
+
+
 def test_lines_of_odd_rows(odd, empty):
     rows = line_dedup.drop_recurring(odd).collect()
     assert len(rows) == len(ODD)
