@@ -297,6 +297,17 @@ def test_a_passage_of_unlike_documents_recurs_whatever_its_share(spark):
     assert got[240:] == [t.split("\n")[0] for t in rows[240:]]
 
 
+def test_a_line_of_two_unlike_documents_recurs(spark):
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 9000, n))
+    passage, copied = prose(60), f"{prose(90)}\n{prose(30)}"
+    rows = [f"{prose(80)}\n{passage}", f"{passage}\n{prose(50)}", copied, copied.replace(copied.split()[4], "other")]
+    rows += [prose(20), prose(20)]
+    rows[5] = f"{rows[4]}\n{rows[5]}"  # nothing but a line that another holds
+    got = [r.text for r in line_dedup.drop_recurring(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [rows[0].split("\n")[0], rows[1].split("\n")[1], *rows[2:]]
+
+
 def test_lines_of_odd_rows(odd, empty):
     rows = line_dedup.drop_recurring(odd).collect()
     assert len(rows) == len(ODD)
