@@ -219,6 +219,29 @@ def test_regions_are_contiguous(spark):
         assert 0 < cluster.evaluate_regions(d, ["z"], regions).first().r2 < 1
 
 
+def test_scan_looks_for_clusters_in_all_windows(spark):
+    # Area 5's best window reaches a better cluster; a smaller one of its windows is the fourth.
+    cases = [39.0, 54.0, 30.0, 36.0, 58.0, 44.0, 38.0, 33.0, 34.0, 56.0]
+    d = spark.createDataFrame([(i, float(i * i * 0.01 + i), 0.0, c, 10.0) for i, c in enumerate(cases)], "id long, x double, y double, O double, E double")
+    clusters, members = cluster.scan(d, replications=3, n_clusters=10)
+    got = [(r.center, r.n_areas, round(r.llr, 9)) for r in clusters.orderBy("rank").collect()]
+    x = [i * i * 0.01 + i for i in range(10)]
+    order = [sorted(range(10), key=lambda j: (abs(x[j] - x[i]), j)) for i in range(10)]
+    every = []
+    for i in range(10):
+        for n in range(1, 11):
+            c, e = sum(cases[j] for j in order[i][:n]), 10.0 * n
+            if e <= 50 and c >= 2 and c / e > (422 - c) / (100 - e):
+                rest = 422 - c
+                every.append((-(c * np.log(c / e) + (rest * np.log(rest / (100 - e)) if rest else 0)), i, n))
+    want, taken = [], set()
+    for llr, i, n in sorted(every):
+        if -llr > 0 and not taken & set(order[i][:n]):
+            want.append((i, n, round(-llr, 9)))
+            taken |= set(order[i][:n])
+    assert got == want and len(want) == 4
+
+
 def test_scan_finds_a_planted_cluster(spark):
     d = lattice(spark).select("id", "x", "y", F.lit(10.0).alias("E"), F.when((F.col("row") < 2) & (F.col("col") < 2), 30.0).otherwise(8.0).alias("O"))
     clusters, members = cluster.scan(d, replications=19, max_neighbors=12)
