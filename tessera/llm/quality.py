@@ -2,19 +2,20 @@
 
 Two generative models over hashed word n-grams are estimated: one of target
 texts (a sample of rows labelled good) and one of the raw collection (counts
-over every document). A document's log importance weight is its log likelihood
-ratio under the two. Documents are drawn without replacement in proportion to
-their weights by Gumbel top-k: noise is added to the log weights and the k
-largest sums stay. How many to draw is counted over all documents: those whose
-weight passes the cut that best parts the labelled rows.
+over every document). Documents differ in length, so each is weighed as a chunk
+of ``CHUNK`` of its n-grams is: the log importance weight is ``CHUNK`` times its
+mean log likelihood ratio under the two models. Documents are drawn without
+replacement in proportion to their weights by Gumbel top-k: standard Gumbel
+noise is added to the log weights and the k largest sums stay. k is a share of
+all rows; no cut of the weights is fitted to labels.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import chunks, cut, held_out
 
 BUCKETS = 1 << 16
-#: Labelled rows read for the target model, and as many for the cut, at most.
+#: Labelled rows that the target model counts, at most.
 MOST_ROWS = 6_000
 #: Counts added to every bucket of either model.
 SMOOTHING = 1.0
-GOOD_COST = 5
+#: n-grams that a document is weighed by, and those without any ratio that are added to shrink the weights of short texts.
+CHUNK, SHRINK = 50, 5.0
+#: Divides the log weights before the noise is added: 1 draws in proportion to the weights.
+TEMPERATURE = 1.0
 MOST_WORDS = 300_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -63,13 +67,6 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-@dataclass
-class Model:
-    ratio: np.ndarray
-    cut: float
-    fraction: float
-
-
 def raw_counts(documents: DataFrame) -> np.ndarray:
     """n-grams of each bucket over all documents; a row for each bucket and task is shuffled, one for each bucket collected."""
 
@@ -89,72 +86,51 @@ def raw_counts(documents: DataFrame) -> np.ndarray:
 
 
 def weights_of(texts: list[str], ratio: np.ndarray, features: Features) -> tuple[np.ndarray, np.ndarray]:
-    """Log importance weight of each text, and its number of n-grams."""
+    """Sum of the log ratios of each text's n-grams, and their number."""
     buckets, text = features.of(texts)
     return np.bincount(text, ratio[buckets], len(texts)).astype(float), np.bincount(text, minlength=len(texts))
 
 
-def mean_weight(weight: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The weight for one n-gram, shrunk to none in texts of few."""
-    return weight / (n + 5.0)
-
-
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The cut of least cost, midway between the weights beside it; a good text lost costs as much as GOOD_COST bad ones kept (in rates)."""
-    if len(good) == 0 or good.min() == good.max():
-        return -np.inf
-    order = np.argsort(weights)
-    w, g = weights[order], good[order]
-    lost = np.concatenate([[0], np.cumsum(g)]) / g.sum()
-    passed = np.concatenate([[0], np.cumsum(1 - g)]) / (1 - g).sum()
-    cost = GOOD_COST * lost + 1 - passed
-    best = np.flatnonzero(cost <= cost.min() + 1e-12)
-    i = int(best[len(best) // 2])
-    if i == 0:
-        return float(w[0])
-    if i == len(w):
-        return float(w[-1])
-    return float((w[i - 1] + w[i]) / 2)
-
-
-def labelled(documents: DataFrame, labels: DataFrame, good: int, most_rows: int) -> list[str]:
-    """Texts of at most ``most_rows`` rows with this label, the first by a hash of doc_id, outside the held-out third."""
-    known = labels.where(F.col("quality") == good).where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
+def log_weight(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log importance weight of a chunk of texts whose ``n`` n-grams sum up to ``total``."""
+    return CHUNK * total / (n + SHRINK)
+
+
+def train(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> np.ndarray:
+    """The models' log ratio; zeros, so that all weigh the same, without rows labelled good.
+
+    The target model counts at most ``most_rows`` rows labelled good outside the
+    held-out third, the first by a hash of doc_id; texts stay in the tasks.
+    """
+    known = labels.where("quality = 1").where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    return rows.orderBy("doc_id").toArrow().column("text").to_pylist()
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    target = raw_counts(rows)
+    return log_ratio(target, raw_counts(documents)) if target.any() else np.zeros(BUCKETS)
 
 
-def train(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """The models' log ratio and the cut; without rows of both labels every document passes."""
-    features = Features()
-    good, bad = labelled(documents, labels, 1, most_rows), labelled(documents, labels, 0, most_rows)
-    target = np.zeros(BUCKETS)
-    # The target model learns from every other good text; the cut is set on the rest.
-    learn, rest = good[::2], good[1::2]
-    for part in chunks([len(t) for t in learn]):
-        target += np.bincount(features.of(learn[part])[0], minlength=BUCKETS)
-    ratio = log_ratio(target, raw_counts(documents)) if good else np.zeros(BUCKETS)
-    found = [mean_weight(*weights_of((rest + bad)[p], ratio, features)) for p in chunks([len(t) for t in rest + bad])]
-    where = best_cut(np.concatenate(found) if found else np.zeros(0), np.array([1] * len(rest) + [0] * len(bad)))
-    return Model(ratio, where, 0.0)
+def good_share(labels: DataFrame) -> float:
+    """Share of good rows among those labelled outside the held-out third, and two standard errors, so that k errs towards keeping; 1 without any."""
+    known = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id")))
+    n, good = known.agg(F.count("*"), F.sum("quality")).first()
+    return min(1.0, good / n + 2 * math.sqrt(good * (n - good) / n) / n) if n else 1.0
 
 
-def weigh(documents: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """(doc_id, weight, n_grams, mean) for each row, over its whole text; ``columns`` of ``documents`` besides."""
-    shared = documents.sparkSession.sparkContext.broadcast(model.ratio)
+def weigh(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """(doc_id, ratio, n_grams, log_weight) for each row, over its whole text; ratio is the sum over its n-grams."""
+    shared = documents.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
         features = Features()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in chunks([len(t) for t in texts]):
-                weight, n = weights_of(texts[part], shared.value, features)
-                size = part.stop - part.start
-                yield pa.RecordBatch.from_arrays([*(c.slice(part.start, size) for c in batch.columns[:2]), pa.array(weight), pa.array(n.astype(np.int64)), pa.array(mean_weight(weight, n))], ["doc_id", "text", "weight", "n_grams", "mean"])
+                total, n = weights_of(texts[part], shared.value, features)
+                ids = batch.column(0).slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(total), pa.array(n.astype(np.int64)), pa.array(log_weight(total, n))], ["doc_id", "ratio", "n_grams", "log_weight"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, weight double, n_grams long, mean double")
+    return rows.mapInArrow(run, "doc_id long, ratio double, n_grams long, log_weight double")
 
 
 def gumbel(seed: int, *columns: str):
@@ -183,27 +159,29 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def resample(weighted: DataFrame, k: int, temperature: float = 0.01, seed: int = 11) -> DataFrame:
-    """``weighted`` (as of ``weigh``, without text) with ``gumbel_key`` and ``kept``: the k largest keys.
+def resample(weighted: DataFrame, k: int, temperature: float = TEMPERATURE, seed: int = 11) -> DataFrame:
+    """``weighted`` (as of ``weigh``) with ``gumbel_key`` and ``kept``: the k largest keys.
 
-    The key is mean / temperature plus Gumbel noise. Rows with equal keys, as
-    repeated rows have, stay or go together, so a few more than k may stay.
+    The key is log_weight / temperature plus standard Gumbel noise. Rows with
+    equal keys, as repeated rows have, stay or go together, so a few more than
+    k may stay.
     """
-    keyed = cut(weighted.withColumn("gumbel_key", F.col("mean") / temperature + gumbel(seed, "doc_id", "n_grams", "weight")))
+    keyed = cut(weighted.withColumn("gumbel_key", F.col("log_weight") / temperature + gumbel(seed, "doc_id", "n_grams", "ratio")))
     if k <= 0 or keyed.isEmpty():
         return keyed.withColumn("kept", F.lit(False))
     return keyed.withColumn("kept", F.col("gumbel_key") >= kth_largest(keyed, "gumbel_key", k))
 
 
-def classify(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(doc_id, held_out, weight, n_grams, mean, gumbel_key, kept) for each row.
+def classify(documents: DataFrame, labels: DataFrame, share: float | None = None, most_rows: int = MOST_ROWS, seed: int = 11) -> DataFrame:
+    """(doc_id, held_out, ratio, n_grams, log_weight, gumbel_key, kept) for each row.
 
-    As many documents are drawn as pass the cut. A null or empty text has no
-    n-grams and weight 0. Repeated rows stay repeated and share their fate, a
-    null doc_id is carried, other columns are not read, an empty table gives
-    an empty table.
+    ``share`` of the rows are drawn, by default the share of good rows among the
+    labelled ones. A null or empty text has no n-grams and log weight 0.
+    Repeated rows stay repeated and share their fate, a null doc_id is carried,
+    other columns are not read, an empty table gives an empty table. Without
+    labelled rows all are kept.
     """
-    model = train(documents, labels, most_rows)
-    weighted = cut(weigh(documents, model).drop("text"))
-    k = weighted.where(F.col("mean") >= model.cut).count()
-    return resample(weighted, k).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "weight", "n_grams", "mean", "gumbel_key", "kept")
+    weighted = weigh(documents, train(documents, labels, most_rows))
+    k = math.ceil((good_share(labels) if share is None else share) * documents.count())
+    out = resample(weighted, k, seed=seed).withColumn("held_out", held_out(F.col("doc_id")))
+    return out.select("doc_id", "held_out", "ratio", "n_grams", "log_weight", "gumbel_key", "kept")

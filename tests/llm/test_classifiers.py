@@ -73,15 +73,69 @@ def test_good_documents_are_drawn_and_bad_ones_not(tables, sampled):
     labels = tables[1].toPandas().merge(sampled, on="doc_id")
     rest = labels[labels.held_out]
     assert rest.kept[rest.quality == 1].mean() >= 0.98
-    assert rest.kept[rest.quality == 0].mean() <= 0.05
+    # About as many as are good: then it is the bad that stay out.
+    fewer = quality.classify(*tables, share=0.87).toPandas().merge(labels[["doc_id", "quality"]], on="doc_id")
+    rest = fewer[fewer.held_out]
+    assert rest.kept[rest.quality == 1].mean() >= 0.97
+    assert rest.kept[rest.quality == 0].mean() <= 0.1
+
+
+def test_the_share_is_that_of_good_rows(spark, tables, sampled):
+    known = [r.quality for r in tables[1].where(~held_out(F.col("doc_id"))).collect()]
+    p, n = np.mean(known), len(known)
+    assert quality.good_share(tables[1]) == pytest.approx(p + 2 * math.sqrt(p * (1 - p) / n))
+    assert sampled.kept.sum() >= math.ceil(quality.good_share(tables[1]) * len(sampled))
+    assert quality.good_share(tables[1].limit(0)) == 1.0
+
+
+def test_weights_and_keys_are_those_of_plain_python(tables, sampled, documents_by_id):
+    """Both models counted n-gram by n-gram, the key rebuilt from its parts, the draw by sorting."""
+    labels = tables[1].where("quality = 1").where(~held_out(F.col("doc_id"))).collect()
+    features = quality.Features()
+    counts = lambda texts: np.bincount(np.concatenate([features.of([t])[0] for t in texts]), minlength=quality.BUCKETS) + quality.SMOOTHING
+    target, raw = counts([documents_by_id[r.doc_id] for r in labels]), counts(documents_by_id.values())
+    log_ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    for row in sampled.sample(60, random_state=1).itertuples():
+        buckets = features.of([documents_by_id[row.doc_id]])[0]
+        assert row.n_grams == len(buckets)
+        assert row.log_weight == pytest.approx(quality.CHUNK * log_ratio[buckets].sum() / (len(buckets) + quality.SHRINK), abs=1e-6)
+        assert -4 < row.gumbel_key - row.log_weight < 30
+    k = math.ceil(quality.good_share(tables[1]) * len(sampled))
+    assert sampled.kept.equals(sampled.gumbel_key >= np.sort(sampled.gumbel_key)[::-1][k - 1])
 
 
-def test_draws_are_the_largest_keys(sampled):
-    k = int(sampled.kept.sum())
-    assert sampled.gumbel_key[sampled.kept].min() >= np.sort(sampled.gumbel_key)[::-1][k - 1]
-    row = sampled.iloc[0]
-    noise = row.gumbel_key - row["mean"] / 0.01
-    assert -4 < noise < 30
+@pytest.fixture(scope="module")
+def documents_by_id(tables):
+    return {r.doc_id: r.text or "" for r in tables[0].collect()}
+
+
+def test_noise_draws_other_rows_than_a_threshold(tables):
+    """With half of the good rows wanted, many that a threshold would take stay out."""
+    rows = quality.classify(*tables, share=0.4).toPandas()
+    cut = np.sort(rows.log_weight)[::-1][int(rows.kept.sum()) - 1]
+    assert 0.05 <= (rows.kept != (rows.log_weight >= cut)).mean() <= 0.6
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Over many seeds a row is drawn as often as in sampling without replacement in proportion to the weights."""
+    weights = np.array([0.0] * 20 + [1.0] * 20 + [2.0] * 20)
+    rows = spark.createDataFrame([(i, float(w), i, float(w)) for i, w in enumerate(weights)], "doc_id long, ratio double, n_grams long, log_weight double").cache()
+    seeds = 30
+    keys = [rows.withColumn("gumbel_key", F.col("log_weight") + quality.gumbel(s, "doc_id", "n_grams", "ratio")).select("doc_id", F.lit(s).alias("seed"), "gumbel_key") for s in range(seeds)]
+    every = keys[0]
+    for one in keys[1:]:
+        every = every.unionAll(one)
+    frame = every.toPandas()
+    drawn = np.zeros(60)
+    for _, one in frame.groupby("seed"):
+        drawn[one.nlargest(12, "gumbel_key").doc_id] += 1
+    got = drawn.reshape(3, 20).mean(1) / seeds
+    rng, plain = np.random.default_rng(4), np.zeros(60)
+    for _ in range(4000):
+        plain[rng.choice(60, 12, replace=False, p=np.exp(weights) / np.exp(weights).sum())] += 1
+    assert np.abs(got - plain.reshape(3, 20).mean(1) / 4000).max() < 0.05
+    one = quality.resample(rows, 12, seed=3).toPandas()
+    assert set(one.doc_id[one.kept]) == set(frame[frame.seed == 3].nlargest(12, "gumbel_key").doc_id)
 
 
 def test_kth_largest_by_bins(spark):
@@ -108,5 +162,5 @@ def test_quality_of_odd_rows(odd, empty, tables):
     rows = quality.classify(odd, tables[1].limit(0)).collect()
     assert len(rows) == len(ODD) and all(r.kept for r in rows)
     by = {r.doc_id: r for r in rows}
-    assert (by[3].weight, by[3].n_grams, by[4].weight, by[5].n_grams) == (0.0, 0, 0.0, 0)
+    assert (by[3].log_weight, by[3].n_grams, by[4].log_weight, by[5].n_grams) == (0.0, 0, 0.0, 0)
     assert quality.classify(empty, tables[1]).count() == 0
