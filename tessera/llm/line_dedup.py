@@ -1,12 +1,14 @@
 """Line dedup with a log-template tree.
 
 A line's tokens that hold digits are variable fields. The tree has a fixed
-depth: the number of tokens, then the leading tokens. In a leaf a line's
-templates are its other tokens whole and, for lines long enough, with each of
-four blocks of them taken as one variable field; two lines with a template in
-common agree in all tokens but those of one block, so nothing depends on the
-order in which lines arrive. Lines with a template that recurs across documents
-are dropped.
+depth: the number of tokens, then the leading tokens. Lines of a leaf belong
+together where they agree in most other tokens. These are cut into a few blocks,
+and a line's templates are its tokens whole and with any two blocks taken as
+variable (one token in short lines): whatever two fields of two lines differ,
+they have a template in common, and nothing depends on the order in which lines
+arrive. Lines with a template that recurs across documents are dropped. What says
+less needs more holders: a template with variable blocks, or a line of a word or
+two.
 
 Copies and near copies of a document share all their lines without these being
 boilerplate. A template recurs, therefore, if documents that are no copies of
@@ -18,24 +20,26 @@ are common to both.
 
 from __future__ import annotations
 
-import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import chunks, cut
+from tessera.llm.common import cut
 
 LEADING = 2
-#: Shorter lines are kept, as headings and lists repeat without being boilerplate.
-MIN_TOKENS = 4
-#: From this length on blocks of tokens may vary.
-BLOCK_TOKENS = 12
-BLOCKS = 4
-MIN_DOCS = 2
+#: (from tokens, to tokens, blocks, blocks that vary): from half to four fifths of a line's tokens stay fixed.
+VARYING = ((5, 8, 5, 1), (8, 24, 5, 2), (24, 1 << 62, 4, 2))
+#: Documents that hold a template that recurs, at least: of whole lines, of those with variable blocks, of short lines.
+MIN_DOCS, VARIED_DOCS, SHORT_DOCS = 2, 5, 20
+#: Lines of fewer tokens and fewer bytes in them are short.
+SHORT_TOKENS, SHORT_BYTES = 4, 24
+#: A template's last two bits tell its kind.
+WHOLE, VARIED, SHORT = 0, 1, 2
 #: Least hashes of the rest of a document by which copies are told, and how many of them copies have in common at least.
 SKETCH, COMMON = 16, 5
 #: Bytes of the two sizes before a sketch's hashes.
@@ -44,61 +48,132 @@ SIZES = 16
 CROWD = 1_000
 #: Recurring templates handed to every worker (8 bytes each) up to this number; beyond it lines are joined to them.
 TEMPLATES_BROADCAST = 2_000_000
-DIGIT = re.compile(rb"\d")
+#: Bytes of text taken at once; longer texts are cut between lines.
+STEP_BYTES = 1_000_000
 
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_BASE = 0x5851F42D4C957F2D
+_LETTER = np.random.default_rng(23).integers(0, 1 << 64, 256, np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_DIGIT = np.isin(np.arange(256), range(48, 58))
 
-def templates(line: bytes) -> list[int]:
-    """Hashes of a line's templates, the whole one first; none for short lines."""
-    tokens = line.split()
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return []
-    if DIGIT.search(line):
-        masked = [b"<*>" if DIGIT.search(t) else t for t in tokens]
-        # A line that is mostly variable fields would be like any other: it is taken as it is.
-        tokens = masked if 2 * masked.count(b"<*>") <= n else tokens
-    leaf = b"%d %b\n" % (n, b" ".join(tokens[:LEADING]))
-    rest = tokens[LEADING:]
-    out = [xxhash.xxh64_intdigest(leaf + b" ".join(rest)) - (1 << 63)]
-    if n >= BLOCK_TOKENS:
-        m = len(rest)
-        bounds = [m * b // BLOCKS for b in range(BLOCKS + 1)]
-        blocks = [b" ".join(rest[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        for b in range(BLOCKS):
-            out.append(xxhash.xxh64_intdigest(leaf + b"\n".join([*blocks[:b], b"<%d>" % b, *blocks[b + 1 :]])) - (1 << 63))
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M1
+    return x ^ (x >> np.uint64(29))
+
+
+class _Powers:
+    """Powers of the base of token hashes, and of its inverse, modulo 2^64."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.full(n + (n >> 2), b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of all before each place, and of all."""
+    out = np.zeros(len(x) + 1, x.dtype)
+    np.cumsum(x, out=out[1:])
     return out
 
 
-def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines' three-word shingles by sums of word hashes, sorted, and the line of each; a shorter line's words are one shingle."""
-    words = [line.split() for line in lines]
-    n = np.array([len(w) for w in words], np.int64)
-    one = np.fromiter((hash32(x) for w in words for x in w), np.uint64, int(n.sum()))
-    owner = np.repeat(np.arange(len(lines)), n)
-    pad = np.zeros(2, np.uint64)
-    same = lambda k: np.concatenate((owner[k:] == owner[:-k], np.zeros(min(k, len(owner)), bool)))
-    ahead, second = np.concatenate((one, pad)), same(1) if len(one) > 1 else np.zeros(len(one), bool)
-    third = same(2) if len(one) > 2 else np.zeros(len(one), bool)
-    begins = np.concatenate(([True], owner[1:] != owner[:-1]))[: len(one)]
-    mixed = one * np.uint64(0x9E3779B97F4A7C15) ^ np.where(second, ahead[1:-1], 0) * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.where(third, ahead[2:], 0) * np.uint64(0x165667B19E3779F9)
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    some = third | (begins & ~third)
-    mixed, owner = mixed[some], owner[some]
-    order = np.argsort(mixed, kind="stable")
-    return mixed[order], owner[order]
-
-
-def rest_sketch(hashes: np.ndarray, owner: np.ndarray, out: set[int]) -> bytes:
-    """Shingles in the lines in ``out`` and in the others, and the ``SKETCH`` least distinct hashes of the others without any that those in ``out`` hold."""
-    inside, few = int(np.isin(owner, list(out)).sum()), 4 * SKETCH
-    sizes = np.array([inside, len(owner) - inside], np.uint64).tobytes()
+class Lines:
+    """The lines of some texts and the hashes of their tokens, in flat arrays: ``text`` of each line, ``start`` and ``end`` of its bytes, ``first`` token of each (and the end), ``token`` hashes."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
+        size = np.array([len(t) for t in texts], np.int64)
+        breaks = np.flatnonzero(data == 10)
+        self.start, self.end = np.append(0, breaks + 1), np.append(breaks, len(data))
+        self.text = np.searchsorted(np.cumsum(size + 1) - size - 1, self.start, "right") - 1
+        space = np.concatenate(([True], _SPACE[data], [True]))
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        begins, ends = edge[::2], edge[1::2]
+        up, down = _powers.of(len(data) + 1)
+        sums = _sums(_LETTER[data] * up[: len(data)])
+        self.token = mix((sums[ends] - sums[begins]) * down[begins])
+        digits = _sums(_DIGIT[data].astype(np.int32))
+        self.digit = digits[ends] > digits[begins]
+        self.bytes = _sums(ends - begins)
+        self.first = np.append(np.searchsorted(begins, self.start), len(begins))
+
+    def templates(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, template) for each template of each line, lines without tokens left out."""
+        first, last = self.first[:-1], self.first[1:]
+        n = last - first
+        line = np.repeat(np.arange(len(n)), n)
+        fields = _sums(self.digit.astype(np.int64))
+        fields = fields[last] - fields[first]
+        # A line that is mostly variable fields would be like any other: it is taken as it is.
+        token = np.where(self.digit & (2 * fields <= n)[line], np.uint64(1), self.token)
+        place = np.arange(len(token), dtype=np.int64) - first[line]
+        sums = _sums(mix(token ^ (place.astype(np.uint64) + np.uint64(1)) * _M2))
+        total, size = sums[last] - sums[first], n.astype(np.uint64) * _M3
+        short = (n < SHORT_TOKENS) & (self.bytes[last] - self.bytes[first] < SHORT_BYTES)
+        some = np.flatnonzero(n)
+        lines = [some]
+        found = [(mix(total[some] ^ size[some]) & ~np.uint64(3)) | np.where(short[some], np.uint64(SHORT), np.uint64(WHOLE))]
+        for low, high, blocks, varying in VARYING:
+            here = np.flatnonzero((n >= low) & (n < high))
+            if not len(here):
+                continue
+            rest = n[here] - LEADING
+            bounds = [sums[first[here] + LEADING + rest * b // blocks] for b in range(blocks + 1)]
+            empty = [rest * b // blocks == rest * (b + 1) // blocks for b in range(blocks)]
+            for k, out in enumerate(combinations(range(blocks), varying)):
+                fixed = total[here].copy()
+                for b in out:
+                    fixed -= bounds[b + 1] - bounds[b]
+                full = ~np.logical_or.reduce([empty[b] for b in out])
+                lines.append(here[full])
+                found.append((mix(fixed[full] ^ size[here[full]] ^ np.array(k + 2, np.uint64) * _M1) & ~np.uint64(3)) | np.uint64(VARIED))
+        return np.concatenate(lines), np.concatenate(found).view(np.int64)
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the three-word shingles and the line of each; a shorter line's words are one shingle."""
+        one, n = self.token, np.diff(self.first)
+        line = np.repeat(np.arange(len(n)), n)
+        ahead = np.concatenate((one, np.zeros(2, np.uint64)))
+        owner = np.concatenate((line, [-1, -1]))
+        second, third = owner[1:-1] == line, owner[2:] == line
+        mixed = mix(one * _M1 ^ np.where(second, ahead[1:-1], 0) * _M2 ^ np.where(third, ahead[2:], 0) * _M3)
+        whole = np.zeros(len(one), bool)
+        whole[self.first[:-1][n > 0]] = True
+        some = third | whole
+        return mixed[some], line[some]
+
+
+def templates(line: bytes) -> list[int]:
+    """Hashes of one line's templates, the whole one first."""
+    return Lines([line]).templates()[1].tolist()
+
+
+def need(template: Column, min_docs: int = MIN_DOCS) -> Column:
+    """Documents that must hold the template for it to recur."""
+    kind = template.bitwiseAND(F.lit(3))
+    return F.when(kind == VARIED, max(VARIED_DOCS, min_docs)).when(kind == SHORT, max(SHORT_DOCS, min_docs)).otherwise(min_docs)
+
+
+def rest_sketch(hashes: np.ndarray, inside: np.ndarray) -> bytes:
+    """Shingles in some lines (marked by ``inside``, in order of the hashes) and in the others, and the ``SKETCH`` least distinct hashes of the others without any that those lines hold."""
+    few, mine = 4 * SKETCH, int(inside.sum())
+    sizes = np.array([mine, len(hashes) - mine], np.uint64).tobytes()
     while True:
-        mine = np.isin(owner[:few], list(out))
-        gone = hashes[:few][mine]
+        gone = hashes[:few][inside[:few]]
         # Equal hashes stand side by side, so that all but the last here are known whole.
-        kept = hashes[:few][~mine]
-        kept = np.unique(kept[~np.isin(kept, gone)])
+        kept = hashes[:few][~inside[:few]]
+        if len(kept):
+            kept = kept[np.concatenate(([True], kept[1:] != kept[:-1]))]
+        if len(gone):
+            kept = kept[gone[np.minimum(np.searchsorted(gone, kept), len(gone) - 1)] != kept]
         if len(hashes) > few:
             kept = kept[kept < hashes[few]]
         if len(kept) >= SKETCH or few >= len(hashes):
@@ -120,88 +195,151 @@ def alike(a: bytes, b: bytes) -> bool:
     return SKETCH * int(both.sum()) >= COMMON * len(least)
 
 
-hash32 = xxhash.xxh32_intdigest
-
-
 def _few(found: DataFrame, most: int):
-    """The templates as a broadcast set, or None if they are more than ``most``."""
+    """The templates, sorted, as a broadcast array, or None if they are more than ``most``."""
     if found.count() > most:
         return None
     names = np.sort(found.select("template").toArrow().column("template").to_numpy())
     return found.sparkSession.sparkContext.broadcast(names)
 
 
-def _rows(documents: DataFrame, run, schema: str) -> DataFrame:
-    rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("n", F.length("text")).mapInArrow(run, schema)
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _steps(texts: list[bytes]):
+    """(numbers of texts, ``Lines`` of them) for all texts in steps of about ``STEP_BYTES``; a longer text is in several steps, cut between lines."""
+    numbers, parts, held = [], [], 0
+    for i, raw in enumerate(texts):
+        at = 0
+        while True:
+            end = raw.find(b"\n", at + STEP_BYTES) if len(raw) - at > STEP_BYTES else -1
+            part = raw[at:] if end < 0 else raw[at:end]
+            if parts and held + len(part) > STEP_BYTES:
+                yield np.array(numbers), Lines(parts)
+                numbers, parts, held = [], [], 0
+            numbers.append(i)
+            parts.append(part)
+            held += len(part)
+            if end < 0:
+                break
+            at = end + 1
+    if parts:
+        yield np.array(numbers), Lines(parts)
+
+
+def _batches(batches, at: int = 0, rows: int = 4_096):
+    """(batch, texts as UTF-8, null texts empty) in runs of few rows."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            part = batch.slice(a, rows)
+            yield part, [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+
 
+def _each_once(text: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((template, text))
+    text, template = text[order], template[order]
+    new = np.concatenate(([True], (text[1:] != text[:-1]) | (template[1:] != template[:-1])))[: len(text)]
+    return text[new], template[new]
 
-def _texts(batches):
-    for batch in batches:
-        for part in chunks(batch.column(1).to_pylist(), 4_000_000):
-            yield [t.encode("utf-8") for t in batch.column(0).slice(part.start, part.stop - part.start).to_pylist()]
+
+def _marks(texts: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("text").cast("string").alias("text"))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
     """(template, text) rows, each document's every template once; text is a hash of the whole text."""
 
     def run(batches):
-        for texts in _texts(batches):
-            found, marks = [], []
-            for raw in texts:
-                own = {h for line in set(raw.split(b"\n")) for h in templates(line)}
-                found += own
-                marks += [xxhash.xxh64_intdigest(raw) - (1 << 63)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(marks, pa.int64())], ["template", "text"])
+        for _, texts in _batches(batches):
+            numbers, found = [], []
+            for owner, lines in _steps(texts):
+                line, names = lines.templates()
+                numbers.append(owner[lines.text[line]])
+                found.append(names)
+            text, template = _each_once(np.concatenate(numbers), np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(template), pa.array(_marks(texts)[text])], ["template", "text"])
 
-    return _rows(documents, run, "template long, text long")
+    return _texts(documents).mapInArrow(run, "template long, text long")
 
 
 def _rests(documents: DataFrame, only=None) -> DataFrame:
     """(template, text, rest) rows, rest the sketch of the document without the lines of the template; of those in the broadcast ``only`` if it is given."""
 
     def run(batches):
-        wanted = None if only is None else set(only.value.tolist())
-        for texts in _texts(batches):
+        for _, texts in _batches(batches, rows=512):
+            parts: dict[int, list] = {}
+            for owner, lines in _steps(texts):
+                line, names = lines.templates()
+                if only is not None:
+                    wanted = _among(names, only.value)
+                    line, names = line[wanted], names[wanted]
+                if not len(line):
+                    continue
+                order = np.argsort(line, kind="stable")
+                line, names = line[order], names[order]
+                hashes, of = lines.shingles()
+                for t in np.unique(lines.text[line]):
+                    low, high = np.searchsorted(lines.text, [t, t + 1])
+                    (a, b), (c, d) = np.searchsorted(line, [low, high]), np.searchsorted(of, [low, high])
+                    parts.setdefault(int(owner[t]), []).append((line[a:b] - low, names[a:b], hashes[c:d], of[c:d] - low, high - low))
             found, marks, rests = [], [], []
-            for raw in texts:
-                lines = list(dict.fromkeys(raw.split(b"\n")))
-                own: dict[int, set[int]] = {}
-                for k, line in enumerate(lines):
-                    for h in templates(line):
-                        if wanted is None or h in wanted:
-                            own.setdefault(h, set()).add(k)
-                if own:
-                    hashes, owner = shingles(lines)
-                    known: dict = {}
-                    for h, out in own.items():
-                        name = tuple(out)
-                        if name not in known:
-                            known[name] = rest_sketch(hashes, owner, out)
-                        rests.append(known[name])
-                    found += own
-                    marks += [xxhash.xxh64_intdigest(raw) - (1 << 63)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(marks, pa.int64()), pa.array(rests, pa.binary())], ["template", "text", "rest"])
-
-    return _rows(documents, run, "template long, text long, rest binary")
+            for number, some in parts.items():
+                if len(texts[number]) > STEP_BYTES:  # all its steps, those without such lines too
+                    some = _whole(texts[number], only)
+                line, names, hashes, of, _ = some[0]
+                order = np.argsort(hashes, kind="stable")
+                hashes, of = hashes[order], of[order]
+                mark, known = xxhash.xxh64_intdigest(texts[number]), {}
+                by = np.argsort(names, kind="stable")
+                edges = np.flatnonzero(np.concatenate(([True], names[by][1:] != names[by][:-1], [True])))
+                for a, b in zip(edges, edges[1:], strict=False):
+                    out = np.unique(line[by[a:b]])
+                    if out.tobytes() not in known:
+                        known[out.tobytes()] = rest_sketch(hashes, _among(of, out))
+                    found.append(names[by[a]])
+                    marks.append(mark)
+                    rests.append(known[out.tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(rests, pa.binary())], ["template", "text", "rest"])
+
+    return _texts(documents).mapInArrow(run, "template long, text long, rest binary")
+
+
+def _whole(raw: bytes, only) -> list:
+    """A long text's lines, templates and shingles from all its steps."""
+    out, begin = [], 0
+    for _, lines in _steps([raw]):
+        line, names = lines.templates()
+        if only is not None:
+            wanted = _among(names, only.value)
+            line, names = line[wanted], names[wanted]
+        hashes, of = lines.shingles()
+        out.append((line + begin, names, hashes, of + begin))
+        begin += len(lines.text)
+    return [(*(np.concatenate(x) for x in zip(*out, strict=True)), begin)]
 
 
 def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, most_broadcast: int = TEMPLATES_BROADCAST) -> DataFrame:
-    """(template) that recur: of ``min_docs`` documents or more, some of them no copies of each other."""
+    """(template) that recur: of as many documents as its kind needs or more, some of them no copies of each other."""
 
     def unlike(batches):
         for batch in batches:
             pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             yield batch.select(["template"]).filter(pa.array([not alike(a, b) for a, b in pairs], pa.bool_()))
 
+    enough = F.col("n") >= need(F.col("template"), min_docs)
     # Counts combine on the map side: a line of every document is one row for each task.
     ends = _lines(documents).groupBy("template").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b"))
-    maybe = cut(ends.where(F.col("n") >= min_docs).where("a != b").select("template"))
+    maybe = cut(ends.where(enough).where("a != b").select("template"))
     few = _few(maybe, most_broadcast)
     rows = _rests(documents, few)
     # A document that is nothing but the line doesn't tell whether others are its copies.
     rows = cut((rows if few is not None else rows.join(maybe, "template", "left_semi")).where(F.length("rest") > SIZES))
-    firsts = cut(rows.groupBy("template").agg(F.count("*").alias("n"), F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").where(F.col("n") >= min_docs))
+    firsts = cut(rows.groupBy("template").agg(F.count("*").alias("n"), F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").where(enough))
     crowds = F.broadcast(firsts.where(F.col("n") > CROWD))
     quiet = rows.join(firsts.where(F.col("n") <= CROWD), "template")
     crowded = rows.join(crowds, "template")
@@ -216,53 +354,80 @@ ADDED = ("n_lines", "n_dropped")
 
 
 def _by_broadcast(documents: DataFrame, shared) -> DataFrame:
-    at = documents.columns.index("text")
+    at, names = documents.columns.index("text"), [*documents.columns, *ADDED]
+    documents = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))  # whatever their names hold
     schema = T.StructType([*documents.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ADDED)])
 
     def run(batches):
-        known = set(shared.value.tolist())
-        for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for t in batch.column(at).to_pylist():
-                lines = t.split("\n") if t is not None else []
-                kept = [x for x in lines if known.isdisjoint(templates(x.encode("utf-8")))]
-                texts.append(None if t is None else "\n".join(kept))
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(kept))
-            columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :], pa.array(n_lines, pa.int32()), pa.array(n_dropped, pa.int32())]
+        for batch, texts in _batches(batches, at):
+            n_lines, n_dropped, changed = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32), {}
+            for owner, lines in _steps(texts):
+                n_lines += np.bincount(owner[lines.text], minlength=len(texts)).astype(np.int32)
+                line, found = lines.templates()
+                gone = np.zeros(len(lines.text), bool)
+                gone[line[_among(found, shared.value)]] = True
+                n_dropped += np.bincount(owner[lines.text[gone]], minlength=len(texts)).astype(np.int32)
+                for t in np.unique(lines.text[gone]):
+                    low, high = np.searchsorted(lines.text, [t, t + 1])
+                    changed[int(owner[t])] = gone[low:high]
+            null = batch.column(at).is_null().to_numpy(zero_copy_only=False)
+            n_lines[null] = 0
+            for t, gone in changed.items():
+                parts = texts[t].split(b"\n")
+                gone = gone if len(texts[t]) <= STEP_BYTES else _gone(texts[t], shared.value)
+                texts[t] = b"\n".join([x for x, g in zip(parts, gone.tolist(), strict=True) if not g])
+            text = pa.array(texts, pa.binary(), mask=null).cast(pa.string())
+            columns = [*batch.columns[:at], text, *batch.columns[at + 1 :], pa.array(n_lines), pa.array(n_dropped)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *ADDED])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema).toDF(*names)
+
+
+def _gone(raw: bytes, known: np.ndarray) -> np.ndarray:
+    """Which lines of a long text go, from all its steps."""
+    out = []
+    for _, lines in _steps([raw]):
+        line, names = lines.templates()
+        gone = np.zeros(len(lines.text), bool)
+        gone[line[_among(names, known)]] = True
+        out.append(gone)
+    return np.concatenate(out)
 
 
 def _by_join(documents: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                each = [(row, i, h) for i, x in enumerate((t or "").split("\n")) for h in templates(x.encode("utf-8"))]
-                if each:
-                    rows, at, names = zip(*each, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(names, pa.int64())], ["_row", "line", "template"])
-
-    numbered = cut(documents.withColumn("_row", F.monotonically_increasing_id()))
-    lines = numbered.select("_row", "text").mapInArrow(run, "_row long, line int, template long").join(found, "template", "left_semi")
-    dropped = lines.groupBy("_row").agg(F.collect_set("line").alias("_gone"))
-    both = numbered.join(dropped, "_row", "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
-    gone = F.when(F.col("_gone").isNotNull(), F.size("_gone")).otherwise(0)
-    return both.select(*(F.array_join(kept, "\n").alias("text") if c == "text" else c for c in documents.columns), n.cast("int").alias("n_lines"), gone.cast("int").alias("n_dropped"))
+        for batch, texts in _batches(batches, 1):
+            ids, begin = batch.column(0).to_numpy(), np.zeros(len(texts), np.int64)
+            for owner, lines in _steps(texts):
+                line, names = lines.templates()
+                text = owner[lines.text]
+                at = np.arange(len(text)) - np.searchsorted(text, text) + begin[text]
+                begin += np.bincount(text, minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text[line]]), pa.array(at[line].astype(np.int32)), pa.array(names)], ["row", "line", "template"])
+
+    # All input columns are held in one, so that none of them clashes with those added here.
+    numbered = cut(documents.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("held")))
+    lines = numbered.select("row", "held.text").mapInArrow(run, "row long, line int, template long").join(found, "template", "left_semi")
+    both = numbered.join(lines.groupBy("row").agg(F.collect_set("line").alias("gone")), "row", "left")
+    parts = F.split("held.text", "\n", -1)
+    kept = F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    n = F.when(F.col("held.text").isNull(), 0).otherwise(F.size(parts))
+    gone = F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0)
+    columns = (F.array_join(kept, "\n").alias(c) if c == "text" else F.col(f"held.`{c}`").alias(c) for c in documents.columns)
+    return both.select(*columns, n.cast("int").alias(ADDED[0]), gone.cast("int").alias(ADDED[1]))
 
 
 def drop_recurring(documents: DataFrame, min_docs: int = MIN_DOCS, most_broadcast: int = TEMPLATES_BROADCAST) -> DataFrame:
     """``documents`` with the lines of recurring templates taken out of ``text``, and n_lines and n_dropped.
 
-    A null text stays null (no lines) and an empty one empty (one line); a text
-    whose every line goes becomes empty. Repeated rows count as documents but,
-    being copies, don't make their lines recur; each is returned. Other
-    columns, null doc_ids among them, are carried, but for input columns named
-    n_lines or n_dropped. An empty table gives an empty table.
+    A template recurs from ``min_docs`` documents on, one with variable blocks
+    from ``VARIED_DOCS`` and a short line (fewer than ``SHORT_TOKENS`` tokens and
+    ``SHORT_BYTES`` bytes) from ``SHORT_DOCS``. Blank lines stay. A null text
+    stays null (no lines) and an empty one empty (one line); a text whose every
+    line goes becomes empty. Repeated rows count as documents but, being copies,
+    don't make their lines recur; each is returned. Other columns, null doc_ids
+    among them, are carried, but for input columns named n_lines or n_dropped.
+    An empty table gives an empty table.
     """
     documents = documents.drop(*ADDED).withColumn("text", F.col("text").cast("string"))
     found = recurring(documents, min_docs, most_broadcast)

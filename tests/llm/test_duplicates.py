@@ -249,8 +249,131 @@ def test_templates_generalise_variable_fields():
     a = b"one two three four five six seven eight nine ten eleven twelve thirteen"
     b = a.replace(b"nine", b"NINE")
     assert set(t(a)) & set(t(b)) and t(a)[0] != t(b)[0]
-    assert not set(t(a)) & set(t(a.replace(b"one", b"ONE"))) and not t(b"too short")
+    assert not set(t(a)) & set(t(a.replace(b"one", b"ONE"))) and not t(b" ")
     assert not set(t(b"1 22 3 total")) & set(t(b"4 55 6 total"))
+    fields = [b"Posted by %s in category %s yesterday evening" % x for x in ((b"anna", b"sports"), (b"otto", b"letters"))]
+    assert set(t(fields[0])) & set(t(fields[1])) and t(fields[0])[0] & 3 == line_dedup.WHOLE
+    assert t(b"Read more here")[0] & 3 == line_dedup.SHORT and all(x & 3 == line_dedup.VARIED for x in t(a)[1:])
+
+
+def plain_tokens(line):
+    tokens = line.split()
+    fields = [t for t in tokens if any(48 <= c < 58 for c in t)]
+    return tuple(b"<*>" if t in fields and 2 * len(fields) <= len(tokens) else t for t in tokens)
+
+
+def alike_lines(a, b):
+    """Whether two lines have a template in common, by comparing their tokens block by block; "whole" if all are equal."""
+    a, b = plain_tokens(a), plain_tokens(b)
+    if a == b:
+        return "whole"
+    if len(a) != len(b) or a[:2] != b[:2]:
+        return ""
+    for low, high, blocks, varying in line_dedup.VARYING:
+        if low <= len(a) < high:
+            m = len(a) - 2
+            bounds = [2 + m * k // blocks for k in range(blocks + 1)]
+            return "varied" if sum(a[x:y] != b[x:y] for x, y in zip(bounds, bounds[1:], strict=False)) <= varying else ""
+    return ""
+
+
+def test_templates_are_shared_by_just_the_lines_that_agree(texts):
+    rng = np.random.default_rng(3)
+    lines = [x.encode() for t in list(texts.values())[:60] if t for x in t.split("\n")][:300] + [b"", b" \t ", "日本語の行 x".encode()]
+    for x in list(lines[:300]):  # and the same with one to three tokens changed
+        tokens = x.split()
+        for k in rng.integers(0, len(tokens), rng.integers(1, 4)) if tokens else []:
+            tokens[k] = b"v%d" % rng.integers(3) if rng.random() < 0.3 else b"other"
+        lines.append(b" ".join(tokens))
+    of, names = line_dedup.Lines([b"\n".join(lines[:200]), b"", b"\n".join(lines[200:])]).templates()
+    of = np.where(of > 200, of - 1, of)  # the empty text is a line too
+    mine = [set() for _ in lines]
+    for k, name in zip(of.tolist(), names.tolist(), strict=True):
+        mine[k].add(name)
+    for k, x in enumerate(lines):
+        assert mine[k] == set(templates_of(x))
+        for j in range(k):
+            want = alike_lines(x, lines[j]) if x.split() and lines[j].split() else ""
+            both = mine[k] & mine[j]
+            assert bool(both) == bool(want) and any(v & 3 != line_dedup.VARIED for v in both) == (want == "whole")
+
+
+def templates_of(line):
+    return line_dedup.templates(line)
+
+
+def test_texts_are_cut_between_lines_without_a_trace(spark, monkeypatch, lined):
+    docs, _, real = lined
+    want = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring(docs).collect()}
+    raw = [t.encode() for t in real.values()]
+    whole = [(t, sorted(n)) for t, n in _templates_by_text(raw)]
+    monkeypatch.setattr(line_dedup, "STEP_BYTES", 100)
+    assert [(t, sorted(n)) for t, n in _templates_by_text(raw)] == whole
+    one = raw[0]
+    line, names, hashes, of, n = line_dedup._whole(one, None)[0]
+    monkeypatch.undo()
+    alone = line_dedup.Lines([one])
+    assert np.array_equal(np.sort(hashes), np.sort(alone.shingles()[0])) and n == len(one.split(b"\n"))
+    assert set(zip(line.tolist(), names.tolist())) == set(zip(*(x.tolist() for x in alone.templates())))
+    known = np.sort(names[line == 2])
+    assert line_dedup._gone(one, known).tolist() == [k == 2 for k in range(n)]
+    assert want
+
+
+def _templates_by_text(raw):
+    out = {}
+    for owner, lines in line_dedup._steps(raw):
+        line, names = lines.templates()
+        for t, n in zip(owner[lines.text[line]].tolist(), names.tolist(), strict=True):
+            out.setdefault(t, []).append(n)
+    return out.items()
+
+
+def test_short_lines_and_word_fields_recur_with_more_holders(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n=6: "".join(rng.choice(list("abcdefghij"), n))
+    rows = []
+    for i in range(60):
+        lines = [" ".join(word() for _ in range(25)) for _ in range(3)]
+        if i < 50:
+            lines += ["Read more here", f"Posted by {word()} in category {word()} yesterday evening"]
+        if i % 20 == 0:
+            lines += ["See also", f"Kept by {word()} for reasons {word()} of its own"]
+        rows.append("\n".join(lines))
+    got = [r.text for r in line_dedup.drop_recurring(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["\n".join(x for x in t.split("\n") if not x.startswith(("Read", "Posted"))) for t in rows]
+
+
+def test_recurring_lines_of_a_table_are_those_of_brute_force(spark, documents, texts):
+    """Every line's holders counted over all texts in plain Python, copies told by the sets of shingles of the rest."""
+    got = {r.doc_id: r for r in line_dedup.drop_recurring(documents).collect()}
+    holders: dict = {}
+    for i, t in texts.items():
+        for x in {plain_tokens(x) for x in (t or "").encode().split(b"\n")}:
+            if x:
+                holders.setdefault(x, []).append(i)
+    grams = lambda lines: {tuple(w[k : k + 3]) for w in lines for k in range(max(1, len(w) - 2)) if w}
+
+    def rest(i, template):
+        return grams([x.split() for x in texts[i].encode().split(b"\n") if plain_tokens(x) != template])
+
+    agree = total = 0
+    for i, t in texts.items():
+        kept = set((got[i].text or "").split("\n"))
+        for x in (t or "").split("\n"):
+            template = plain_tokens(x.encode())
+            mine = holders.get(template, [])
+            if len(template) < 4 or len({texts[j] for j in mine}) < 2:
+                want = False
+            else:  # far apart if some two share less than a tenth, alike if all share more than a half
+                rests = [r for r in (rest(j, template) for j in mine) if r]
+                shares = [len(rests[0] & r) / len(rests[0] | r) for r in rests[1:]] or [1.0]
+                if not (min(shares) < 0.1 or min(shares) > 0.5):
+                    continue
+                want = min(shares) < 0.1
+            total += 1
+            agree += (x not in kept) == want
+    assert total > 1000 and agree >= 0.985 * total
 
 
 @pytest.fixture(scope="module")
@@ -315,3 +438,14 @@ def test_lines_of_odd_rows(odd, empty):
     assert by[3].text is None and by[3].n_lines == 0 and by[4].text == "" and by[4].n_lines == 1
     assert by[1].n_dropped == 0 and by[6].lang == "es"
     assert line_dedup.drop_recurring(empty).count() == 0
+
+
+def test_columns_that_the_join_uses_itself_are_carried(spark, odd):
+    """Input columns of the names that the plan adds, on the path by join."""
+    clash = odd.select("*", F.lit(7).alias("row"), F.lit("g").alias("gone"), F.lit(1).alias("_row"), F.lit(2).alias("_gone"), F.lit(3).alias("held"), F.lit(4).alias("template"), F.lit("a").alias("dotted.name"))
+    for most in (0, line_dedup.TEMPLATES_BROADCAST):
+        rows = line_dedup.drop_recurring(clash, most_broadcast=most).collect()
+        assert len(rows) == len(ODD)
+        assert {(r.row, r.gone, r._row, r._gone, r.held, r.template, r["dotted.name"]) for r in rows} == {(7, "g", 1, 2, 3, 4, "a")}
+        assert sorted(str(r.text) for r in rows) == sorted(str(r[1]) for r in ODD)
+        assert line_dedup.drop_recurring(clash.limit(0), most_broadcast=most).count() == 0
