@@ -2,8 +2,9 @@
 
 A word's embedding is the sum of the hashed embeddings of itself and its
 beginnings. Filters of several widths run over the words, each filter's largest
-answer in a text (max pooling) goes to a logistic output. A threshold for each
-language is calibrated on the labelled rows; the score itself knows no language.
+answer in a text (max pooling) goes to a logistic output. It is trained on whole
+texts. A threshold for each language is calibrated on labelled rows set apart
+from training; the score itself knows no language.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ FILTERS = 4
 DIMENSION = 12
 #: Labelled rows that the classifier is fitted on, at most, of either class.
 MOST_ROWS = 2_500
-#: Words of a text that one training step sees, at most; the windows of longer texts take turns.
-STEP_WORDS = 1_500
+#: One in so many of them is set apart to calibrate the thresholds.
+CALIBRATED = 5
 #: Words whose answers a worker remembers.
 MOST_WORDS = 250_000
 WORD = re.compile(r"\w+")
@@ -176,7 +177,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, seed: int = 7) ->
         order = rng.permutation(len(texts))
         for a in range(0, len(order), 32):
             batch = order[a : a + 32]
-            used = [w if len(w) <= STEP_WORDS else w[(s := rng.integers(len(w) - STEP_WORDS + 1)) : s + STEP_WORDS] if not labels[i] else w for i, w in ((i, texts_words[i]) for i in batch)]
+            used = [texts_words[i] for i in batch]
             each, at = np.unique(np.concatenate([[0], *used]), return_inverse=True)
             local, vectors = features[each], model.embedding[features[each]].sum(1)
             tables = [[vectors @ f[j] for j in range(len(f))] for f in model.filters]
@@ -235,20 +236,28 @@ def calibrated(model: Model, texts: list[str], labels: np.ndarray, langs: list[s
 def train(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """A model fitted on at most ``most_rows`` labelled rows of either class, the first by a hash of doc_id.
 
-    Only rows outside the held-out third are learned from. Rows whose label or
-    text is null are left out. Without rows of both classes the model gives
-    every text the same low score.
+    Of these one in ``CALIBRATED`` is not fitted on but calibrates the
+    thresholds. Only rows outside the held-out third are learned from. Rows
+    whose label or text is null are left out; of the texts of a repeated doc_id
+    the least is taken. Without rows of both classes the model gives every text
+    the same low score. A table without lang has no thresholds.
     """
-    known = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_rows).unionAll(known.where("toxic = 0").orderBy(order, "doc_id").limit(most_rows))
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    texts = documents.where("text is not null").select("doc_id", F.struct(F.col("text").cast("string").alias("text"), lang.alias("lang")).alias("t"))
     # At most 2 * most_rows ids: small enough for every task.
-    rows = documents.where("text is not null").select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    texts, y, langs = rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(int), rows.column("lang").to_pylist()
-    if len(y) == 0 or y.min() == y.max():
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t"))
+    apart = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATED)) == 0
+    rows = found.select("doc_id", "toxic", "t.text", "t.lang", apart.alias("apart")).orderBy("doc_id").toArrow()
+    texts, langs = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
+    y, apart = rows.column("toxic").to_numpy().astype(int), rows.column("apart").to_numpy().astype(bool)
+    fitted, rest = np.flatnonzero(~apart), np.flatnonzero(apart)
+    if len(fitted) == 0 or y[fitted].min() == y[fitted].max():
         return Model(np.zeros((BUCKETS, DIMENSION)), [np.zeros((k, DIMENSION, FILTERS)) for k in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), -3.0, {})
-    model = fit(texts, y)
-    model.thresholds = calibrated(model, texts, y, langs)
+    model = fit([texts[i] for i in fitted], y[fitted])
+    model.thresholds = calibrated(model, [texts[i] for i in rest], y[rest], [langs[i] for i in rest])
     return model
 
 
