@@ -247,13 +247,22 @@ def links(distinct: DataFrame, most: int = 2, parts: int = 3, crowd: int = CROWD
 
 
 def component_ids(rows: DataFrame, edges: DataFrame, key: str = "fp") -> DataFrame:
-    """``rows`` (doc_id and ``key``) with component_id, the smallest doc_id reachable through equal keys and ``edges``."""
+    """``rows`` (doc_id and ``key``) with component_id, the smallest doc_id reachable through equal keys and ``edges``.
+
+    Components are formed of the keys' smallest doc_ids, so that a component's
+    root is its id and nothing has to be gathered at it: no join has a key that
+    grows with a component. Keys without any doc_id take numbers beyond all ids.
+    """
     least = rows.groupBy(key).agg(F.min("doc_id").alias("first"))
-    comps = components(edges)
-    rooted = least.join(comps, least[key] == comps["node"], "left").select(key, "first", F.coalesce("root", key).alias("root"))
-    root = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(root, "root").select(key, "component_id")
-    return rows.join(named, key)
+    top = rows.agg(F.max(F.greatest("doc_id", F.lit(0)))).first()[0] or 0
+    first = cut(least.select(key, F.coalesce("first", F.lit(top + 1) + F.monotonically_increasing_id()).alias("first")))
+    ends = [first.select(F.col(key).alias(e), F.col("first").alias(f"{e}_first")) for e in ("u", "v")]
+    named = edges.join(ends[0], "u").join(ends[1], "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    comps = components(named)
+    ids = cut(first.join(comps, first["first"] == comps["node"], "left").select(key, F.coalesce("root", "first").alias("root")))
+    ids = ids.select(key, F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
+    # Both sides come whole from a shuffle of their own, so that adaptive execution can cut the rows of a key with many copies.
+    return rows.join(ids, key)
 
 
 def near_duplicates(documents: DataFrame, width: int = 3, most: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
