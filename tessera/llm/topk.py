@@ -17,21 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import cut
+
 #: Query vectors broadcast at once (64 MB at 64 dimensions); more of them go in further passes.
 QUERIES_A_PASS = 100_000
 SHARD_ROWS = 8_192
 PROBED_AT_ONCE = 8
+#: Sums of products are exact in doubles up to here.
+EXACT = 2.0**53
+_LONG = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", scale: int = 1024) -> DataFrame:
     """(vec_id, v array<double>) with floor(scale * x) for each component.
 
-    Vectors that are null or empty, or hold a null or non-finite component,
-    and rows without an id take no part.
+    Vectors that are null or empty, or hold a component that is null or not
+    finite (or not when scaled), and rows without an id take no part.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where("vec_id is not null and size(v) > 0").where(good).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
+    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf")))
+    # Doubles from 2^52 on are whole numbers already, and might not fit the long that floor gives.
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    return rows.where("vec_id is not null and size(v) > 0").where(good).withColumn("v", F.transform("v", lambda x: whole(x * scale)))
 
 
 class Best:
@@ -44,7 +51,16 @@ class Best:
     def least(self) -> float:
         return self.scores[-1] if len(self.scores) == self.k else -math.inf
 
+    def offer_exact(self, found: list[tuple[int, int]]) -> None:
+        """(score, id) pairs, the scores whole numbers of any size; from now on all are."""
+        both = [*found, *zip(map(int, self.scores.tolist()), self.ids.tolist(), strict=True)]
+        both = sorted(both, key=lambda x: (-x[0], x[1]))[: self.k]
+        self.ids = np.array([i for _, i in both], np.int64)
+        self.scores = np.array([s for s, _ in both], object)
+
     def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        if self.scores.dtype == object:
+            return self.offer_exact(list(zip(map(int, scores.tolist()), ids.tolist(), strict=True)))
         ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
         if len(scores) > 4 * self.k:
             keep = scores >= np.partition(scores, -self.k)[-self.k]
@@ -60,7 +76,17 @@ class Shard:
         self.ids, self.postings = ids, np.ascontiguousarray(vectors.T)
         self.low, self.high = vectors.min(0), vectors.max(0)
 
+    def wide(self, query_id: int, query: np.ndarray, best: Best) -> None:
+        """The same for components so large that doubles don't hold the sums: whole numbers of any size, scores kept to those of a long."""
+        terms = [int(x) for x in query.tolist()]
+        for a in range(0, len(self.ids), 256):
+            rows = self.postings[:, a : a + 256].T.tolist()
+            scores = [max(-_LONG - 1, min(_LONG, sum(t * int(x) for t, x in zip(terms, row, strict=True)))) for row in rows]
+            best.offer_exact([(s, i) for s, i in zip(scores, self.ids[a : a + 256].tolist(), strict=True) if i != query_id])
+
     def search(self, query_id: int, query: np.ndarray, best: Best) -> None:
+        if np.abs(query) @ np.maximum(np.abs(self.low), np.abs(self.high)) >= EXACT:
+            return self.wide(query_id, query, best)
         ends = np.stack([query * self.low, query * self.high])
         floor, spread = ends.min(0), np.ptp(ends, axis=0)
         order = np.argsort(-spread, kind="stable")
@@ -88,9 +114,7 @@ class Shard:
             best.offer(self.ids[live], scores)
 
 
-def _pass(base: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast(queries)
-
+def _pass(base: DataFrame, shared, k: int) -> DataFrame:
     def run(batches):
         query_ids, query_vectors = shared.value
         best = [Best(k) for _ in query_ids]
@@ -120,23 +144,28 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its ``k`` highest inner products with rows of ``base``.
 
     Both have (vec_id, v) as of ``quantised``. A row with the query's own id is
-    no candidate; equal scores go to the smaller vec_id. Queries are broadcast
-    in passes of a fixed size, each over all rows, so neither the broadcast nor
-    a task's memory grows with their number. A repeated id is one query and as
-    many candidates as it has rows; no queries or no rows give no result.
+    no candidate; equal scores go to the smaller vec_id. Scores beyond a long are
+    its largest or smallest value. Queries are broadcast in passes of a fixed
+    size, each over all rows; a pass is computed and written before the next
+    one's queries are read and its broadcast is dropped, so that neither the
+    driver's nor a task's memory grows with their number. A repeated id is one
+    query and as many candidates as it has rows; no queries or no rows give no
+    result.
     """
-    queries = queries.dropDuplicates(["vec_id"])
-    n = queries.count()
-    passes = max(1, -(-n // QUERIES_A_PASS))
-    found = None
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    passes = max(1, -(-queries.count() // QUERIES_A_PASS))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = None
     for i in range(passes):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).toArrow()
-        ids = rows.column("vec_id").to_numpy()
         vectors = rows.column("v").to_pylist()
         width = max(map(len, vectors), default=1)
         matrix = np.array([v + [0.0] * (width - len(v)) for v in vectors]).reshape(len(vectors), width)
-        one = _pass(base, (ids, matrix), k)
-        found = one if found is None else found.unionAll(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        shared = base.sparkSession.sparkContext.broadcast((rows.column("vec_id").to_numpy(), matrix))
+        ranked = _pass(base, shared, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        one = ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if passes > 1:
+            one = cut(one)
+            shared.destroy()
+        out = one if out is None else out.unionAll(one)
+    return out

@@ -40,6 +40,24 @@ def test_vectors_that_take_no_part(spark):
     assert topk.search(base.limit(0), base).count() == 0 and topk.search(base, base.limit(0)).count() == 0
 
 
+def test_scores_that_doubles_do_not_hold_are_exact(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(rng.integers(-(1 << 40), 1 << 40)) if i % 3 == 0 else float(rng.integers(-9, 9)) for _ in range(4)]) for i in range(60)]
+    rows += [(60, [1e18, 1.0, 0.0, 0.0]), (61, [-1e18, 0.0, 0.0, 1.0]), (62, [1e308, 1.0, 1.0, 1.0])]
+    base = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), scale=1024)
+    got: dict = {}
+    for r in topk.search(base, base.where("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    long = (1 << 63) - 1
+    whole = [(i, [int(x * 1024) for x in v]) for i, v in rows if i != 62]  # 1e308 * 1024 isn't finite
+    want = {}
+    for q, v in whole:
+        if q % 20 == 0:
+            scored = [(-max(-long - 1, min(long, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in whole if i != q]
+            want[q] = [(i, -s) for s, i in sorted(scored)[:5]]
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["op7_revisits", "op9_topk"])
 def test_queries_give_the_rows_of_their_sql(spark, name):
     con = duckdb.connect()
