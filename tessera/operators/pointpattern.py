@@ -234,12 +234,9 @@ def bandwidth_scott(pp: PointPattern) -> DataFrame:
     return pp.events.agg(((F.stddev_samp("x") + F.stddev_samp("y")) / 2 * F.pow(F.count("*").cast("double"), F.lit(-1 / 6))).alias("h"))
 
 
-def bandwidth_cv(pp: PointPattern, candidates: list[float], max_points: int = 5000, seed: int = 0) -> DataFrame:
-    """(h, score): leave-one-out log likelihood; all candidates are rows of one plan.
-
-    Larger patterns are represented by the ``max_points`` events first by hash.
-    """
-    events = pp.events.orderBy(ticket(seed, "id"), "id").limit(max_points)
+def bandwidth_cv(pp: PointPattern, candidates: list[float]) -> DataFrame:
+    """(h, score): leave-one-out log likelihood over all events; all candidates are rows of one plan."""
+    events = pp.events.select("id", "x", "y")
     n = events.count()
     found = pairs.within(events, events, 4 * max(candidates))
     h = events.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, map(float, candidates)))).alias("h"))

@@ -96,13 +96,12 @@ CZ = "zz AS (SELECT id, z AS y, z - avg(z) OVER () AS z FROM pts), mm AS (SELECT
 EDGES = f"SELECT i, j, {R('w', 'w')} FROM e"
 
 
-@query(with_(PTS, KNN(), CZ, f"""s AS (SELECT sum(w) AS s0 FROM e), b AS (SELECT 0.5 * sum(w * w) AS s1 FROM (SELECT i, j, sum(w) AS w FROM (SELECT i, j, w FROM e UNION ALL SELECT j, i, w FROM e) GROUP BY 1, 2)),
+#: Without its last SELECT, which queries_more adds.
+MORAN = with_(PTS, KNN(), CZ, f"""s AS (SELECT sum(w) AS s0 FROM e), b AS (SELECT 0.5 * sum(w * w) AS s1 FROM (SELECT i, j, sum(w) AS w FROM (SELECT i, j, w FROM e UNION ALL SELECT j, i, w FROM e) GROUP BY 1, 2)),
  c AS (SELECT sum(w * w) AS s2 FROM (SELECT k, sum(w) AS w FROM (SELECT i AS k, w FROM e UNION ALL SELECT j, w FROM e) GROUP BY 1)), u AS (SELECT sum(w * p.z * q.z) AS num FROM e JOIN zz p ON p.id = e.i JOIN zz q ON q.id = e.j),
  t AS (SELECT *, -1.0::DOUBLE / (n - 1) AS ei, (m4 / n) / ((m2 / n) * (m2 / n)) AS b2 FROM s, b, c, u, mm),
  vv AS (SELECT *, (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - b2 * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)) / (1.0::DOUBLE * (n - 1) * (n - 2) * (n - 3) * s0 * s0) - ei * ei AS var FROM t)""",
- f"SELECT {R('n / s0 * num / m2', 'I')}, {R('ei', 'expected_I')}, {R('var', 'var_I')}, n, {R('(n / s0 * num / m2 - ei) / sqrt(var)', 'z_score')} FROM vv"))
-def moran(spark, sf_dir):
-    return rounded(esda.moran(zed(spark, sf_dir), knn8(spark, sf_dir)).drop("p_norm"))
+ f"SELECT {R('n / s0 * num / m2', 'I')}, {R('ei', 'expected_I')}, {R('var', 'var_I')}, n, {R('(n / s0 * num / m2 - ei) / sqrt(var)', 'z_score')} FROM vv")
 
 
 @query(with_(PTS, KNN(), EDGES))
@@ -263,11 +262,6 @@ def hotspot_gi(spark, sf_dir):
     return rounded(esda.hotspots(zed(spark, sf_dir), knn8(spark, sf_dir)).select("id", "z"))
 
 
-@query()
-def hotspot_labels(spark, sf_dir):
-    return esda.hotspots(zed(spark, sf_dir), knn8(spark, sf_dir))
-
-
 @query("WITH p AS (SELECT p_partkey AS id, p_retailprice / 3000 AS p FROM part), r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, id) AS raw FROM p), a AS (SELECT id, least(1.0, min(raw) OVER (ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r) SELECT id, round(q, 6) + 0.0 AS p_adjusted, q <= 0.5 AS reject FROM a")
 def bh_adjust(spark, sf_dir):
     p = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 3000).alias("p_value"))
@@ -285,17 +279,6 @@ def moran_perm(spark, sf_dir):
     return rounded(esda.permutation_test(zed(spark, sf_dir), knn8(spark, sf_dir), "moran", 19, 7))
 
 
-@query()
-def lisa_perm_fdr(spark, sf_dir):
-    return rounded(esda.local_permutations(zed(spark, sf_dir), knn8(spark, sf_dir), "moran", 19, 7))
-
-
-@query()
-def lisa_conditional(spark, sf_dir):
-    n = nat(spark, sf_dir)
-    return rounded(esda.conditional_permutations(n.select("id", F.col("cases").alias("y")), weights.lattice(cells(n)), 49, 3))
-
-
 # Point patterns, in the square from -1 to 1.
 SQUARE = frame.Window.box(-1, -1, 1, 1)
 RS = [0.05, 0.1, 0.15, 0.2]
@@ -313,14 +296,7 @@ def quadrat(spark, sf_dir):
     return rounded(pointpattern.quadrat_counts(pattern(spark, sf_dir)))
 
 
-@query(with_(PTS, "c AS (SELECT least(floor((x + 1) / 0.4), 4)::INTEGER AS cx, least(floor((y + 1) / 0.4), 4)::INTEGER AS cy, count(*) AS n FROM pts GROUP BY 1, 2), g AS (SELECT a.cx, b.cy, coalesce(c.n, 0) AS n, (SELECT count(*) FROM pts) / 25.0::DOUBLE AS x FROM (SELECT unnest(range(5)) AS cx) a CROSS JOIN (SELECT unnest(range(5)) AS cy) b LEFT JOIN c ON c.cx = a.cx AND c.cy = b.cy)", f"SELECT {R('sum((n - x) * (n - x) / x)', 'chi2')}, 24.0::DOUBLE AS df, {R('var_samp(n) / avg(n)', 'dispersion')} FROM g"))
-def quadrat_test(spark, sf_dir):
-    return rounded(pointpattern.quadrat_test(pattern(spark, sf_dir)).drop("p_value"))
-
-
-@query(with_(PTS, KNN(1, "e1"), f"SELECT count(*)::DOUBLE AS n, {R('avg(d)', 'mean_nn')}, {R('0.5 * sqrt(4.0 / count(*)) + (0.0514 + 0.041 / sqrt(count(*))) * 8 / count(*)', 'expected_nn')}, {R('avg(d) / (0.5 * sqrt(4.0 / count(*)) + (0.0514 + 0.041 / sqrt(count(*))) * 8 / count(*))', chr(34) + 'R' + chr(34))} FROM e1"))
-def clark_evans(spark, sf_dir):
-    return rounded(pointpattern.clark_evans(pattern(spark, sf_dir)).select("n", "mean_nn", "expected_nn", "R"))
+QUADRAT = with_(PTS, "c AS (SELECT least(floor((x + 1) / 0.4), 4)::INTEGER AS cx, least(floor((y + 1) / 0.4), 4)::INTEGER AS cy, count(*) AS n FROM pts GROUP BY 1, 2), g AS (SELECT a.cx, b.cy, coalesce(c.n, 0) AS n, (SELECT count(*) FROM pts) / 25.0::DOUBLE AS x FROM (SELECT unnest(range(5)) AS cx) a CROSS JOIN (SELECT unnest(range(5)) AS cy) b LEFT JOIN c ON c.cx = a.cx AND c.cy = b.cy)", f"SELECT {R('sum((n - x) * (n - x) / x)', 'chi2')}, 24.0::DOUBLE AS df, {R('var_samp(n) / avg(n)', 'dispersion')} FROM g")
 
 
 THEO = R("1 - exp(-(SELECT count(*) FROM pts) / 4.0::DOUBLE * pi() * r * r)", "theo")
@@ -414,11 +390,6 @@ def relative_risk(spark, sf_dir):
     return rounded(risk.join(dense(a), ["ix", "iy"]).join(dense(b), ["ix", "iy"]))
 
 
-@query()
-def envelope_l(spark, sf_dir):
-    return rounded(pointpattern.envelope_l(pattern(spark, sf_dir), 9, RS))
-
-
 @query()
 def thomas(spark, sf_dir):
     return pointpattern.thomas(spark, SQUARE, 5, 0.05, 10, seed=3)
@@ -451,11 +422,6 @@ def idw(spark, sf_dir):
     return rounded(interpolation.idw(pts(spark, sf_dir), targets(spark)))
 
 
-@query()
-def trend_surface(spark, sf_dir):
-    return interpolation.trend_predict(interpolation.trend_surface(pts(spark, sf_dir), 2), targets(spark))
-
-
 VG = "SELECT least(floor(d / 0.05), 9)::INTEGER AS bin, {}, {}, count(*) AS n_pairs FROM e JOIN pts p ON p.id = e.i JOIN pts q ON q.id = e.j WHERE i < j GROUP BY 1"
 
 
@@ -576,11 +542,6 @@ def systematic(spark, sf_dir):
     return sampling.systematic(cust(spark, sf_dir), 100, "x", 5).select("id", F.col("pos").cast("int").alias("pos"))
 
 
-@query()
-def systematic_hilbert(spark, sf_dir):
-    return sampling.systematic(cust(spark, sf_dir), 100, "hilbert", 5).select("id", F.col("pos").cast("int").alias("pos"))
-
-
 @query(with_(CUST, "SELECT id, stratum FROM (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('5:' || id), id) AS r FROM cust) WHERE r <= 10"))
 def stratified(spark, sf_dir):
     c = cust(spark, sf_dir)
@@ -593,11 +554,6 @@ def two_stage(spark, sf_dir):
     return sampling.two_stage(cust(spark, sf_dir), "cluster", 5, 5, 5).select("id", "cluster")
 
 
-@query()
-def grts(spark, sf_dir):
-    return sampling.grts(cust(spark, sf_dir), 50, seed=5).select("id", "pi")
-
-
 EST = "s AS (SELECT id, stratum, z, 10.0::DOUBLE / nn AS pi FROM (SELECT id, stratum, z, row_number() OVER (PARTITION BY stratum ORDER BY md5('5:' || id), id) AS r, count(*) OVER (PARTITION BY stratum) AS nn FROM cust) WHERE r <= 10), t AS (SELECT count(*)::DOUBLE AS n, sum(1 / pi) AS nn, sum(z / pi) AS sy FROM s), h AS (SELECT count(*) AS nh, sum(1 / pi) AS wh, var_samp(z) AS v FROM s GROUP BY stratum)"
 
 
@@ -619,11 +575,6 @@ def coverage(spark, sf_dir):
     return rounded(sampling.coverage(p.withColumn("pi", F.lit(20 / n)), sampling.simple_random(p, 20, 5).select("id", "x", "y")))
 
 
-@query()
-def space_filling(spark, sf_dir):
-    return sampling.space_filling(pts(spark, sf_dir).select("id", "x", "y"), 8, 5)
-
-
 # Rates of nations.
 AR = "rt AS (SELECT sum(cases) / sum(pop) AS r FROM nat), ar AS (SELECT id, cases AS o, pop * r AS e FROM nat, rt)"
 
@@ -672,16 +623,6 @@ def eb_mle(spark, sf_dir):
     return rates.eb_mle(areas(spark, sf_dir))
 
 
-@query()
-def garwood(spark, sf_dir):
-    return rates.garwood(areas(spark, sf_dir))
-
-
-@query()
-def funnel(spark, sf_dir):
-    return rates.funnel(areas(spark, sf_dir))
-
-
 @query()
 def bym(spark, sf_dir):
     return bayes.summary(bayes.bym(areas(spark, sf_dir), weights.lattice(cells(nat(spark, sf_dir))), chains=2, draws=50, tune=100, thin=2, seed=1))
@@ -731,11 +672,6 @@ def moran_residuals(spark, sf_dir):
     return small(spark, [(m["I"], m["expected_I"], m["var_I"], m["z"], m["p_value"])], "I double, expected_I double, var_I double, z double, p_value double")
 
 
-@query()
-def slx(spark, sf_dir):
-    return regression.slx(model_frame(spark, sf_dir), knn8(spark, sf_dir), "z", ["v"]).frame(spark)
-
-
 @query()
 def spatial_lag(spark, sf_dir):
     return regression.spatial_lag(model_frame(spark, sf_dir), knn8(spark, sf_dir), "z", ["v"]).frame(spark)
@@ -784,18 +720,6 @@ def gwr_bandwidth_grid(spark, sf_dir):
     return rounded(gw.gwr_scores(model_frame(spark, sf_dir), "z", "v", [30, 60, 90]))
 
 
-@query()
-def gwr_multi(spark, sf_dir):
-    m = pts(spark, sf_dir).withColumn("u", F.col("x") * F.col("y"))
-    return gw.gwr(m, "z", ["v", "u"], 60).select("id", "fitted", "residual", "hat", "sigma2", "local_r2")
-
-
-@query()
-def gtwr(spark, sf_dir):
-    m = model_frame(spark, sf_dir).withColumn("t", (F.col("id") % 7).cast("double"))
-    return gw.gtwr(m, "z", ["v"], 40, 0.01).select("id", "fitted", "residual")
-
-
 @query()
 def mgwr(spark, sf_dir):
     return gw.mgwr(model_frame(spark, sf_dir), "z", ["v"], [30, 60], 2).select("id", "fitted", "residual")
@@ -812,16 +736,6 @@ def gwglm(spark, sf_dir):
     return gw.gwglm(m, "n", ["v"], 60).select("id", "fitted")
 
 
-@query()
-def gwpca(spark, sf_dir):
-    return gw.gwpca(model_frame(spark, sf_dir), ["z", "v"], 40).select("id", F.col("explained")[0].alias("first"), "winner")
-
-
-@query()
-def local_collinearity(spark, sf_dir):
-    return gw.local_collinearity(pts(spark, sf_dir), ["z", "v"], 40).select("id", "condition", F.col("vif")[0].alias("vif_z"))
-
-
 @query()
 def gw_forest(spark, sf_dir):
     n = nat(spark, sf_dir)
@@ -926,23 +840,12 @@ def mann_kendall(spark, sf_dir):
     return rounded(spacetime.mann_kendall(panel(spark, sf_dir).withColumnRenamed("y", "value")))
 
 
-@query()
-def emerging_hotspots(spark, sf_dir):
-    return spacetime.emerging_hotspots(spacetime.gi_star_by_period(panel(spark, sf_dir), sites(spark, sf_dir)))
-
-
 @query(with_(PTS, "q AS (SELECT id, x, y, CAST(id % 10 AS DOUBLE) AS t, z FROM pts)", f"p AS (SELECT {D} AS d, abs(a.t - b.t) AS dt, power(a.z - b.z, 2) AS g FROM q a JOIN q b ON a.id < b.id)", f"SELECT least(floor(d / 0.1), 3)::INTEGER AS s_bin, floor(dt / 2)::INTEGER AS t_bin, {R('0.5 * avg(g)', 'gamma')}, count(*) AS n_pairs FROM p WHERE d <= 0.1 * 4 AND dt < 6 GROUP BY 1, 2"))
 def st_variogram(spark, sf_dir):
     s = pts(spark, sf_dir).withColumn("t", (F.col("id") % 10).cast("double"))
     return rounded(spacetime.space_time_variogram(s, 0.1, 4, 2.0, 3))
 
 
-@query()
-def st_idw(spark, sf_dir):
-    s = pts(spark, sf_dir).withColumn("t", (F.col("id") % 10).cast("double"))
-    return spacetime.space_time_idw(s, targets(spark).withColumn("t", F.lit(5.0)).withColumn("id", -F.col("id") - 1), 0.05)
-
-
 @query(with_(EV, "p AS (SELECT site AS id, day AS period, sum(value) AS y, count(*)::DOUBLE AS x FROM ev GROUP BY 1, 2), d AS (SELECT y - avg(y) OVER (PARTITION BY id) - avg(y) OVER (PARTITION BY period) + avg(y) OVER () AS a, x - avg(x) OVER (PARTITION BY id) - avg(x) OVER (PARTITION BY period) + avg(x) OVER () AS b FROM p)", f"SELECT {R('sum(a * b) / sum(b * b)', 'slope')}, count(*) AS n FROM d"))
 def two_way_fe(spark, sf_dir):
     p = views.events(spark, sf_dir).groupBy(F.col("site").alias("id"), F.col("day").alias("period")).agg(F.sum("value").alias("v"), F.count("*").cast("double").alias("n_events"))

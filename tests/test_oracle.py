@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessera.queries import QUERIES, SQL
+from tessera.queries_more import QUERIES, SQL
 from tests.conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
