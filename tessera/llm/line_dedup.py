@@ -6,9 +6,10 @@ together where they agree in most other tokens. These are cut into a few blocks,
 and a line's templates are its tokens whole and with any two blocks taken as
 variable (one token in short lines): whatever two fields of two lines differ,
 they have a template in common, and nothing depends on the order in which lines
-arrive. Lines with a template that recurs across documents are dropped. What says
-less needs more holders: a template with variable blocks, or a line of a word or
-two.
+arrive. Only lines of leaves that hold several different lines are given templates
+with variable blocks. Lines with a template that recurs across documents are
+dropped. What says less needs more holders: a template with variable blocks, or a
+line of a word or two.
 
 Copies and near copies of a document share all their lines without these being
 boilerplate. A template recurs, therefore, if documents that are no copies of
@@ -39,13 +40,13 @@ MIN_DOCS, VARIED_DOCS, SHORT_DOCS = 2, 5, 20
 #: Lines of fewer tokens and fewer bytes in them are short.
 SHORT_TOKENS, SHORT_BYTES = 4, 24
 #: A template's last two bits tell its kind.
-WHOLE, VARIED, SHORT = 0, 1, 2
+WHOLE, VARIED, SHORT, LEAF = 0, 1, 2, 3
 #: Least hashes of the rest of a document by which copies are told, and how many of them copies have in common at least.
 SKETCH, COMMON = 16, 5
 #: Bytes of the two sizes before a sketch's hashes.
 SIZES = 16
-#: Templates of more holders are held against their reference by broadcast.
-CROWD = 1_000
+#: Templates of more holders, and of more than one in ``CROWDS`` of all templates' holders, are held against their reference by broadcast.
+CROWD, CROWDS = 100, 100_000
 #: Recurring templates handed to every worker (8 bytes each) up to this number; beyond it lines are joined to them.
 TEMPLATES_BROADCAST = 2_000_000
 #: Bytes of text taken at once; longer texts are cut between lines.
@@ -105,37 +106,55 @@ class Lines:
         self.bytes = _sums(ends - begins)
         self.first = np.append(np.searchsorted(begins, self.start), len(begins))
 
-    def templates(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, template) for each template of each line, lines without tokens left out."""
         first, last = self.first[:-1], self.first[1:]
-        n = last - first
-        line = np.repeat(np.arange(len(n)), n)
+        self.n = last - first
+        line = np.repeat(np.arange(len(self.n)), self.n)
         fields = _sums(self.digit.astype(np.int64))
         fields = fields[last] - fields[first]
         # A line that is mostly variable fields would be like any other: it is taken as it is.
-        token = np.where(self.digit & (2 * fields <= n)[line], np.uint64(1), self.token)
+        token = np.where(self.digit & (2 * fields <= self.n)[line], np.uint64(1), self.token)
         place = np.arange(len(token), dtype=np.int64) - first[line]
-        sums = _sums(mix(token ^ (place.astype(np.uint64) + np.uint64(1)) * _M2))
-        total, size = sums[last] - sums[first], n.astype(np.uint64) * _M3
-        short = (n < SHORT_TOKENS) & (self.bytes[last] - self.bytes[first] < SHORT_BYTES)
-        some = np.flatnonzero(n)
-        lines = [some]
-        found = [(mix(total[some] ^ size[some]) & ~np.uint64(3)) | np.where(short[some], np.uint64(SHORT), np.uint64(WHOLE))]
+        self.sums = _sums(mix(token ^ (place.astype(np.uint64) + np.uint64(1)) * _M2))
+        self.total, self.size = self.sums[last] - self.sums[first], self.n.astype(np.uint64) * _M3
+
+    def _named(self, at: np.ndarray, fixed: np.ndarray, name: int, kind) -> np.ndarray:
+        return ((mix(fixed ^ self.size[at] ^ np.array(name, np.uint64) * _M1) & ~np.uint64(3)) | np.asarray(kind, np.uint64)).view(np.int64)
+
+    def wholes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, template) of each line with all its tokens, lines without tokens left out."""
+        some = np.flatnonzero(self.n)
+        short = (self.n < SHORT_TOKENS) & (self.bytes[self.first[1:]] - self.bytes[self.first[:-1]] < SHORT_BYTES)
+        return some, self._named(some, self.total[some], 0, np.where(short[some], SHORT, WHOLE))
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, leaf) of each line that may have variable blocks: its number of tokens and its leading tokens."""
+        some = np.flatnonzero(self.n >= VARYING[0][0])
+        first = self.first[some]
+        return some, self._named(some, self.sums[first + LEADING] - self.sums[first], 1, LEAF)
+
+    def varied(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, template) of the templates with variable blocks of the lines ``some``."""
+        lines, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for low, high, blocks, varying in VARYING:
-            here = np.flatnonzero((n >= low) & (n < high))
+            here = some[(self.n[some] >= low) & (self.n[some] < high)]
             if not len(here):
                 continue
-            rest = n[here] - LEADING
-            bounds = [sums[first[here] + LEADING + rest * b // blocks] for b in range(blocks + 1)]
+            rest, begin = self.n[here] - LEADING, self.first[here] + LEADING
+            bounds = [self.sums[begin + rest * b // blocks] for b in range(blocks + 1)]
             empty = [rest * b // blocks == rest * (b + 1) // blocks for b in range(blocks)]
             for k, out in enumerate(combinations(range(blocks), varying)):
-                fixed = total[here].copy()
+                fixed = self.total[here].copy()
                 for b in out:
                     fixed -= bounds[b + 1] - bounds[b]
                 full = ~np.logical_or.reduce([empty[b] for b in out])
                 lines.append(here[full])
-                found.append((mix(fixed[full] ^ size[here[full]] ^ np.array(k + 2, np.uint64) * _M1) & ~np.uint64(3)) | np.uint64(VARIED))
-        return np.concatenate(lines), np.concatenate(found).view(np.int64)
+                found.append(self._named(here[full], fixed[full], k + 2, VARIED))
+        return np.concatenate(lines), np.concatenate(found)
+
+    def templates(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, template) for each template of each line."""
+        (a, b), (c, d) = self.wholes(), self.varied(np.arange(len(self.n)))
+        return np.concatenate((a, c)), np.concatenate((b, d))
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the three-word shingles and the line of each; a shorter line's words are one shingle."""
@@ -159,7 +178,7 @@ def templates(line: bytes) -> list[int]:
 def need(template: Column, min_docs: int = MIN_DOCS) -> Column:
     """Documents that must hold the template for it to recur."""
     kind = template.bitwiseAND(F.lit(3))
-    return F.when(kind == VARIED, max(VARIED_DOCS, min_docs)).when(kind == SHORT, max(SHORT_DOCS, min_docs)).otherwise(min_docs)
+    return F.when(kind.isin(VARIED, LEAF), max(VARIED_DOCS, min_docs)).when(kind == SHORT, max(SHORT_DOCS, min_docs)).otherwise(min_docs)
 
 
 def rest_sketch(hashes: np.ndarray, inside: np.ndarray) -> bytes:
@@ -181,18 +200,32 @@ def rest_sketch(hashes: np.ndarray, inside: np.ndarray) -> bytes:
         few *= 4
 
 
-def alike(a: bytes, b: bytes) -> bool:
-    """Whether two rests are those of copies: of the least hashes of both, as many as ``COMMON`` of ``SKETCH`` are in each.
+def _sketches(column: pa.Array) -> np.ndarray:
+    """(rows, 2 + SKETCH): the two sizes and the hashes of each sketch, filled up with the largest number."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    flat = np.frombuffer(column.buffers()[2], np.uint64, int(ends[-1])) if len(column) else np.zeros(0, np.uint64)
+    size, first = np.diff(ends), int(ends[0]) if len(ends) else 0
+    out = np.full((len(column), 2 + SKETCH), np.uint64((1 << 64) - 1))
+    out[np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(ends[:-1] - first, size)] = flat[first:]
+    return out
+
+
+def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether each two rests are those of copies: of the least hashes of both, as many as ``COMMON`` of ``SKETCH`` are in each.
 
     So are documents that are near copies by the line alone, four fifths of all they hold.
     """
-    (inside, rest), (other_inside, other_rest) = (np.frombuffer(x, np.uint64, 2).tolist() for x in (a, b))
-    if 5 * min(inside, other_inside) >= 4 * (max(inside, other_inside) + rest + other_rest):
-        return True
-    a, b = np.frombuffer(a, np.uint64)[2:], np.frombuffer(b, np.uint64)[2:]
-    least = np.union1d(a, b)[:SKETCH]
-    both = np.isin(least, a) & np.isin(least, b)
-    return SKETCH * int(both.sum()) >= COMMON * len(least)
+    a, b = _sketches(a), _sketches(b)
+    sizes = np.stack([a[:, :2], b[:, :2]]).astype(np.int64)
+    inside, rest = sizes[:, :, 0], sizes[:, :, 1].sum(0)
+    all_ = np.sort(np.concatenate([a[:, 2:], b[:, 2:]], 1), axis=1)
+    some = all_ != np.uint64((1 << 64) - 1)
+    # Either sketch has a hash once: what stands there twice is in both.
+    twice = np.zeros(all_.shape, bool)
+    twice[:, 1:] = (all_[:, 1:] == all_[:, :-1]) & some[:, 1:]
+    rank = np.cumsum(some & ~twice, 1)
+    both, least = (twice & (rank <= SKETCH)).sum(1), np.minimum(rank[:, -1], SKETCH)
+    return (5 * inside.min(0) >= 4 * (inside.max(0) + rest)) | (SKETCH * both >= COMMON * least)
 
 
 def _few(found: DataFrame, most: int):
@@ -252,19 +285,47 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """(template, text) rows, each document's every template once; text is a hash of the whole text."""
+    """(template, mark) rows: each document's every whole template once, mark a hash of its text, and its leaves, mark the whole template."""
 
     def run(batches):
         for _, texts in _batches(batches):
-            numbers, found = [], []
+            numbers, found, leaves, wholes = [], [], [], []
             for owner, lines in _steps(texts):
-                line, names = lines.templates()
+                line, names = lines.wholes()
                 numbers.append(owner[lines.text[line]])
                 found.append(names)
+                some, leaf = lines.leaves()
+                leaves.append(leaf)
+                wholes.append(names[np.searchsorted(line, some)])
             text, template = _each_once(np.concatenate(numbers), np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(template), pa.array(_marks(texts)[text])], ["template", "text"])
+            template, mark = np.concatenate([template, *leaves]), np.concatenate([_marks(texts)[text], *wholes])
+            yield pa.RecordBatch.from_arrays([pa.array(template), pa.array(mark)], ["template", "mark"])
+
+    return _texts(documents).mapInArrow(run, "template long, mark long")
 
-    return _texts(documents).mapInArrow(run, "template long, text long")
+
+def _varied(documents: DataFrame, leaves: DataFrame, most_broadcast: int) -> DataFrame:
+    """(template, mark) rows for the lines in ``leaves`` (template): their templates with variable blocks, mark the whole template."""
+    shared = _few(leaves, most_broadcast)
+
+    def run(batches):
+        for _, texts in _batches(batches):
+            for _, lines in _steps(texts):
+                some, leaf = lines.leaves()
+                if shared is not None:
+                    there = _among(leaf, shared.value)
+                    some, leaf = some[there], leaf[there]
+                if not len(some):
+                    continue
+                line, names = lines.varied(some)
+                at, (whole_line, whole) = np.searchsorted(some, line), lines.wholes()
+                columns = [pa.array(leaf[at]), pa.array(names), pa.array(whole[np.searchsorted(whole_line, line)])]
+                yield pa.RecordBatch.from_arrays(columns, ["leaf", "template", "mark"])
+
+    rows = _texts(documents).mapInArrow(run, "leaf long, template long, mark long")
+    if shared is None:
+        rows = rows.join(leaves.withColumnRenamed("template", "leaf"), "leaf", "left_semi")
+    return rows.select("template", "mark")
 
 
 def _rests(documents: DataFrame, only=None) -> DataFrame:
@@ -328,20 +389,28 @@ def recurring(documents: DataFrame, min_docs: int = MIN_DOCS, most_broadcast: in
 
     def unlike(batches):
         for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            yield batch.select(["template"]).filter(pa.array([not alike(a, b) for a, b in pairs], pa.bool_()))
+            yield batch.select(["template"]).filter(pa.array(~alike(batch.column(1), batch.column(2))))
 
     enough = F.col("n") >= need(F.col("template"), min_docs)
-    # Counts combine on the map side: a line of every document is one row for each task.
-    ends = _lines(documents).groupBy("template").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b"))
-    maybe = cut(ends.where(enough).where("a != b").select("template"))
+
+    def of_unlike(rows):
+        # Counts combine on the map side: a line of every document is one row for each task.
+        ends = rows.groupBy("template").agg(F.count("*").alias("n"), F.min("mark").alias("a"), F.max("mark").alias("b"))
+        return cut(ends.where(enough).where("a != b").select("template"))
+
+    first = of_unlike(_lines(documents))
+    leaf = F.col("template").bitwiseAND(F.lit(3)) == LEAF
+    maybe = first.where(~leaf).unionAll(of_unlike(_varied(documents, first.where(leaf), most_broadcast)))
     few = _few(maybe, most_broadcast)
     rows = _rests(documents, few)
     # A document that is nothing but the line doesn't tell whether others are its copies.
     rows = cut((rows if few is not None else rows.join(maybe, "template", "left_semi")).where(F.length("rest") > SIZES))
     firsts = cut(rows.groupBy("template").agg(F.count("*").alias("n"), F.min("text").alias("first"), F.max("text").alias("last")).where("first != last").where(enough))
-    crowds = F.broadcast(firsts.where(F.col("n") > CROWD))
-    quiet = rows.join(firsts.where(F.col("n") <= CROWD), "template")
+    # Fewer than CROWDS templates can have more than a CROWDS-th of all rows: few enough to be broadcast whatever the input's size.
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    crowd = max(CROWD, total // CROWDS)
+    crowds = F.broadcast(firsts.where(F.col("n") > crowd))
+    quiet = rows.join(crowds.select("template"), "template", "left_anti").join(firsts.where(F.col("n") <= crowd), "template")
     crowded = rows.join(crowds, "template")
     refs, crowd_refs = (x.where("text = first").groupBy("template").agg(F.first("rest").alias("ref")) for x in (quiet, crowded))
     pairs = quiet.where("text != first").join(refs, "template").select("template", "rest", "ref")

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -329,6 +330,23 @@ def _templates_by_text(raw):
     return out.items()
 
 
+def test_sketches_are_compared_as_sets():
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(400):
+        pool = rng.integers(0, 1 << 63, 24, np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, 17), replace=False))[:16] for _ in range(2))
+        sizes = rng.integers(0, 40, 4).astype(np.uint64)
+        rows.append((sizes[:2].tobytes() + a.tobytes(), sizes[2:].tobytes() + b.tobytes(), a, b, sizes.astype(int)))
+    left, right = (pa.array([b""] * 3 + [r[k] for r in rows], pa.binary()).slice(3) for k in (0, 1))
+    want = []
+    for _, _, a, b, (inside, rest, other, more) in rows:
+        least = sorted({*a.tolist(), *b.tolist()})[:16]
+        both = len([x for x in least if x in a and x in b])
+        want.append(5 * min(inside, other) >= 4 * (max(inside, other) + rest + more) or 16 * both >= 5 * len(least))
+    assert line_dedup.alike(left, right).tolist() == want
+
+
 def test_short_lines_and_word_fields_recur_with_more_holders(spark):
     rng = np.random.default_rng(12)
     word = lambda n=6: "".join(rng.choice(list("abcdefghij"), n))
