@@ -6,13 +6,15 @@ by id for local statistics. Undefined statistics are null.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import special
 from tessera.operators.weights import Weights
-from tessera.plans.resample import p_values, permuted, replicates, ticket
+from tessera.plans.resample import first_drawn, p_values, permuted, replicates
 
 
 def safe(numerator: Column, denominator: Column) -> Column:
@@ -275,35 +277,100 @@ def local_permutations(values: DataFrame, w: Weights, statistic: str = "moran",
     return out.select("id", "stat", "p_sim", "p_adjusted", q.alias("quadrant"), quadrant_label(q).alias("label"))
 
 
-def conditional_permutations(values: DataFrame, w: Weights, permutations: int = 99, seed: int = 0) -> DataFrame:
-    """(id, Ii, p_sim, quadrant): each row's neighbours redrawn from the others, as many as it has, itself kept.
+#: Rows of drawn values handed to every task up to this number (24 bytes each); beyond it edges are joined to them.
+DRAWN_BROADCAST = 1_000_000
+
 
-    The draws are the smallest hashes of (seed, replicate, row, other); the
-    others are broadcast, so this is for tables of a few thousand rows.
+def conditional_counts(values: DataFrame, w: Weights, term, permutations: int = 99, seed: int = 0) -> DataFrame:
+    """(id, seen, up, down): a row's sum over its neighbours against as many others drawn at random, the row itself kept.
+
+    ``values`` is (id, y) with a column x of the row itself; ``term`` gives what a
+    neighbour of value y adds to the sum of a row of x. Each replicate has one
+    random order of all rows, of which a row takes the first others, as many as it
+    has neighbours: the work grows with edges and replicates, not with pairs. ``up``
+    and ``down`` count the replicates whose sum is at least and at most the real one.
     """
-    c = _centred(values)
-    seen = local_moran(values, w)
-    own = w.edges.where("i != j").withColumn("pos", F.row_number().over(Window.partitionBy("i").orderBy("j"))).select("i", "pos", "w")
-    size = own.groupBy("i").agg(F.count("*").alias("k"))
-    many = replicates(size, permutations)
-    others = F.broadcast(c.select(F.col("id").alias("o"), F.col("z").alias("zo")))
-    drawn = many.join(others, F.col("i") != F.col("o"))
-    order = Window.partitionBy("rep", "i").orderBy(ticket(seed, "rep", "i", "o"), "o")
-    drawn = drawn.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("k"))
-    lag = drawn.join(own, ["i", "pos"]).groupBy("rep", "i").agg(F.sum(F.col("w") * F.col("zo")).alias("lag"))
-    both = lag.join(seen.select(F.col("id").alias("i"), "z", F.col("lag").alias("real")), "i")
-    tiny = 1e-12
-    n = lambda x: F.sum(F.when(x, 1).otherwise(0))
-    counts = both.groupBy("i").agg(n(F.col("z") * F.col("lag") >= F.col("z") * F.col("real") - tiny).alias("up"), n(F.col("z") * F.col("lag") <= F.col("z") * F.col("real") + tiny).alias("down"))
-    out = seen.join(counts, seen["id"] == counts["i"], "left")
-    return out.select("id", "Ii", F.when(F.col("up").isNotNull(), p_values(F.col("Ii"), F.col("up"), F.col("down"), permutations)).alias("p_sim"), "quadrant")
+    from tessera.plans.graph import cut
+
+    x = values.select(F.col("id").alias("i"), F.col("x").alias("xi"))
+    own = w.edges.where("i != j").withColumn("pos", F.row_number().over(Window.partitionBy("i").orderBy("j"))).select("i", "j", "pos", "w")
+    most = own.agg(F.max("pos")).first()[0]
+    if most is None:
+        return values.select("id", F.lit(0.0).alias("seen"), F.lit(permutations).cast("long").alias("up"), F.lit(permutations).cast("long").alias("down"))
+    rows = permutations * (most + 1)
+    drawn = cut(first_drawn(values, permutations, most + 1, seed))
+    few = F.broadcast if rows <= DRAWN_BROADCAST else (lambda d: d)
+    seen = own.join(values.select(F.col("id").alias("j"), F.col("y").alias("yj")), "j").join(x, "i").groupBy("i").agg(F.sum(F.col("w") * term(F.col("xi"), F.col("yj"))).alias("seen"))
+    many = replicates(own.join(x, "i").select("i", "xi", "pos", "w"), permutations)
+    itself = drawn.select("rep", F.col("o").alias("i"), F.col("rank").alias("_skip"))
+    placed = many.join(few(itself), ["rep", "i"], "left").withColumn("rank", F.col("pos") + F.when(F.col("_skip") <= F.col("pos"), 1).otherwise(0))
+    sims = placed.join(few(drawn.select("rep", "rank", F.col("y").alias("yj"))), ["rep", "rank"]).groupBy("rep", "i").agg(F.sum(F.col("w") * term(F.col("xi"), F.col("yj"))).alias("s"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = sims.join(seen, "i").groupBy("i").agg(F.max("seen").alias("seen"), n(F.col("s") >= F.col("seen") - 1e-12).alias("up"), n(F.col("s") <= F.col("seen") + 1e-12).alias("down"))
+    return counts.withColumnRenamed("i", "id")
+
+
+def _tested(table: DataFrame, counts: DataFrame, statistic: str, permutations: int) -> DataFrame:
+    """``table`` with p_sim (two-sided by rank); null for rows without neighbours."""
+    p = p_values(F.col(statistic), F.col("up"), F.col("down"), permutations)
+    return table.join(counts.select("id", "up", "down"), "id", "left").withColumn("p_sim", F.when(F.col("up").isNotNull(), p)).drop("up", "down")
 
 
-def hotspots(values: DataFrame, w: Weights, star: bool = True, correction: str = "fdr", alpha: float = 0.05) -> DataFrame:
-    """(id, z, p_analytic, p_adjusted, label): Gi* with the mean self weight; tiers at alpha / 5, alpha and 2 alpha."""
-    z = local_g(values, w, star, "mean")
-    p = z.withColumn("p_analytic", special.as_column(lambda x: 2 * special.normal_sf(abs(x)), F.col("z")))
-    out = adjusted_p(p, "p_analytic", correction, alpha).drop("reject")
+def conditional_permutations(values: DataFrame, w: Weights, permutations: int = 99, seed: int = 0) -> DataFrame:
+    """(id, Ii, p_sim, quadrant): local Moran, each row's neighbours redrawn from the others, as many as it has, itself kept."""
+    c = _centred(values).select("id", F.col("z").alias("y"), F.col("z").alias("x"))
+    counts = conditional_counts(c, w, lambda x, y: x * y, permutations, seed)
+    return _tested(local_moran(values, w), counts, "Ii", permutations).select("id", "Ii", "p_sim", "quadrant")
+
+
+def local_bivariate_test(values: DataFrame, w: Weights, x: str = "x", y: str = "y", permutations: int = 99, seed: int = 0, alpha: float = 0.05, correction: str = "fdr") -> DataFrame:
+    """(id, Ii, p_sim, p_adjusted, quadrant, label): bivariate local Moran, the neighbours' y redrawn and x kept; quadrants of adjusted p."""
+    check_resolution(permutations, values.count(), alpha, correction)
+    seen = local_moran_bivariate(values, w, x, y)
+    both = _centred(values, x).select("id", F.col("z").alias("x")).join(_centred(values, y).select("id", F.col("z").alias("y")), "id")
+    counts = conditional_counts(both, w, lambda a, b: a * b, permutations, seed)
+    out = adjusted_p(_tested(seen, counts, "Ii", permutations), "p_sim", correction, alpha)
+    q = F.when(F.col("p_adjusted") <= alpha, F.col("quadrant")).otherwise(0)
+    return out.select("id", "Ii", "p_sim", "p_adjusted", q.alias("quadrant"), quadrant_label(q).alias("label"))
+
+
+def local_geary_test(values: DataFrame, w: Weights, permutations: int = 99, seed: int = 0) -> DataFrame:
+    """(id, Ci, p_sim): local Geary, the neighbours redrawn and the row kept."""
+    c = values.select("id", "y", F.col("y").alias("x"))
+    counts = conditional_counts(c, w, lambda x, y: F.pow(x - y, 2), permutations, seed)
+    return _tested(local_geary(values, w), counts, "Ci", permutations).select("id", "Ci", "p_sim")
+
+
+def local_g_test(values: DataFrame, w: Weights, star: bool = False, self_weight: str = "one", permutations: int = 99, seed: int = 0, alpha: float = 0.05, correction: str = "fdr") -> DataFrame:
+    """(id, z, p_sim, p_adjusted, reject): Gi or Gi*, the neighbours redrawn and the row kept; given the row, z grows with the neighbours' sum alone."""
+    check_resolution(permutations, values.count(), alpha, correction)
+    counts = conditional_counts(values.select("id", "y", F.lit(0.0).alias("x")), w, lambda x, y: y, permutations, seed)
+    return adjusted_p(_tested(local_g(values, w, star, self_weight), counts, "z", permutations), "p_sim", correction, alpha)
+
+
+def check_resolution(permutations: int, n: int, alpha: float = 0.05, correction: str = "fdr") -> None:
+    """Warns where so few permutations can't give p-values that outlive the correction."""
+    if correction == "none" or permutations <= 0:
+        return
+    least, enough = 2 / (permutations + 1), -(-2 * n // alpha)
+    if correction == "bonferroni" and least > alpha / n:
+        warnings.warn(f"{permutations} permutations can't reach {alpha / n:.3g}; it takes {enough:.0f}", stacklevel=3)
+    elif correction == "fdr" and least > alpha:
+        warnings.warn(f"{permutations} permutations can't reach {alpha}", stacklevel=3)
+    elif correction == "fdr" and -(-least * n // alpha) > 3:
+        warnings.warn(f"with {permutations} permutations {-(-least * n // alpha):.0f} of {n} rows must have the least p-value for any to be found; {enough:.0f} permutations need no such crowd", stacklevel=3)
+
+
+def hotspots(values: DataFrame, w: Weights, star: bool = True, correction: str = "fdr", alpha: float = 0.05, inference: str = "analytic", permutations: int = 999, seed: int = 0) -> DataFrame:
+    """(id, z, p_analytic or p_sim, p_adjusted, label): Gi* with the mean self weight; tiers at alpha / 5, alpha and 2 alpha."""
+    if inference == "permutation":
+        out = local_g_test(values, w, star, "mean", permutations, seed, alpha, correction).drop("reject")
+    elif inference == "analytic":
+        z = local_g(values, w, star, "mean")
+        p = z.withColumn("p_analytic", special.as_column(lambda x: 2 * special.normal_sf(abs(x)), F.col("z")))
+        out = adjusted_p(p, "p_analytic", correction, alpha).drop("reject")
+    else:
+        raise ValueError(f"unknown inference {inference!r}")
     side = F.when(F.col("z") > 0, "Hot spot").otherwise("Cold spot")
     tier = F.when(F.col("p_adjusted") <= alpha / 5, " 99%").when(F.col("p_adjusted") <= alpha, " 95%").when(F.col("p_adjusted") <= 2 * alpha, " 90%")
     return out.withColumn("label", F.coalesce(F.concat(side, tier), F.lit("Not significant")))

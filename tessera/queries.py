@@ -690,7 +690,7 @@ def spatial_error(spark, sf_dir):
 @query()
 def impacts(spark, sf_dir):
     f = regression.spatial_lag(model_frame(spark, sf_dir), knn8(spark, sf_dir), "z", ["v"])
-    return small(spark, [(k, *v) for k, v in regression.impacts(f, ["v"]).items()], "name string, direct double, indirect double, total double")
+    return regression.impact_table(spark, f, ["v"], 200)
 
 
 # Geographically weighted models of z on v.

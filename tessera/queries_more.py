@@ -176,12 +176,50 @@ def join_counts_perm(spark, sf_dir):
     return rounded(esda.permutation_test(blacks(spark, sf_dir), knn8(spark, sf_dir), "BW", 19, 7))
 
 
-@query(with_(NAT, LATTICE("nat"), "zz AS (SELECT id, cases - avg(cases) OVER () AS z FROM nat), ow AS (SELECT i, j, w, row_number() OVER (PARTITION BY i ORDER BY j) AS pos FROM e), kk AS (SELECT i, count(*) AS k FROM e GROUP BY 1), dr AS (SELECT rep, i, o.z AS zo, k, row_number() OVER (PARTITION BY rep, i ORDER BY md5('3:' || rep || ':' || i || ':' || o.id), o.id) AS pos FROM kk, (SELECT unnest(range(49)) AS rep), zz o WHERE o.id <> i), lg AS (SELECT rep, dr.i, sum(w * zo) AS lag FROM dr JOIN ow ON ow.i = dr.i AND ow.pos = dr.pos WHERE dr.pos <= k GROUP BY 1, 2), re AS (SELECT e.i AS id, any_value(p.z) AS z, sum(w * q.z) AS lag FROM e JOIN zz p ON p.id = e.i JOIN zz q ON q.id = e.j GROUP BY 1), c AS (SELECT re.id, any_value(re.z) AS z, any_value(re.lag) AS lag, count(*) FILTER (re.z * lg.lag >= re.z * re.lag - 1e-12) AS up, count(*) FILTER (re.z * lg.lag <= re.z * re.lag + 1e-12) AS dn FROM lg JOIN re ON re.id = lg.i GROUP BY 1)", f"SELECT id, {R('z * lag / (SELECT avg(z * z) FROM zz)', 'Ii')}, {R('least(1.0, 2 * least((1 + up) / 50.0::DOUBLE, (1 + dn) / 50.0::DOUBLE))', 'p_sim')}, {QUAD.format('z', 'lag')} FROM c"))
+def CONDITIONAL(table: str, term: str, reps: int, seed: int) -> str:
+    """CTEs to ``cn`` (id, seen, up, dn): neighbours redrawn; ``table`` is (id, x, y), ``term`` of a.x and b.y."""
+    return f"ow AS (SELECT i, j, w, row_number() OVER (PARTITION BY i ORDER BY j) AS pos FROM e), dr AS (SELECT * FROM (SELECT rep, id AS o, y, row_number() OVER (PARTITION BY rep ORDER BY md5('{seed}:' || rep || ':' || id), id) AS rank FROM {table}, (SELECT unnest(range({reps})) AS rep)) WHERE rank <= (SELECT max(pos) + 1 FROM ow)), pc AS (SELECT r.rep, ow.i, ow.w, ow.pos + CASE WHEN s.rank <= ow.pos THEN 1 ELSE 0 END AS rank FROM ow CROSS JOIN (SELECT unnest(range({reps})) AS rep) r LEFT JOIN dr s ON s.rep = r.rep AND s.o = ow.i), si AS (SELECT pc.rep, pc.i, sum(pc.w * {term}) AS s FROM pc JOIN dr b ON b.rep = pc.rep AND b.rank = pc.rank JOIN {table} a ON a.id = pc.i GROUP BY 1, 2), se AS (SELECT ow.i, sum(w * {term}) AS seen FROM ow JOIN {table} a ON a.id = ow.i JOIN {table} b ON b.id = ow.j GROUP BY 1), cn AS (SELECT se.i AS id, any_value(seen) AS seen, count(*) FILTER (s >= seen - 1e-12) AS up, count(*) FILTER (s <= seen + 1e-12) AS dn FROM si JOIN se ON se.i = si.i GROUP BY 1)"
+
+
+def PSIM(reps: int) -> str:
+    return f"least(1.0::DOUBLE, 2 * least((1 + up) / {reps + 1}.0::DOUBLE, (1 + dn) / {reps + 1}.0::DOUBLE))"
+
+
+@query(with_(NAT, LATTICE("nat"), "tt AS (SELECT id, cases - avg(cases) OVER () AS x, cases - avg(cases) OVER () AS y FROM nat)", CONDITIONAL("tt", "a.x * b.y", 49, 3), f"SELECT tt.id, {R('seen / (SELECT avg(x * x) FROM tt)', 'Ii')}, {R(PSIM(49), 'p_sim')}, {QUAD.format('x', '(seen / x)')} FROM cn JOIN tt ON tt.id = cn.id"))
 def lisa_conditional(spark, sf_dir):
     n = nat(spark, sf_dir)
     return rounded(esda.conditional_permutations(n.select("id", F.col("cases").alias("y")), weights.lattice(cells(n)), 49, 3))
 
 
+@query(with_(PTS, KNN(), "tt AS (SELECT id, z AS x, z AS y FROM pts)", CONDITIONAL("tt", "power(a.x - b.y, 2)", 19, 5), f"SELECT id, {R('seen', 'Ci')}, {R(PSIM(19), 'p_sim')} FROM cn"))
+def local_geary_conditional(spark, sf_dir):
+    return rounded(esda.local_geary_test(zed(spark, sf_dir), knn8(spark, sf_dir), 19, 5))
+
+
+GIZ = "s AS (SELECT i AS id, sum(w * z) AS wy, sum(w) AS sw, sum(w * w) AS sw2 FROM e JOIN pts ON pts.id = e.j GROUP BY 1), t AS (SELECT count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM pts), u AS (SELECT p.id, wy, sw, sw2, n, (t.s - p.z) / (n - 1) AS m, (q - p.z * p.z) / (n - 1) AS qq FROM pts p JOIN s ON s.id = p.id, t), gz AS (SELECT id, (wy - m * sw) / sqrt((qq - m * m) * ((n - 1) * sw2 - sw * sw) / (n - 2)) AS z FROM u)"
+
+
+@query(with_(PTS, KNN(), "tt AS (SELECT id, 0.0::DOUBLE AS x, z AS y FROM pts)", CONDITIONAL("tt", "b.y", 99, 5), GIZ, f"gp AS (SELECT gz.id, z, {PSIM(99)} AS p_sim FROM gz JOIN cn ON cn.id = gz.id)", BH("p_sim", "gp", "id, z"), f"SELECT id, {R('z', 'z')}, {R('p', 'p_sim')}, {R('q', 'p_adjusted')}, q <= 0.05 AS reject FROM bh"))
+def gi_conditional(spark, sf_dir):
+    return rounded(esda.local_g_test(zed(spark, sf_dir), knn8(spark, sf_dir), permutations=99, seed=5))
+
+
+BVQ = "q0 AS (SELECT bh.id, ii, p, q, CASE WHEN q > 0.05 THEN 0 WHEN zx > 0 AND lag > 0 THEN 1 WHEN zx <= 0 AND lag > 0 THEN 2 WHEN zx <= 0 AND lag <= 0 THEN 3 ELSE 4 END AS quadrant FROM bh)"
+
+
+@query(with_(PTS, KNN(), "tt AS (SELECT id, z - avg(z) OVER () AS x, v - avg(v) OVER () AS y FROM pts)", CONDITIONAL("tt", "a.x * b.y", 99, 5), "sd AS (SELECT sqrt(avg(x * x)) AS sx, sqrt(avg(y * y)) AS sy FROM tt)", f"gp AS (SELECT tt.id, x / sx AS zx, seen / x / sy AS lag, seen / sx / sy AS ii, {PSIM(99)} AS p_sim FROM tt JOIN cn ON cn.id = tt.id, sd)", BH("p_sim", "gp", "id, zx, lag, ii"), BVQ, f"SELECT id, {R('ii', 'Ii')}, {R('p', 'p_sim')}, {R('q', 'p_adjusted')}, quadrant, (['NS', 'HH', 'LH', 'LL', 'HL'])[quadrant + 1] AS label FROM q0"))
+def lisa_bv_conditional(spark, sf_dir):
+    return rounded(esda.local_bivariate_test(pts(spark, sf_dir).select("id", F.col("z").alias("zz"), "v"), knn8(spark, sf_dir), "zz", "v", 99, 5))
+
+
+HOTZ = HOT.split(", gp AS")[0]
+
+
+@query(with_(PTS, KNN(), "tt AS (SELECT id, 0.0::DOUBLE AS x, z AS y FROM pts)", CONDITIONAL("tt", "b.y", 99, 5), HOTZ, f"gp AS (SELECT gz.id, z, {PSIM(99)} AS p_sim FROM gz JOIN cn ON cn.id = gz.id)", BH("p_sim", "gp", "id, z"), f"SELECT id, {R('z', 'z')}, {R('p', 'p_sim')}, {R('q', 'p_adjusted')}, CASE WHEN q <= 0.4 THEN (CASE WHEN z > 0 THEN 'Hot spot' ELSE 'Cold spot' END) || CASE WHEN q <= 0.04 THEN ' 99%' WHEN q <= 0.2 THEN ' 95%' ELSE ' 90%' END ELSE 'Not significant' END AS label FROM bh"))
+def hotspots_conditional(spark, sf_dir):
+    return rounded(esda.hotspots(zed(spark, sf_dir), knn8(spark, sf_dir), alpha=0.2, inference="permutation", permutations=99, seed=5))
+
+
 @query(with_(PTS, KNN(), CZ, f"{LAG}, pl AS (SELECT zz.id, z, lag FROM zz JOIN lg ON lg.id = zz.id)", f"SELECT {R('regr_slope(lag, z)', 'slope')}, {R('regr_intercept(lag, z)', 'intercept')} FROM pl"))
 def moran_scatter_line(spark, sf_dir):
     return rounded(plots.moran_scatter(zed(spark, sf_dir), knn8(spark, sf_dir))[1])

@@ -177,6 +177,53 @@ def test_regressions(spark):
     var = (np.trace(A @ M @ W.T) + np.trace(A @ A) + np.trace(A) ** 2) / (98 * 100) - (np.trace(A) / 98) ** 2
     assert m["var_I"] == pytest.approx(var)
     assert np.isfinite(regression.spatial_error(sar, w, "z", ["v"]).se).all()
+    table = {(r.name, r.effect): r for r in regression.impact_table(spark, lag, ["v"], 200, 1).collect()}
+    assert table["v", "direct"].estimate == pytest.approx(direct) and all(r.lo < r.estimate < r.hi and r.se > 0 for r in table.values())
+    assert table["v", "total"].p_value < 0.01
+
+
+def test_spatial_models_beyond_the_dense_limit(spark, monkeypatch):
+    """Standard errors and effects by series, against the exact ones."""
+    d = lattice(spark, 9)
+    w = weights.lattice(d.select("id", "row", "col"))
+    rows = d.orderBy("id").toPandas()
+    W, _ = regression.dense_weights(w)
+    rng = np.random.default_rng(5)
+    y = np.linalg.solve(np.eye(81) - 0.4 * W, 1 + 2 * rows.v + rng.normal(0, 0.3, 81))
+    sar = d.drop("z").join(spark.createDataFrame(pd.DataFrame({"id": rows.id, "z": y})), "id")
+    exact = regression.spatial_lag(sar, w, "z", ["v"])
+    monkeypatch.setattr(regression, "DENSE", 20)
+    series = regression.Powers(w, 30, 12)
+    assert series.traced(0.4)[0] == pytest.approx(exact.stats["powers"].traced(0.4)[0], rel=0.02)
+    assert series.summed(0.4) == pytest.approx(exact.stats["powers"].summed(0.4), rel=1e-4) and series.error > 0
+    monkeypatch.setattr(regression.Powers.__init__, "__defaults__", (12, 12, 0))
+    found = regression.spatial_lag(sar, w, "z", ["v"])
+    assert found.stats["rho"] == pytest.approx(exact.stats["rho"], abs=0.05) and found.se == pytest.approx(exact.se, rel=0.35)
+    assert np.ravel(list(regression.impacts(found, ["v"]).values())) == pytest.approx(np.ravel(list(regression.impacts(exact, ["v"]).values())), rel=0.1)
+
+
+def test_feasible_rho_of_weights_that_are_not_standardised(spark):
+    d = lattice(spark, 5)
+    w = weights.lattice(d.select("id", "row", "col"), transform=None)
+    eigen = np.linalg.eigvals(regression.dense_weights(w)[0]).real
+    assert regression.rho_bounds(w) == pytest.approx((0.999 / eigen.min(), 0.999 / eigen.max()))
+    assert regression.rho_bounds(w.transformed("row")) == (-0.999, 0.999)
+
+
+def test_ranks_in_slices_are_those_of_one_sort(spark, monkeypatch):
+    from tessera.plans import resample
+
+    values = spark.range(300).select("id", (F.col("id") * 7 % 31).cast("double").alias("y"))
+    want = sorted(map(tuple, resample.permuted(values, 3, 5).collect()))
+    monkeypatch.setattr(resample, "ONE_SORT", 10)
+    assert sorted(map(tuple, resample.permuted(values, 3, 5).collect())) == want
+
+
+def test_too_few_permutations_warn():
+    with pytest.warns(UserWarning):
+        esda.check_resolution(99, 100, 0.05, "bonferroni")
+    with pytest.warns(UserWarning):
+        esda.check_resolution(19, 10, 0.05, "fdr")
 
 
 def test_gwr_is_weighted_least_squares(spark):
