@@ -1,5 +1,7 @@
 """The stages one after another, and each by its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.conftest import SMALL
 
@@ -27,6 +29,31 @@ def test_stages_keep_the_columns_and_the_clean_rows(spark, tmp_path):
     assert kept["line_dedup"] == kept["toxicity"]
 
 
+def test_stages_take_odd_rows(spark, odd, empty):
+    """Nulls, repeated and empty texts, extra columns, no lang, no rows: every stage has a result, and no clean row is lost."""
+    plain = odd.select("doc_id", "text", F.lit("x").alias("row"), F.lit(1).alias("limit"), F.lit(2).alias("root"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, plain, SMALL)
+        assert out.columns == plain.columns
+        kept = sorted(str(r.doc_id) for r in out.collect())
+        assert kept == (["1", "3", "6", "7", "8", "None"] if name == "near_dedup" else kept) and "None" in kept
+        if name == "line_dedup":
+            assert sorted(str(r.text) for r in out.collect()) == sorted(str(r.text) for r in plain.collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SMALL).count() == 0
+    pieces = corpus_pipeline.packed(spark, plain, SMALL).collect()
+    assert len({r.doc_id for r in pieces}) == 9 and max(r.length for r in pieces) <= 1024
+
+
+def test_run_leaves_only_the_last_input(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    import os
+
+    corpus_pipeline.run(spark, SMALL).count()
+    homes = [d for d in os.listdir(before) if d.startswith("pipeline-")]
+    assert homes and all(len(os.listdir(os.path.join(before, d))) == 1 for d in homes)
+
+
 def test_run_is_the_last_stages_rows(spark):
     assert corpus_pipeline.run(spark, SMALL).where("length > 1024").isEmpty()
 
