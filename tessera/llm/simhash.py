@@ -374,7 +374,7 @@ class Signatures:
 
 
 def shingle_sets(documents: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, key, n, bits, members) for each row; key is a hash of the set, members its hashes sorted."""
+    """(doc_id, key, n, fp, bits, members) for each row; key is a hash of the set, fp its SimHash, members its hashes sorted."""
 
     def run(batches):
         known = Words()
@@ -382,10 +382,11 @@ def shingle_sets(documents: DataFrame, width: int = 5) -> DataFrame:
             sets = [shingle_set(t, width, known) for t in batch.column(1).to_pylist()]
             raw = [s.tobytes() for s in sets]
             keys = pa.array([signed(xxhash.xxh64_intdigest(r)) for r in raw], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), pa.array(map(parity, sets), pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "key", "n", "bits", "members"])
+            fps = pa.array([signed(majority(s)) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), fps, pa.array(map(parity, sets), pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "key", "n", "fp", "bits", "members"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, n int, bits binary, members binary")
+    return rows.mapInArrow(run, "doc_id long, key long, n int, fp long, bits binary, members binary")
 
 
 def buckets(sets: DataFrame, similarity: float) -> DataFrame:
@@ -521,18 +522,30 @@ def _cells(batches):
         yield pa.Table.from_batches(held)
 
 
+def fingerprint_pairs(sets: DataFrame, most: int = 2) -> DataFrame:
+    """(u, v) pairs of keys whose SimHashes are within ``most`` bits, by ``links``: of the sets of a fingerprint each with the least key."""
+    least = cut(sets.groupBy("fp").agg(F.min("key").alias("first")))
+    same = sets.select("fp", "key").join(least, "fp").where("key != first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+    ends = [least.select(F.col("fp").alias(e), F.col("first").alias(f"{e}_first")) for e in ("u", "v")]
+    near = links(least.select("fp"), most).join(ends[0], "u").join(ends[1], "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    return same.unionAll(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
 def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v) edges, each verified, whose components are those of all pairs (key) of Jaccard similarity ``similarity`` or more.
 
-    A set is first held against the neighbour with which it shares most
-    signatures, which makes one component of most groups of copies. Then all
-    pairs that share a signature and are still apart are compared, the closest
-    before the rest, so that a crowd of copies isn't paired off in full.
+    Sets whose SimHashes are near are held against each other first, found by
+    the generalised pigeonhole over fingerprints, and each set against the
+    neighbour with which it shares most signatures. That makes one component of
+    most groups of copies. But a few bits of a fingerprint don't bound the
+    similarity, so all pairs that share a signature, the pigeonhole over the
+    sets themselves, and are still apart are compared, the closest before the
+    rest, so that a crowd of copies isn't paired off in full.
     """
     members = cut(buckets(sets, similarity))
     shared = members.where("prev is not null").groupBy("key", "prev").agg(F.count("*").alias("n"))
     near = cut(shared.groupBy("key").agg(F.max(F.struct("n", "prev")).alias("top")).select(F.col("key").alias("u"), F.col("top.prev").alias("v")))
-    found = verified(near, sets, similarity)
+    found = verified(near.unionAll(fingerprint_pairs(sets)).distinct(), sets, similarity)
     for best in (True, False):
         left = cut(open_pairs(members, cut(components(found)), sets, similarity, best))
         if left.isEmpty():
@@ -553,5 +566,5 @@ def text_near_duplicates(documents: DataFrame, width: int = 5, similarity: float
     rows = cut(shingle_sets(documents, width).withColumn("row", F.monotonically_increasing_id()))
     again = cut(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("row").alias("first")).where("copies > 1").select("key", "first"))
     again = F.broadcast(again) if again.count() <= KEYS_BROADCAST else again
-    sets = rows.join(again, "key", "left").where("first is null or row = first").select("key", "n", "bits", "members")
+    sets = rows.join(again, "key", "left").where("first is null or row = first").select("key", "n", "fp", "bits", "members")
     return component_ids(rows.select("doc_id", "key"), similar_links(sets, similarity), "key").select("doc_id", "component_id")

@@ -180,7 +180,7 @@ def test_blocks_of_a_crowd_meet(spark):
     rng = np.random.default_rng(14)
     base = rng.integers(0, 1 << 62, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[:350], rng.integers(0, 1 << 62, 10).astype(np.uint64)])) for _ in range(30)]
-    frame = spark.createDataFrame([(k, len(s), simhash.parity(s), s.tobytes()) for k, s in enumerate(sets)], "key long, n int, bits binary, members binary")
+    frame = spark.createDataFrame([(k, len(s), simhash.signed(simhash.majority(s)), simhash.parity(s), s.tobytes()) for k, s in enumerate(sets)], "key long, n int, fp long, bits binary, members binary")
     members = spark.createDataFrame([(1, k) for k in range(30)], "sig long, key long")
     roots = spark.createDataFrame([], "node long, root long")
     got = {(r.u, r.v) for r in simhash.open_pairs(members, roots, frame, 0.8, False, block=4).collect()}
@@ -199,6 +199,20 @@ def test_pairs_below_the_similarity_stay_apart(spark):
     assert grouped(spark, texts) == want
 
 
+def test_a_table_is_grouped_as_by_all_pairs(spark):
+    """Recall and precision are whole: the groups of 1,000 documents are those of every pair compared."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    texts = [r.text for r in rows]
+    assert grouped(spark, texts) == plain_groups(texts)
+
+
+def test_near_fingerprints_of_sets_are_candidates(spark):
+    """Sets of one fingerprint, and of fingerprints within two bits, are paired up; a wrong pair does no harm, as links are verified."""
+    sets = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 3 << 40), (5, -1)], "key long, fp long")
+    got = {(r.u, r.v) for r in simhash.fingerprint_pairs(sets).collect()}
+    assert got == {(2, 1), (3, 1), (4, 1)}
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(500, 500)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
