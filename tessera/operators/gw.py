@@ -236,6 +236,59 @@ def gtwr(rows: DataFrame, y: str, X: list[str], bandwidth: int, scale: float = 1
     return gwr(rows, y, X, bandwidth, False, name, st_pair_weights(rows, bandwidth, scale, name))
 
 
+def gtwr_scores(rows: DataFrame, y: str, X: list[str], bandwidths: list[int], scales: list[float], name: str = "bisquare", criterion: str = "AICc") -> DataFrame:
+    """(bandwidth, scale, rss, trace, score) of every bandwidth with every weight of time in the distance."""
+    out = None
+    for scale in scales:
+        for b in bandwidths:
+            e = gtwr(rows, y, X, b, scale, name).agg(F.sum(F.col("residual") * F.col("residual")).alias("rss"), F.sum("hat").alias("trace"), F.count("*").cast("double").alias("n"))
+            one = e.select(F.lit(int(b)).alias("bandwidth"), F.lit(float(scale)).alias("scale"), "rss", "trace", CRITERIA[criterion](F.col("rss"), F.col("n"), F.col("trace")).alias("score"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def select_gtwr(rows: DataFrame, y: str, X: list[str], bandwidths: list[int], scales: list[float], name: str = "bisquare", criterion: str = "AICc") -> tuple[int, float]:
+    best = gtwr_scores(rows, y, X, bandwidths, scales, name, criterion).orderBy("score", "bandwidth", "scale").first()
+    return best.bandwidth, best.scale
+
+
+def smooth_scores(rows: DataFrame, x: str, r: str, candidates: list[int], name: str = "bisquare") -> DataFrame:
+    """(bandwidth, rss, trace, score): AICc of r on x alone, without a constant, for every adaptive bandwidth in one plan."""
+    near = pairs.nearest(rows, rows, max(candidates) + 1, same=False)
+    h = near.where(F.col("rank").isin([c + 1 for c in candidates])).select("i", (F.col("rank") - 1).alias("bandwidth"), F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("h"))
+    joined = near.join(h, "i").where(F.col("rank") <= F.col("bandwidth") + 1).withColumn("w", kernel(name)(F.col("d"), F.col("h")))
+    right = rows.select(F.col("id").alias("j"), F.col(x).cast("double").alias("xj"), F.col(r).cast("double").alias("rj"))
+    w, xj, rj = F.col("w"), F.col("xj"), F.col("rj")
+    s = joined.where("w > 0").join(right, "j").groupBy("bandwidth", "i").agg(F.sum(w * xj * xj).alias("xx"), F.sum(w * xj * rj).alias("xr"), F.sum(F.when(F.col("i") == F.col("j"), w)).alias("wii"))
+    own = rows.select(F.col("id").alias("i"), F.col(x).cast("double").alias("xi"), F.col(r).cast("double").alias("ri"))
+    some = F.when(F.col("xx") > 0, F.col("xx"))
+    e = s.join(own, "i").select("bandwidth", (F.col("ri") - F.coalesce(F.col("xr") / some, F.lit(0.0)) * F.col("xi")).alias("e"), F.coalesce(F.col("wii") * F.col("xi") * F.col("xi") / some, F.lit(0.0)).alias("hat"))
+    out = e.groupBy("bandwidth").agg(F.sum(F.col("e") * F.col("e")).alias("rss"), F.sum("hat").alias("trace"), F.count("*").cast("double").alias("n"))
+    return out.select("bandwidth", "rss", "trace", aicc(F.col("rss"), F.col("n"), F.col("trace")).alias("score"))
+
+
+def select_mgwr(rows: DataFrame, y: str, X: list[str], candidates: list[int], sweeps: int = 3, name: str = "bisquare") -> list[int]:
+    """A bandwidth for each coefficient (the intercept first): back-fitting in which each term takes the candidate of the least AICc for what the others leave."""
+    from tessera.plans.graph import cut
+
+    terms = ["_c0", *X]
+    start = gwr(rows, y, X, select_bandwidth(rows, y, X, name=name, tries=6), False, name).select("id", *(F.col("beta")[k].alias(f"b{k}") for k in range(len(terms))))
+    state = cut(rows.select("id", "x", "y", F.lit(1.0).alias("_c0"), *(F.col(c).cast("double").alias(f"_{c}") for c in X), F.col(y).cast("double").alias("_y")).join(start, "id"))
+    columns, chosen = ["_c0", *(f"_{c}" for c in X)], [0] * len(terms)
+    for _ in range(sweeps):
+        before = list(chosen)
+        for k, c in enumerate(columns):
+            part = F.col("_y") - sum((F.col(f"b{m}") * F.col(t) for m, t in enumerate(columns) if m != k), F.lit(0.0))
+            now = state.withColumn("_r", part)
+            chosen[k] = int(smooth_scores(now, c, "_r", candidates, name).orderBy("score", "bandwidth").first()["bandwidth"])
+            right = now.select(F.col("id").alias("j"), F.col(c).alias("xj"), "_r")
+            s = pair_weights(rows, chosen[k], False, name).join(right, "j").groupBy("i").agg((F.sum(F.col("w") * F.col("xj") * F.col("_r")) / F.sum(F.col("w") * F.col("xj") * F.col("xj"))).alias("new"))
+            state = cut(state.join(s.withColumnRenamed("i", "id"), "id").withColumn(f"b{k}", F.coalesce("new", F.lit(0.0))).drop("new"))
+        if chosen == before:
+            break
+    return chosen
+
+
 def mgwr(rows: DataFrame, y: str, X: list[str], bandwidths: list[float], sweeps: int = 5, tol: float = 1e-5, name: str = "bisquare") -> DataFrame:
     """(id, beta): back-fitting, each coefficient (the intercept first) with its own adaptive bandwidth; every sweep is cut into the checkpoint folder."""
     from tessera.plans.graph import cut
@@ -321,6 +374,13 @@ def gwglm(rows: DataFrame, y: str, X: list[str], bandwidth: float, family: str =
     return data.join(own, "i").mapInPandas(solve, "id long, beta array<double>, se array<double>, fitted double")
 
 
+def gw_classify(rows: DataFrame, y: str, X: list[str], bandwidth: float, threshold: float = 0.5, name: str = "bisquare") -> DataFrame:
+    """(id, probability, label, correct) of a 0/1 response by local logistic regression."""
+    p = gwglm(rows, y, X, bandwidth, "binomial", name=name).select("id", F.col("fitted").alias("probability"))
+    label = (F.col("probability") >= threshold).cast("int")
+    return p.join(rows.select("id", F.col(y).cast("int").alias("_y")), "id").select("id", "probability", label.alias("label"), (label == F.col("_y")).alias("correct"))
+
+
 def gwpca(rows: DataFrame, columns: list[str], bandwidth: float, components: int = 2, fixed: bool = False, name: str = "bisquare", robust: bool = False) -> DataFrame:
     """(id, eigenvalues, explained, loadings, winner): local weighted covariances; ``robust`` centres them by the global medians."""
     centre = None
@@ -361,19 +421,23 @@ def local_collinearity(rows: DataFrame, X: list[str], bandwidth: float, fixed: b
 
 
 def variability_test(rows: DataFrame, y: str, X: list[str], bandwidth: float, n: int = 19, seed: int = 0) -> DataFrame:
-    """(coefficient, variance, p_value): variances of the local coefficients against models with the locations permuted."""
-    from pyspark.sql.window import Window
+    """(coefficient, variance, p_value): variances of the local coefficients against models with the locations permuted.
 
-    from tessera.plans.resample import ticket
+    The neighbours of the locations are found once; each replicate deals the
+    rows' values to them anew.
+    """
+    from tessera.plans.graph import cut
+    from tessera.plans.resample import permuted
 
     var = lambda f: f.select(F.posexplode("beta").alias("coefficient", "b")).groupBy("coefficient").agg(F.var_pop("b").alias("v"))
-    seen = var(gwr(rows, y, X, bandwidth)).withColumnRenamed("v", "variance")
-    place = rows.select("x", "y", F.row_number().over(Window.orderBy("id")).alias("_at"))
-    values = rows.drop("x", "y")
+    weights = cut(pair_weights(rows, bandwidth))
+    seen = var(gwr(rows, y, X, bandwidth, weights=weights)).withColumnRenamed("v", "variance")
+    dealt = cut(permuted(rows.select("id", F.col("id").alias("y")), n, seed)).withColumnRenamed("y", "source")
+    values = rows.select(F.col("id").alias("source"), y, *X)
     sims = None
     for s in range(n):
-        moved = values.withColumn("_at", F.row_number().over(Window.orderBy(ticket(seed, F.lit(str(s)), "id"), "id"))).join(place, "_at").drop("_at")
-        one = var(gwr(moved, y, X, bandwidth))
+        moved = dealt.where(F.col("rep") == s).join(values, "source").select("id", y, *X)
+        one = var(gwr(moved, y, X, bandwidth, weights=weights))
         sims = one if sims is None else sims.unionByName(one)
     both = sims.join(seen, "coefficient").groupBy("coefficient", "variance").agg(F.sum(F.when(F.col("v") >= F.col("variance"), 1).otherwise(0)).alias("up"))
     return both.select("coefficient", "variance", ((F.col("up") + 1) / (n + 1.0)).alias("p_value"))

@@ -6,6 +6,7 @@ Samples are (id, x, y, z), targets (id, x, y); predictions are (id, pred).
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +175,51 @@ def thiessen_polygons(samples: DataFrame, ring: list[tuple[float, float]], k: in
     return s.select("id").mapInPandas(run, "id long, ring array<array<double>>, area double")
 
 
+def _convex(ring) -> np.ndarray:
+    """The ring counter-clockwise; it must be convex."""
+    r = np.asarray(ring, float)
+    r = r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r
+    x, y = r.T
+    r = r if x @ np.roll(y, -1) > y @ np.roll(x, -1) else r[::-1]
+    a, b = np.roll(r, -1, 0) - r, np.roll(r, -2, 0) - np.roll(r, -1, 0)
+    if (a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0] < -1e-9 * np.abs(a).max() * np.abs(b).max()).any():
+        raise ValueError("target zones must be convex")
+    return r
+
+
+def areal_weighting_polygons(source: DataFrame, target: DataFrame, extensive: tuple[str, ...] = (), intensive: tuple[str, ...] = (), source_crs: str | None = None, target_crs: str | None = None) -> DataFrame:
+    """(id, extensive..., intensive...) of simple source rings (id, ring array<struct<x, y>>, values) in convex target ones (id, ring).
+
+    Rings whose boxes meet in a cell of the mean box's size are clipped; a ring is
+    in every cell that its box touches, and a pair counts in the first cell of both.
+    """
+    from tessera.functions.planar import clip_to, ring_area
+
+    if source_crs != target_crs:
+        raise ValueError("source and target have different reference systems")
+    ends = lambda n: [getattr(F, f)(F.transform("ring", lambda p: p[c])).alias(f"{n}{c}{k}") for c in "xy" for k, f in (("0", "array_min"), ("1", "array_max"))]  # noqa: B023, E731
+    s = source.select(F.col("id").alias("s"), F.col("ring").alias("sr"), *extensive, *intensive, *ends("s"))
+    t = target.select("id", F.col("ring").alias("tr"), *ends("t"))
+    size = max(t.agg(F.avg(F.greatest(F.col("tx1") - F.col("tx0"), F.col("ty1") - F.col("ty0")))).first()[0] or 0.0, s.agg(F.avg(F.greatest(F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")))).first()[0] or 0.0, 1e-12)
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    spread = lambda d, n: d.withColumn("cx", F.explode(F.sequence(cell(f"{n}x0"), cell(f"{n}x1")))).withColumn("cy", F.explode(F.sequence(cell(f"{n}y0"), cell(f"{n}y1"))))
+    both = spread(s, "s").join(spread(t, "t"), ["cx", "cy"]).where((F.col("cx") == F.greatest(cell("sx0"), cell("tx0"))) & (F.col("cy") == F.greatest(cell("sy0"), cell("ty0"))))
+    both = both.where("sx0 < tx1 and tx0 < sx1 and sy0 < ty1 and ty0 < sy1")
+
+    @F.pandas_udf("struct<own:double,common:double>")
+    def areas(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for r, q in zip(a, b, strict=True):
+            r, q = ([(p["x"], p["y"]) for p in ring] for ring in (r, q))
+            common = clip_to(np.array(r), _convex(q))
+            out.append((ring_area(r), ring_area(common) if len(common) > 2 else 0.0))
+        return pd.DataFrame(out, columns=["own", "common"])
+
+    both = both.withColumn("a", areas("sr", "tr")).where("a.common > 0")
+    sums = [F.sum(F.col(c) * F.col("a.common") / F.col("a.own")).alias(c) for c in extensive] + [(F.sum(F.col(c) * F.col("a.common")) / F.sum("a.common")).alias(c) for c in intensive]
+    return both.groupBy("id").agg(*sums)
+
+
 def empirical_variogram(samples: DataFrame, n_lags: int = 15, max_dist: float | None = None, min_pairs: int = 1, other: str | None = None, value: str = "z") -> DataFrame:
     """(bin, lag, gamma, n_pairs): half the mean product of differences by equal bins of distance, up to half the largest.
 

@@ -57,6 +57,21 @@ def quadrat_test(pp: PointPattern, nx: int = 5, ny: int = 5) -> DataFrame:
     return out.withColumn("_p", upper).select("chi2", "df", F.least(F.lit(1.0), 2 * F.least("_p", 1 - F.col("_p"))).alias("p_value"), "dispersion")
 
 
+def quadrat_test_mc(pp: PointPattern, nx: int = 5, ny: int = 5, nsim: int = 99, seed: int = 0) -> DataFrame:
+    """One row: chi2 and p_value (its upper tail) against as many patterns of uniform events, all counted in one plan."""
+    spark = pp.events.sparkSession
+    x0, y0, x1, y1 = pp.window.bounds
+    cell = lambda c, lo, hi, n: F.greatest(F.lit(0), F.least(F.floor((F.col(c) - lo) / ((hi - lo) / n)), F.lit(n - 1))).cast("int")
+    sims = csr(spark, pp.window, pp.events.count(), nsim, seed)
+    counts = sims.groupBy("rep", cell("x", x0, x1, nx).alias("cx"), cell("y", y0, y1, ny).alias("cy")).agg(F.count("*").alias("n"))
+    real = quadrat_counts(pp, nx, ny).where("expected > 0")
+    every = real.select("cx", "cy", "expected").crossJoin(F.broadcast(spark.range(nsim).select(F.col("id").cast("int").alias("rep"))))
+    chi2 = F.sum(F.pow(F.coalesce("n", F.lit(0)) - F.col("expected"), 2) / F.col("expected"))
+    null = every.join(counts, ["rep", "cx", "cy"], "left").groupBy("rep").agg(chi2.alias("s"))
+    seen = real.agg(chi2.alias("chi2"))
+    return null.crossJoin(F.broadcast(seen)).groupBy("chi2").agg(((F.sum(F.when(F.col("s") >= F.col("chi2") - 1e-9, 1).otherwise(0)) + 1) / (nsim + 1.0)).alias("p_value"))
+
+
 def neighbour_distances(pp: PointPattern) -> DataFrame:
     """(id, d): distance to the nearest other event."""
     return pairs.nearest(pp.events, pp.events, 1).select(F.col("i").alias("id"), "d")
@@ -288,6 +303,15 @@ def kde(pp: PointPattern, bandwidth: float, grid_size: int = 128, kernel: str =
     return out.select("ix", "iy", "x", "y", value.alias("density"))
 
 
+def kde_by_period(pp: PointPattern, bandwidth: float, periods: list, column: str = "period", grid_size: int = 128) -> DataFrame:
+    """(period, ix, iy, x, y, density): a density for each of the periods, all on one grid."""
+    out = None
+    for t in periods:
+        one = kde(pp.subset(F.col(column) == t), bandwidth, grid_size).select(F.lit(t).alias("period"), "ix", "iy", "x", "y", "density")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def relative_risk(cases: PointPattern, controls: PointPattern, bandwidth: float, grid_size: int = 128, log: bool = True) -> DataFrame:
     """(ix, iy, x, y, risk): ratio of the two densities, each scaled to 1, or its log."""
     scaled = lambda pp, name: kde(pp, bandwidth, grid_size).crossJoin(F.broadcast(pp.events.agg(F.count("*").alias("_n")))).select("ix", "iy", "x", "y", (F.col("density") / F.col("_n")).alias(name))
@@ -366,6 +390,29 @@ def matern_inhibition(spark: SparkSession, window: Window, intensity: float, rad
     return events.join(near.where("mj < mi").select(F.col("i").alias("id")), "id", "left_anti").drop("mark")
 
 
+def envelope(pp: PointPattern, statistic, nsim: int = 39, alpha: float = 0.05, seed: int = 0, simulator=None) -> DataFrame:
+    """(r, est, theo, lo, hi, mad_p, dclf_p) of any statistic of a pattern that gives (r, est, theo).
+
+    ``simulator(k)`` gives the k-th simulated pattern, by default as many uniform
+    events; every pattern is a branch of one plan.
+    """
+    n, spark = pp.events.count(), pp.events.sparkSession
+    draw = simulator or (lambda k: PointPattern(csr(spark, pp.window, n, 1, f"{seed}-{k}").select("id", "x", "y"), pp.window))
+    seen = statistic(pp).select("r", "est", "theo")
+    sims = None
+    for k in range(nsim):
+        one = statistic(draw(k)).select(F.lit(k).alias("rep"), "r", "est")
+        sims = one if sims is None else sims.unionByName(one)
+    curve = sims.unionByName(seen.select(F.lit(-1).alias("rep"), "r", "est")).join(seen.select("r", "theo"), "r")
+    gap = F.col("est") - F.col("theo")
+    dev = curve.groupBy("rep").agg(F.max(F.abs(gap)).alias("m"), F.sum(gap * gap).alias("q"))
+    real = dev.where("rep = -1").select(F.col("m").alias("real_m"), F.col("q").alias("real_q"))
+    share = lambda c: (F.sum(F.when(F.col(c) >= F.col(f"real_{c}"), 1).otherwise(0)) + 1) / (nsim + 1.0)
+    p = dev.where("rep >= 0").crossJoin(F.broadcast(real)).agg(share("m").alias("mad_p"), share("q").alias("dclf_p"))
+    band = curve.where("rep >= 0").groupBy("r").agg(F.percentile("est", alpha / 2).alias("lo"), F.percentile("est", 1 - alpha / 2).alias("hi"))
+    return seen.join(band, "r").crossJoin(F.broadcast(p)).select("r", "est", "theo", "lo", "hi", "mad_p", "dclf_p")
+
+
 def envelope_l(pp: PointPattern, nsim: int = 39, r: list[float] | None = None, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(r, est, lo, hi, mad_p, dclf_p): L without edge correction against as many simulated patterns, in one plan."""
     r = r or default_r(pp.window, n=32)

@@ -218,12 +218,14 @@ def space_filling(frame: DataFrame, n: int, seed: int = 0, method: str = "maximi
 
 
 def clhs(frame: DataFrame, covariates: list[str], n: int, iterations: int = 5000, seed: int = 0, most_rows: int = 100_000) -> DataFrame:
-    """Conditioned Latin hypercube by simulated annealing in one task, over at most ``most_rows`` rows first by hash."""
+    """Conditioned Latin hypercube by simulated annealing in one task, for tables of ``most_rows`` rows at most."""
     import numpy as np
 
     total = frame.count()
     check_n(n, total)
-    rows = frame.select("id", *covariates).orderBy(ticket(seed, "id"), "id").limit(most_rows).toPandas()
+    if total > most_rows:
+        raise ValueError(f"annealing holds up to {most_rows} rows in one task")
+    rows = frame.select("id", *covariates).orderBy(ticket(seed, "id"), "id").toPandas()
     x, rng = rows[covariates].to_numpy(float), np.random.default_rng(seed)
     bins = np.column_stack([np.clip(np.searchsorted(np.quantile(c, np.linspace(0, 1, n + 1))[1:-1], c, "right"), 0, n - 1) for c in x.T])
     target = np.corrcoef(x.T) if len(covariates) > 1 else None

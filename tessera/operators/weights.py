@@ -209,14 +209,65 @@ def higher_order(w: Weights, k: int = 2, lower: bool = False) -> Weights:
     return Weights(w.nodes, edges.withColumn("w", F.lit(1.0)))
 
 
+#: Nearest neighbours from which a point's reach is cut.
+REACH_NEIGHBOURS = 16
+
+
+def _reach(points: DataFrame) -> DataFrame:
+    """(id, x, y, reach): no Gabriel neighbour is farther.
+
+    A third point k lies in the diametral circle of i and j if j is beyond the
+    line through k across the way from i. What the nearest points' lines leave of
+    the table's bounding box, seen from i, holds all its Gabriel neighbours.
+    """
+    from tessera.functions.planar import clip
+
+    x0, y0, x1, y1 = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    near = pairs.nearest(points, points, REACH_NEIGHBOURS).join(points.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), "j")
+    near = near.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("rank", "xj", "yj"))).alias("near"))
+    rows = points.select("id", "x", "y").join(near, F.col("id") == F.col("i"), "left").select("id", "x", "y", "near")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for px, py, found in zip(pdf["x"], pdf["y"], pdf["near"], strict=True):
+                ring = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]) - (px, py)
+                for k in found if found is not None else ():
+                    v = np.array([k["xj"] - px, k["yj"] - py])
+                    if v.any():
+                        ring = clip(ring, *v, float(v @ v) * (1 + 1e-9) + 1e-12)
+                out.append(float(np.hypot(*ring.T).max()) * (1 + 1e-9) if len(ring) else 0.0)
+            yield pdf[["id", "x", "y"]].assign(reach=out)
+
+    return rows.mapInPandas(run, "id long, x double, y double, reach double")
+
+
 def _third_point(points: DataFrame, blocks) -> DataFrame:
-    """(i, j), i < j, of all pairs without a third point for which ``blocks``; for ``pairs.SMALL`` points at most."""
-    found = pairs.every(points, points).where("i < j")
-    p = points.select("id", "x", "y")
-    named = lambda n: p.select(F.col("id").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
-    both = found.join(F.broadcast(named("i")), "i").join(F.broadcast(named("j")), "j")
-    third = F.broadcast(p.select(F.col("id").alias("k"), F.col("x").alias("xk"), F.col("y").alias("yk")))
-    return both.join(third, (F.col("k") != F.col("i")) & (F.col("k") != F.col("j")) & blocks, "left_anti").select("i", "j")
+    """(i, j), i < j, of all Gabriel candidates without a third point for which ``blocks``, a condition within the pair's diametral circle or lune.
+
+    Candidates are searched by classes of reach, each twice as wide as the one
+    before, and a pair's third points among those in its first point's reach.
+    """
+    from tessera.plans.graph import cut
+
+    p = cut(_reach(points))
+    top = p.agg(F.max("reach")).first()[0]
+    if not top:
+        found = pairs.within(p, p, 1e-9).select("i", "j", "d")
+    else:
+        level = F.least(F.lit(12), F.floor(F.log2(F.lit(top) / F.greatest("reach", F.lit(top / 4096)))))
+        classes, found = p.withColumn("level", level), None
+        for k in sorted(r[0] for r in classes.select("level").distinct().collect()):
+            one = pairs.within(classes.where(F.col("level") == k), p, top / 2**k).select("i", "j", "d")
+            found = one if found is None else found.unionAll(one)
+    found = cut(found.join(p.select(F.col("id").alias("i"), "reach"), "i").where(F.col("d") <= F.col("reach")).select("i", "j", "d"))
+    at = lambda n: p.select(F.col("id").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    both = found.where("i < j").join(at("i"), "i").join(at("j"), "j")
+    third = found.select(F.col("i").alias("_i"), F.col("j").alias("k")).join(at("k"), "k")
+    return both.join(third, (F.col("i") == F.col("_i")) & (F.col("k") != F.col("j")) & blocks, "left_anti").select("i", "j")
 
 
 def _undirected(points: DataFrame, found: DataFrame, transform: str | None) -> Weights:

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed into the shared checkpoint folder, the session's own if it names one."""
+    """``df`` computed into the shared checkpoint folder, the session's own; a temporary one only on a single machine."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
 
 

@@ -666,12 +666,6 @@ def lm_tests(spark, sf_dir):
     return rounded(small(spark, [(t["LM_lag"][0], t["LM_error"][0], t["RLM_lag"][0], t["RLM_error"][0])], "lm_lag double, lm_error double, rlm_lag double, rlm_error double"))
 
 
-@query()
-def moran_residuals(spark, sf_dir):
-    m = regression.moran_residuals(model_frame(spark, sf_dir), knn8(spark, sf_dir), "z", ["v"])
-    return small(spark, [(m["I"], m["expected_I"], m["var_I"], m["z"], m["p_value"])], "I double, expected_I double, var_I double, z double, p_value double")
-
-
 @query()
 def spatial_lag(spark, sf_dir):
     return regression.spatial_lag(model_frame(spark, sf_dir), knn8(spark, sf_dir), "z", ["v"]).frame(spark)

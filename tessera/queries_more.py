@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify, distance, kernels
 from tessera.operators import bayes, cluster, esda, gw, interpolation, kriging, plots, pointpattern, rates, regression, sampling, spacetime, weights
-from tessera.queries import AR, CUST, GWB, CZ, D, EV, GWE, KNN, LAG, LATTICE, MORAN, NAT, PERM, PN, PTS, QUAD, QUADRAT, QUERIES, R, RG, RS, SQL, SQUARE, TG, areas, cells, cust, knn8, model_frame, nat, panel, pattern, pts, query, r6, rounded, sites, small, targets, with_, zed, E1, BAND
+from tessera.queries import AR, CUST, GWB, KDE, KG, CZ, D, EV, GWE, KNN, LAG, LATTICE, MORAN, NAT, PERM, PN, PTS, QUAD, QUADRAT, QUERIES, R, RG, RS, SQL, SQUARE, TG, areas, cells, cust, knn8, model_frame, nat, panel, pattern, pts, query, r6, rounded, sites, small, squares, targets, with_, zed, zones, E1, BAND
 from tessera.sources import datasets, frame, views
 
 
@@ -652,3 +652,68 @@ def lattice_table(spark, sf_dir):
 @query(f"SELECT id, {R(U('1', 'x', 'id'), 'x')}, {R(U('1', 'y', 'id'), 'y')} FROM (SELECT unnest(range(100)) AS id)")
 def csr_table(spark, sf_dir):
     return rounded(datasets.csr_points(spark))
+
+
+# Graphs of points in no lattice, zones as rings, simulated quadrats, densities by period, searches of bandwidths.
+THIRD_PTS = "SELECT a.id AS i, b.id AS j, 1.0::DOUBLE AS w FROM pts a JOIN pts b ON a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM pts c WHERE c.id <> a.id AND c.id <> b.id AND {})"
+
+
+@query(with_(PTS, THIRD_PTS.format("power(c.x - (a.x + b.x) / 2, 2) + power(c.y - (a.y + b.y) / 2, 2) < power(" + D + " / 2, 2) - 1e-12")))
+def w_gabriel_points(spark, sf_dir):
+    return weights.gabriel(pts(spark, sf_dir), transform=None).edges
+
+
+@query(with_(PTS, THIRD_PTS.format("greatest(sqrt(power(a.x - c.x, 2) + power(a.y - c.y, 2)), sqrt(power(b.x - c.x, 2) + power(b.y - c.y, 2))) < " + D + " - 1e-12")))
+def w_rng_points(spark, sf_dir):
+    return weights.relative_neighbourhood(pts(spark, sf_dir), transform=None).edges
+
+
+def rings(df):
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return df.withColumn("ring", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")))
+
+
+@query(SQL["areal_weighting"])
+def areal_weighting_rings(spark, sf_dir):
+    s, t = rings(squares(spark, sf_dir)).select("id", "ring", "pop", "rate"), rings(zones(spark)).select("id", "ring")
+    return rounded(interpolation.areal_weighting_polygons(s, t, ("pop",), ("rate",)))
+
+
+QMC = f"nn AS (SELECT count(*) AS n FROM pts), sp AS (SELECT rep, -1 + 2 * {U('0', 'x', 'rep', 'id')} AS x, -1 + 2 * {U('0', 'y', 'rep', 'id')} AS y FROM (SELECT unnest(range(19)) AS rep), (SELECT unnest(range((SELECT n FROM nn))) AS id) UNION ALL SELECT -1, x, y FROM pts), ct AS (SELECT rep, greatest(0, least(floor((x + 1) / 0.4), 4)) AS cx, greatest(0, least(floor((y + 1) / 0.4), 4)) AS cy, count(*) AS n FROM sp GROUP BY 1, 2, 3), st AS (SELECT rep, sum(power(n - e, 2) / e) + (25 - count(*)) * any_value(e) AS s FROM ct, (SELECT n / 25.0::DOUBLE AS e FROM nn) GROUP BY 1)"
+
+
+@query(with_(PTS, QMC, f"SELECT {R('o.s', 'chi2')}, {R('((SELECT count(*) FROM st WHERE rep >= 0 AND st.s >= o.s - 1e-9) + 1) / 20.0::DOUBLE', 'p_value')} FROM (SELECT s FROM st WHERE rep = -1) o"))
+def quadrat_permutations(spark, sf_dir):
+    return rounded(pointpattern.quadrat_test_mc(pattern(spark, sf_dir), 5, 5, 19))
+
+
+@query(with_(PTS, KG, KDE("ka", "mark = 1"), KDE("kb", "mark = 2"), f"SELECT 1 AS period, ix, iy, {R('gx', 'x')}, {R('gy', 'y')}, {R('density', 'density')} FROM ka UNION ALL SELECT 2, ix, iy, {R('gx', 'x')}, {R('gy', 'y')}, {R('density', 'density')} FROM kb"))
+def kde_periods(spark, sf_dir):
+    return rounded(pointpattern.kde_by_period(pattern(spark, sf_dir), 0.2, [1, 2], "mark", 16))
+
+
+SMO = "n0 AS (SELECT a.id AS i, b.id AS j, {0} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {0}, b.id) AS r FROM pts a, pts b), ca AS (SELECT unnest([30, 60]) AS bandwidth), h0 AS (SELECT bandwidth, i, max(d) AS h FROM n0 JOIN ca ON r <= bandwidth + 1 GROUP BY 1, 2), e AS (SELECT bandwidth, n0.i, j, power(1 - (d / h) * (d / h), 2) AS w FROM h0 JOIN n0 ON h0.i = n0.i AND r <= bandwidth + 1 WHERE d < h), s AS (SELECT bandwidth, i, sum(w * v * v) AS xx, sum(w * v * z) AS xr, sum(CASE WHEN i = j THEN w END) AS wii FROM e JOIN pts ON pts.id = e.j GROUP BY 1, 2), f AS (SELECT bandwidth, z - xr / xx * v AS e, wii * v * v / xx AS hat FROM s JOIN pts ON pts.id = s.i), g AS (SELECT bandwidth, sum(e * e) AS rss, sum(hat) AS k, count(*) AS n FROM f GROUP BY 1)".format(D)
+
+
+@query(with_(PTS, SMO, f"SELECT bandwidth, {R('rss', 'rss')}, {R('k', 'trace')}, {R('n * ln(rss / n) + n + k + 2 * k * (k + 1) / greatest(n - k - 1, 1e-6)', 'score')} FROM g"))
+def smooth_scores(spark, sf_dir):
+    return rounded(gw.smooth_scores(model_frame(spark, sf_dir), "v", "z", [30, 60]))
+
+
+GTS = STE.replace("r <= 41", "r <= 31") + f", ps AS (SELECT id, z, v FROM pts), {GSW(['v'])}, ft AS (SELECT i AS id, t.z - b0 * q0 - b1 * q1 AS e, (q0 * q0 / d0 + q1 * q1 / d1) * (SELECT w FROM e WHERE e.i = t.i AND e.j = t.i) AS hat FROM t1 t JOIN bb USING (i)), g AS (SELECT sum(e * e) AS rss, sum(hat) AS k, count(*)::DOUBLE AS n FROM ft)"
+
+
+@query(with_(PTS, GTS, f"SELECT 30 AS bandwidth, 0.01::DOUBLE AS scale, {R('rss', 'rss')}, {R('k', 'trace')}, {R('n * ln(rss / n) + n + k + 2 * k * (k + 1) / greatest(n - k - 1, 1e-6)', 'score')} FROM g"))
+def gtwr_score(spark, sf_dir):
+    m = model_frame(spark, sf_dir).withColumn("t", (F.col("id") % 7).cast("double"))
+    return rounded(gw.gtwr_scores(m, "z", ["v"], [30], [0.01]))
+
+
+# Moran's I of residuals, its moments by traces.
+MR = "c AS (SELECT regr_intercept(z, v) AS a, regr_slope(z, v) AS b, count(*)::DOUBLE AS n, avg(v) AS mv, regr_sxx(z, v) * 0 + var_pop(v) * count(*) AS sv FROM pts), r AS (SELECT id, z - a - b * v AS e, 1 / sqrt(n) AS q0, (v - mv) / sqrt(sv) AS q1 FROM pts, c), l AS (SELECT i AS id, sum(w * e) AS we, sum(w * q0) AS w0, sum(w * q1) AS w1 FROM e JOIN r ON r.id = e.j GROUP BY 1), tl AS (SELECT j AS id, sum(w * q0) AS t0, sum(w * q1) AS t1 FROM e JOIN r ON r.id = e.i GROUP BY 1), al AS (SELECT r.*, coalesce(we, 0) AS we, coalesce(w0, 0) AS w0, coalesce(w1, 0) AS w1, coalesce(t0, 0) AS t0, coalesce(t1, 0) AS t1 FROM r LEFT JOIN l ON l.id = r.id LEFT JOIN tl ON tl.id = r.id), s AS (SELECT sum(e * we) AS ewe, sum(e * e) AS ee, sum(q0 * w0) AS m00, sum(q0 * w1) AS m01, sum(q1 * w0) AS m10, sum(q1 * w1) AS m11, sum(w0 * w0 + w1 * w1) AS ww, sum(t0 * t0 + t1 * t1) AS tt, sum(t0 * w0 + t1 * w1) AS tw FROM al), k AS (SELECT (SELECT sum(w) FROM e) AS s0, (SELECT sum(w * w) FROM e) AS a, (SELECT coalesce(sum(p.w * q.w), 0) FROM e p JOIN e q ON p.i = q.j AND p.j = q.i) AS b), m AS (SELECT *, -(m00 + m11) AS tr, a - ww - tt + m00 * m00 + m01 * m01 + m10 * m10 + m11 * m11 AS mt, b - 2 * tw + m00 * m00 + 2 * m01 * m10 + m11 * m11 AS mm, (SELECT n FROM c) AS n FROM s, k), v AS (SELECT n / s0 * ewe / ee AS i, n / s0 * tr / (n - 2) AS ei, power(n / s0, 2) * ((mt + mm + tr * tr) / ((n - 2) * n) - power(tr / (n - 2), 2)) AS var FROM m), zz AS (SELECT *, (i - ei) / sqrt(var) AS z FROM v)"
+
+
+@query(with_(PTS, KNN(), MR, f"SELECT {R('i', 'I')}, {R('ei', 'expected_I')}, {R('var', 'var_I')}, {R('z', 'z')}, {R(P2('z'), 'p_value')} FROM zz"))
+def moran_residuals(spark, sf_dir):
+    m = regression.moran_residuals(model_frame(spark, sf_dir), knn8(spark, sf_dir), "z", ["v"])
+    return rounded(small(spark, [(m["I"], m["expected_I"], m["var_I"], m["z"], m["p_value"])], "I double, expected_I double, var_I double, z double, p_value double"))

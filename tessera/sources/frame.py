@@ -162,6 +162,14 @@ class Window:
             raise ValueError("the points lie on one line")
         return cls(tuple(map(tuple, ring)))
 
+    @classmethod
+    def of_rings(cls, polygons: DataFrame) -> Window:
+        """The window of a table of polygons (id, ring): its one ring, or the hull of the corners of several."""
+        rings = polygons.select("ring").limit(2).collect()
+        if len(rings) == 1:
+            return cls(tuple((p["x"], p["y"]) for p in rings[0][0]))
+        return cls.hull(polygons.select(F.explode("ring").alias("p")).select("p.x", "p.y"))
+
     @property
     def bounds(self) -> tuple[float, float, float, float]:
         xs, ys = zip(*self.ring, strict=True)
@@ -209,6 +217,14 @@ class Window:
         return F.greatest(F.lit(0.0), (x1 - x0) - F.abs(dx)) * F.greatest(F.lit(0.0), (y1 - y0) - F.abs(dy))
 
 
+def geometry_types(df: DataFrame) -> list[str]:
+    """The kinds of geometry in a table: Point for x and y, Polygon for rings, as found in its rows; None where a row has neither."""
+    ring = F.col("ring").isNotNull() if "ring" in df.columns else F.lit(False)
+    point = F.col("x").isNotNull() & F.col("y").isNotNull() if {"x", "y"} <= set(df.columns) else F.lit(False)
+    kind = F.when(ring, "Polygon").when(point, "Point").otherwise("None")
+    return sorted(r[0] for r in df.select(kind.alias("k")).distinct().collect())
+
+
 def centroids(polygons: DataFrame) -> DataFrame:
     """(id, x, y) of (id, ring array<struct<x, y>>): area centroids as Column expressions."""
     closed = F.concat("ring", F.slice("ring", 1, 1))
