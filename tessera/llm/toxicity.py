@@ -158,8 +158,44 @@ def starting_embedding(features: np.ndarray, texts_words: list[np.ndarray], labe
     return out
 
 
+def loss_gradients(model: Model, features: np.ndarray, used: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """Mean weighted log loss of a batch, its gradients (embedding, filters, offsets, output, bias) and the buckets that the first one touches.
+
+    The gradient reaches the windows that won the pooling.
+    """
+    each, at = np.unique(np.concatenate([[0], *used]), return_inverse=True)
+    local, vectors = features[each], model.embedding[features[each]].sum(1)
+    tables = [[vectors @ f[j] for j in range(len(f))] for f in model.filters]
+    ends = np.cumsum([1, *map(len, used)])
+    widths = len(model.filters)
+    grads = [np.zeros(x.shape) for x in (model.embedding, *model.filters, *model.offsets, model.output)] + [np.zeros(1)]
+    d_vectors, loss = np.zeros_like(vectors), 0.0
+    for y, v, lo, hi in zip(labels, weight, ends[:-1], ends[1:], strict=True):
+        padded = np.concatenate([[0, 0], at[lo:hi], [0, 0, 0]])
+        top, where = model.pooled(tables, at[lo:hi])
+        active = np.maximum(top, 0)
+        p = 1 / (1 + np.exp(-np.clip(active @ model.output + model.bias, -30, 30)))
+        loss -= v * np.log(max(p if y else 1 - p, 1e-300)) / len(used)
+        d = v * (p - y) / len(used)
+        grads[-2] += d * active
+        grads[-1] += d
+        d_top = d * model.output * (top > 0)
+        for k, f in enumerate(model.filters):
+            own = slice(k * FILTERS, (k + 1) * FILTERS)
+            grads[1 + widths + k] += d_top[own]
+            for j in range(len(f)):
+                here = padded[where[own] + j]
+                grads[1 + k][j] += (vectors[here] * d_top[own, None]).T
+                np.add.at(d_vectors, here, d_top[own, None] * f[j].T)
+    touched = np.flatnonzero(np.abs(d_vectors).sum(1))
+    for c in range(local.shape[1]):
+        np.add.at(grads[0], local[touched, c], d_vectors[touched])
+    grads[0][0] = 0
+    return float(loss), grads, np.unique(local[touched])
+
+
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, seed: int = 7) -> Model:
-    """Trained with Adam on one text after another in batches; the gradient reaches the windows that won the pooling."""
+    """Trained with Adam on whole texts in batches."""
     rng = np.random.default_rng(seed)
     words, texts_words = unique_words(texts)
     features = feature_rows(words)
@@ -177,36 +213,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, seed: int = 7) ->
         order = rng.permutation(len(texts))
         for a in range(0, len(order), 32):
             batch = order[a : a + 32]
-            used = [texts_words[i] for i in batch]
-            each, at = np.unique(np.concatenate([[0], *used]), return_inverse=True)
-            local, vectors = features[each], model.embedding[features[each]].sum(1)
-            tables = [[vectors @ f[j] for j in range(len(f))] for f in model.filters]
-            ends = np.cumsum([1, *map(len, used)])
-            grads = [np.zeros(s) for s in size]
-            d_vectors = np.zeros_like(vectors)
-            for i, lo, hi in zip(batch, ends[:-1], ends[1:], strict=True):
-                padded = np.concatenate([[0, 0], at[lo:hi], [0, 0, 0]])
-                top, where = model.pooled(tables, at[lo:hi])
-                active = np.maximum(top, 0)
-                p = 1 / (1 + np.exp(-np.clip(active @ model.output + model.bias, -30, 30)))
-                d = weight[i] * (p - labels[i]) / len(batch)
-                grads[-2] += d * active
-                grads[-1] += d
-                d_top = d * model.output * (top > 0)
-                for k, f in enumerate(model.filters):
-                    own = slice(k * FILTERS, (k + 1) * FILTERS)
-                    grads[1 + len(WIDTHS) + k] += d_top[own]
-                    for j in range(len(f)):
-                        here = padded[where[own] + j]
-                        grads[1 + k][j] += (vectors[here] * d_top[own, None]).T
-                        np.add.at(d_vectors, here, d_top[own, None] * f[j].T)
-            touched = np.flatnonzero(np.abs(d_vectors).sum(1))
-            for c in range(local.shape[1]):
-                np.add.at(grads[0], local[touched, c], d_vectors[touched])
-            grads[0][0] = 0
+            _, grads, rows = loss_gradients(model, features, [texts_words[i] for i in batch], labels[batch], weight[batch])
             step += 1
             params = [model.embedding, *model.filters, *model.offsets, model.output]
-            rows = np.unique(local[touched])
             for k, (param, grad) in enumerate(zip(params, grads[:-1], strict=True)):
                 here = rows if k == 0 else slice(None)
                 mean[k][here] = 0.9 * mean[k][here] + 0.1 * grad[here]

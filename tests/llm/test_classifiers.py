@@ -47,6 +47,32 @@ def test_tables_give_the_convolution(toxic):
     assert toxic.score([text, "another text between"])[0] == pytest.approx(score, abs=1e-5)
 
 
+def test_gradients_are_the_slopes_of_the_loss():
+    rng = np.random.default_rng(3)
+    texts = ["one two three four five six", "three two one", "seven", "", "two two nine ten one"]
+    words, numbers = toxicity.unique_words(texts)
+    features = toxicity.feature_rows(words)
+    shape = (toxicity.DIMENSION, toxicity.FILTERS)
+    model = toxicity.Model(rng.normal(0, 0.3, (toxicity.BUCKETS, toxicity.DIMENSION)), [rng.normal(0, 0.3, (k, *shape)) for k in toxicity.WIDTHS], [rng.normal(0, 1, toxicity.FILTERS) for _ in toxicity.WIDTHS], rng.normal(0, 1, len(toxicity.WIDTHS) * toxicity.FILTERS), 0.3, {})
+    model.embedding[0] = 0
+    labels, weight = np.array([1.0, 0, 1, 0, 0]), np.array([1.0, 2, 1, 0.5, 1])
+    loss, grads, rows = toxicity.loss_gradients(model, features, numbers, labels, weight)
+    params = [model.embedding, *model.filters, *model.offsets, model.output]
+    assert set(rows) >= set(np.flatnonzero(np.abs(grads[0]).sum(1)))
+    for k, param in enumerate(params):
+        places = [(int(r), int(c)) for r, c in zip(rng.choice(rows, 8), rng.integers(0, toxicity.DIMENSION, 8))] if k == 0 else [tuple(int(rng.integers(n)) for n in param.shape) for _ in range(8)]
+        for at in places:
+            if k == 0 and at[0] == 0:
+                continue
+            held = param[at]
+            param[at] = held + 1e-6
+            more = toxicity.loss_gradients(model, features, numbers, labels, weight)[0]
+            param[at] = held
+            assert (more - loss) / 1e-6 == pytest.approx(grads[k][at], abs=1e-4)
+    model.bias += 1e-6
+    assert (toxicity.loss_gradients(model, features, numbers, labels, weight)[0] - loss) / 1e-6 == pytest.approx(grads[-1][0], abs=1e-4)
+
+
 def test_scores_of_odd_rows(toxic, odd, empty, tables):
     rows = toxicity.scores(odd, toxic).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
