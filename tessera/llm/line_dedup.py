@@ -41,8 +41,9 @@ MIN_DOCS, VARIED_DOCS, SHORT_DOCS = 2, 5, 20
 SHORT_TOKENS, SHORT_BYTES = 4, 24
 #: A template's last two bits tell its kind.
 WHOLE, VARIED, SHORT, LEAF = 0, 1, 2, 3
-#: Least hashes of the rest of a document by which copies are told, and how many of them copies have in common at least.
-SKETCH, COMMON = 16, 5
+#: Least hashes (32 bits each) of the rest of a document by which copies are told, and how many of them copies have in common
+#: at least: so many that of thousands of near copies with three fifths in common none looks unlike by chance.
+SKETCH, COMMON = 64, 16
 #: Bytes of the two sizes before a sketch's hashes.
 SIZES = 16
 #: Templates of more holders, and of more than one in ``CROWDS`` of all templates' holders, are held against their reference by broadcast.
@@ -201,11 +202,11 @@ def rest_sketch(hashes: np.ndarray, inside: np.ndarray) -> bytes:
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    """(rows, 2 + SKETCH): the two sizes and the hashes of each sketch, filled up with the largest number."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
-    flat = np.frombuffer(column.buffers()[2], np.uint64, int(ends[-1])) if len(column) else np.zeros(0, np.uint64)
+    """(rows, 4 + SKETCH): the two sizes, two numbers each, and the hashes of each sketch, filled up with the largest number."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    flat = np.frombuffer(column.buffers()[2], np.uint32, int(ends[-1])) if len(column) else np.zeros(0, np.uint32)
     size, first = np.diff(ends), int(ends[0]) if len(ends) else 0
-    out = np.full((len(column), 2 + SKETCH), np.uint64((1 << 64) - 1))
+    out = np.full((len(column), 4 + SKETCH), np.uint32((1 << 32) - 1))
     out[np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(ends[:-1] - first, size)] = flat[first:]
     return out
 
@@ -216,10 +217,10 @@ def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
     So are documents that are near copies by the line alone, four fifths of all they hold.
     """
     a, b = _sketches(a), _sketches(b)
-    sizes = np.stack([a[:, :2], b[:, :2]]).astype(np.int64)
+    sizes = np.stack([a[:, [0, 2]], b[:, [0, 2]]]).astype(np.int64)
     inside, rest = sizes[:, :, 0], sizes[:, :, 1].sum(0)
-    all_ = np.sort(np.concatenate([a[:, 2:], b[:, 2:]], 1), axis=1)
-    some = all_ != np.uint64((1 << 64) - 1)
+    all_ = np.sort(np.concatenate([a[:, 4:], b[:, 4:]], 1), axis=1)
+    some = all_ != np.uint32((1 << 32) - 1)
     # Either sketch has a hash once: what stands there twice is in both.
     twice = np.zeros(all_.shape, bool)
     twice[:, 1:] = (all_[:, 1:] == all_[:, :-1]) & some[:, 1:]
@@ -354,7 +355,7 @@ def _rests(documents: DataFrame, only=None) -> DataFrame:
                     some = _whole(texts[number], only)
                 line, names, hashes, of, _ = some[0]
                 order = np.argsort(hashes, kind="stable")
-                hashes, of = hashes[order], of[order]
+                hashes, of = (hashes[order] >> np.uint64(32)).astype(np.uint32), of[order]
                 mark, known = xxhash.xxh64_intdigest(texts[number]), {}
                 by = np.argsort(names, kind="stable")
                 edges = np.flatnonzero(np.concatenate(([True], names[by][1:] != names[by][:-1], [True])))

@@ -480,46 +480,73 @@ def open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity
 
     def compare(batches):
         most = Signatures(similarity).most
-        for table in _cells(batches):
-            own, key, root, n = (table.column(c).to_numpy() for c in ("own", "key", "root", "n"))
+        for table, cells in _cells(batches):
+            i, j, own, key, root, n = (table.column(c).to_numpy() for c in ("i", "j", "own", "key", "root", "n"))
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY)
-            i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            us, vs, ds = [], [], []
-            for x in left:
-                y = right[(root[right] != root[x]) & ((key[right] < key[x]) | (i != j))]
-                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
-                ok = apart <= most(n[y].astype(np.int64) + int(n[x]))
-                y, apart = y[ok], apart[ok]
-                if best and len(y):
-                    y, apart = y[[apart.argmin()]], apart[[apart.argmin()]]
-                us.append(np.full(len(y), key[x]))
-                vs.append(key[y])
-            if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+            for left, right in _pairs_of(cells, i, j, own):
+                some = root[left] != root[right]
+                left, right = left[some], right[some]
+                apart = np.bitwise_count(bits[left] ^ bits[right]).sum(1, dtype=np.int64)
+                some = apart <= most(n[left].astype(np.int64) + n[right])
+                left, right, apart = left[some], right[some], apart[some]
+                u, v = np.maximum(key[left], key[right]), np.minimum(key[left], key[right])
+                if best and len(u):
+                    order = np.lexsort((v, apart, u, cells[left]))
+                    first = np.concatenate(([True], (u[order][1:] != u[order][:-1]) | (cells[left][order][1:] != cells[left][order][:-1])))
+                    u, v = u[order[first]], v[order[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     cells = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     return cells.mapInArrow(compare, "u long, v long").distinct()
 
 
+#: Rows whose cells are compared together, and pairs at once.
+CELL_ROWS, CELL_PAIRS = 4_096, 100_000
+
+
 def _cells(batches):
-    """Tables of the consecutive rows that have equal sig, i and j."""
-    held, at = [], None
+    """(table, cell of each row) of consecutive rows, whole cells (equal sig, i and j) only."""
+    held, count = [], 0
+
+    def numbered(table):
+        names = np.stack([table.column(c).to_numpy().astype(np.int64) for c in range(3)])
+        return np.concatenate(([0], np.cumsum((names[:, 1:] != names[:, :-1]).any(0))))
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
-        begins = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(begins, begins[1:], strict=False):
-            name = tuple(names[:, a].tolist())
-            if held and name != at:
-                yield pa.Table.from_batches(held)
-                held = []
-            at = name
-            held.append(batch.slice(a, b - a))
+        held.append(batch)
+        count += batch.num_rows
+        if count >= CELL_ROWS:
+            table = pa.Table.from_batches(held)
+            cells = numbered(table)
+            end = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on
+            if end:
+                yield table.slice(0, end), cells[:end]
+                held, count = table.slice(end).to_batches(), table.num_rows - end
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        yield table, numbered(table)
+
+
+def _pairs_of(cells: np.ndarray, i: np.ndarray, j: np.ndarray, own: np.ndarray):
+    """(left, right) places of all pairs of rows of a cell, in runs: of one block where i and j are equal, else of one row of either."""
+    ends = np.searchsorted(cells, cells, "right")
+    partners = np.where(i == j, ends - np.arange(len(cells)) - 1, 0)
+    begin = 0
+    total = np.concatenate(([0], np.cumsum(partners)))
+    while begin < len(cells):
+        stop = max(begin + 1, int(np.searchsorted(total, total[begin] + CELL_PAIRS, "right")) - 1)
+        size = partners[begin:stop]
+        left = np.repeat(np.arange(begin, stop), size)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size)
+        begin = stop
+    for cell in np.unique(cells[i != j]):
+        low, high = np.searchsorted(cells, [cell, cell + 1])
+        a, b = (low + np.flatnonzero(own[low:high] == x[low]) for x in (i, j))
+        for at in range(0, len(a), max(1, CELL_PAIRS // max(len(b), 1))):
+            some = a[at : at + max(1, CELL_PAIRS // max(len(b), 1))]
+            yield np.repeat(some, len(b)), np.tile(b, len(some))
 
 
 def fingerprint_pairs(sets: DataFrame, most: int = 2) -> DataFrame:

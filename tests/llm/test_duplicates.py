@@ -187,6 +187,21 @@ def test_blocks_of_a_crowd_meet(spark):
     assert got == {(a, b) for a in range(30) for b in range(a)}
 
 
+@pytest.mark.parametrize("rows, at_once", [(4, 3), (4096, 100_000)])
+def test_cells_give_each_pair_once(monkeypatch, rows, at_once):
+    monkeypatch.setattr(simhash, "CELL_ROWS", rows)
+    monkeypatch.setattr(simhash, "CELL_PAIRS", at_once)
+    names = [(1, 0, 0, 0)] * 3 + [(1, 0, 1, 0)] * 2 + [(1, 0, 1, 1)] * 3 + [(2, 0, 0, 0)] + [(3, 0, 0, 0)] * 5
+    table = pa.table([pa.array(c) for c in zip(*names, strict=True)] + [pa.array(range(len(names)))], ["sig", "i", "j", "own", "key"])
+    got = []
+    for part, cells in simhash._cells(table.to_batches(max_chunksize=3)):
+        i, j, own, key = (part.column(c).to_numpy() for c in ("i", "j", "own", "key"))
+        for left, right in simhash._pairs_of(cells, i, j, own):
+            got += zip(key[left].tolist(), key[right].tolist(), strict=True)
+    pairs = lambda a, b: [(x, y) for x in range(a, b) for y in range(x + 1, b)]
+    assert sorted(got) == sorted(pairs(0, 3) + [(x, y) for x in (3, 4) for y in (5, 6, 7)] + pairs(9, 14))
+
+
 def test_pairs_below_the_similarity_stay_apart(spark):
     texts = []
     for k in range(80):
@@ -345,22 +360,37 @@ def _templates_by_text(raw):
 
 
 def test_sketches_are_compared_as_sets():
-    rng = np.random.default_rng(8)
+    rng, most, common = np.random.default_rng(8), line_dedup.SKETCH, line_dedup.COMMON
     rows = []
     for _ in range(400):
-        pool = rng.integers(0, 1 << 63, 24, np.uint64)
-        a, b = (np.unique(rng.choice(pool, rng.integers(0, 17), replace=False))[:16] for _ in range(2))
+        pool = rng.integers(0, 1 << 31, 96, np.uint64).astype(np.uint32)
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, most + 1), replace=False))[:most] for _ in range(2))
         sizes = rng.integers(0, 40, 4).astype(np.uint64)
         rows.append((sizes[:2].tobytes() + a.tobytes(), sizes[2:].tobytes() + b.tobytes(), a, b, sizes.astype(int)))
     left, right = (pa.array([b""] * 3 + [r[k] for r in rows], pa.binary()).slice(3) for k in (0, 1))
     want = []
     for _, _, a, b, (inside, rest, other, more) in rows:
-        least = sorted({*a.tolist(), *b.tolist()})[:16]
+        least = sorted({*a.tolist(), *b.tolist()})[:most]
         both = len([x for x in least if x in a and x in b])
-        want.append(5 * min(inside, other) >= 4 * (max(inside, other) + rest + more) or 16 * both >= 5 * len(least))
+        want.append(5 * min(inside, other) >= 4 * (max(inside, other) + rest + more) or most * both >= common * len(least))
     assert line_dedup.alike(left, right).tolist() == want
 
 
+def test_a_large_crowd_of_near_copies_keeps_its_lines(spark):
+    """Of thousands of copies with a few words changed each, none looks like another document by chance."""
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    base = [list(rng.choice(words, 21)) for _ in range(6)]
+    rows = []
+    for _ in range(3000):
+        lines = [list(x) for x in base]
+        for _ in range(6):
+            lines[rng.integers(6)][rng.integers(21)] = words[rng.integers(3000)]
+        rows.append("\n".join(" ".join(x) for x in lines))
+    got = line_dedup.drop_recurring(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert got.where("n_dropped > 0").count() == 0
+
+
 def test_short_lines_and_word_fields_recur_with_more_holders(spark):
     rng = np.random.default_rng(12)
     word = lambda n=6: "".join(rng.choice(list("abcdefghij"), n))
