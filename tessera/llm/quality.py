@@ -33,7 +33,7 @@ SMOOTHING = 1.0
 CHUNK, SHRINK = 50, 5.0
 #: Divides the log weights before the noise is added: 1 draws in proportion to the weights.
 TEMPERATURE = 1.0
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 

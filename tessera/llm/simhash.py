@@ -550,11 +550,11 @@ def _pairs_of(cells: np.ndarray, i: np.ndarray, j: np.ndarray, own: np.ndarray):
 
 
 def fingerprint_pairs(sets: DataFrame, most: int = 2) -> DataFrame:
-    """(u, v) pairs of keys whose SimHashes are within ``most`` bits, by ``links``: of the sets of a fingerprint each with the least key."""
+    """(u, v) pairs of keys whose SimHashes are within ``most`` bits: of the sets of a fingerprint each with the least key, and of the ``links`` of a fingerprint that to the least one."""
     least = cut(sets.groupBy("fp").agg(F.min("key").alias("first")))
     same = sets.select("fp", "key").join(least, "fp").where("key != first").select(F.col("key").alias("u"), F.col("first").alias("v"))
     ends = [least.select(F.col("fp").alias(e), F.col("first").alias(f"{e}_first")) for e in ("u", "v")]
-    near = links(least.select("fp"), most).join(ends[0], "u").join(ends[1], "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    near = links(least.select("fp"), most).groupBy("u").agg(F.min("v").alias("v")).join(ends[0], "u").join(ends[1], "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
     return same.unionAll(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 

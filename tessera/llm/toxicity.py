@@ -31,7 +31,7 @@ MOST_ROWS = 2_500
 #: One in so many of them is set apart to calibrate the thresholds.
 CALIBRATED = 5
 #: Words whose answers a worker remembers.
-MOST_WORDS = 250_000
+MOST_WORDS = 125_000
 WORD = re.compile(r"\w+")
 
 
