@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the context's cleaner remove at once the shuffle files of what is checkpointed and not referred to any more."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

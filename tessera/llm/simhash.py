@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, slices, tidy
 from tessera.llm.graph import components
 
 #: A partition's value with more fingerprints than this is linked through their neighbours, not pair by pair.
@@ -570,14 +570,18 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     rest, so that a crowd of copies isn't paired off in full.
     """
     members = cut(buckets(sets, similarity))
+    tidy(sets.sparkSession)
     shared = members.where("prev is not null").groupBy("key", "prev").agg(F.count("*").alias("n"))
     near = cut(shared.groupBy("key").agg(F.max(F.struct("n", "prev")).alias("top")).select(F.col("key").alias("u"), F.col("top.prev").alias("v")))
     found = verified(near.unionAll(fingerprint_pairs(sets)).distinct(), sets, similarity)
+    del shared, near
+    tidy(sets.sparkSession)
     for best in (True, False):
         left = cut(open_pairs(members, cut(components(found)), sets, similarity, best))
         if left.isEmpty():
             break
         found = found.unionAll(verified(left, sets, similarity))
+        tidy(sets.sparkSession)
     return found
 
 
