@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, release
 
 LEADING = 2
 #: (from tokens, to tokens, blocks, blocks that vary): from half to four fifths of a line's tokens stay fixed.
@@ -51,7 +51,7 @@ CROWD, CROWDS = 100, 100_000
 #: Recurring templates handed to every worker (8 bytes each) up to this number; beyond it lines are joined to them.
 TEMPLATES_BROADCAST = 2_000_000
 #: Bytes of text taken at once; longer texts are cut between lines.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 500_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _BASE = 0x5851F42D4C957F2D
@@ -262,12 +262,13 @@ def _steps(texts: list[bytes]):
         yield np.array(numbers), Lines(parts)
 
 
-def _batches(batches, at: int = 0, rows: int = 4_096):
+def _batches(batches, at: int = 0, rows: int = 1_024):
     """(batch, texts as UTF-8, null texts empty) in runs of few rows."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             part = batch.slice(a, rows)
             yield part, [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+    release()
 
 
 def _each_once(text: np.ndarray, template: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, cut, held_out
+from tessera.llm.common import chunks, cut, held_out, release
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model counts, at most.
@@ -76,6 +76,8 @@ def raw_counts(documents: DataFrame) -> np.ndarray:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for part in chunks([len(t) for t in texts]):
                 counts += np.bincount(features.of(texts[part])[0], minlength=BUCKETS)
+        del features
+        release()
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "n"])
 
@@ -128,6 +130,8 @@ def weigh(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
                 total, n = weights_of(texts[part], shared.value, features)
                 ids = batch.column(0).slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(total), pa.array(n.astype(np.int64)), pa.array(log_weight(total, n))], ["doc_id", "ratio", "n_grams", "log_weight"])
+        del features
+        release()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ratio double, n_grams long, log_weight double")

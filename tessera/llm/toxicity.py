@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, held_out
+from tessera.llm.common import chunks, held_out, release
 
 BUCKETS = 1 << 15
 WIDTHS = (1, 2, 3)
@@ -287,5 +287,7 @@ def scores(documents: DataFrame, model: Model, text: str = "text", doc_id: str =
             for part in chunks([len(t) for t in texts]):
                 found = scorer.score(texts[part])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array(found.astype(np.float64))], ["doc_id", "score"])
+        del scorer
+        release()
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
