@@ -319,10 +319,26 @@ def shingle_set(text: str | None, width: int, known: dict) -> np.ndarray:
     return np.unique(mix(mixed))
 
 
-def parity(s: np.ndarray) -> bytes:
+def parity(s: np.ndarray, longs: int = PARITY) -> bytes:
     """Bitmap with a bit flipped by each hash: two sets' bitmaps differ in no more bits than the sets do in members."""
-    at = (mix(s * _M1) >> np.uint64(40)).astype(np.int64) % (64 * PARITY)
-    return np.packbits(np.bincount(at, minlength=64 * PARITY) & 1).tobytes()
+    at = (mix(s * _M1) >> np.uint64(40)).astype(np.int64) % (64 * longs)
+    return np.packbits(np.bincount(at, minlength=64 * longs) & 1).tobytes()
+
+
+def wide_parity(s: np.ndarray) -> bytes:
+    """A bitmap of about as many bits as the set has members, so that large sets are told apart as well as small ones."""
+    longs = PARITY
+    while 64 * longs < min(len(s), 1 << 23):
+        longs *= 2
+    return parity(s, longs)
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ; the longer is folded to the length of the other, which has the same members flip each bit."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), 0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 class Signatures:
@@ -373,30 +389,70 @@ class Signatures:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingle_sets(documents: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, key, n, fp, bits, members) for each row; key is a hash of the set, fp its SimHash, members its hashes sorted."""
+def set_key(s: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(s.tobytes()))
+
+
+def hashed_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, same, text); same is a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
+
+
+def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, same, key, n, fp, bits, wide) for each row of ``hashed_texts``; key is a hash of the set, fp its SimHash, the rest its bitmaps."""
 
     def run(batches):
         known = Words()
         for batch in slices(batches):
-            sets = [shingle_set(t, width, known) for t in batch.column(1).to_pylist()]
-            raw = [s.tobytes() for s in sets]
-            keys = pa.array([signed(xxhash.xxh64_intdigest(r)) for r in raw], pa.int64())
+            sets = [shingle_set(t, width, known) for t in batch.column(2).to_pylist()]
             fps = pa.array([signed(majority(s)) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), fps, pa.array(map(parity, sets), pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "key", "n", "fp", "bits", "members"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), fps, pa.array(map(parity, sets), pa.binary()), pa.array(map(wide_parity, sets), pa.binary())],
+                ["doc_id", "same", "key", "n", "fp", "bits", "wide"],
+            )
+
+    return texts.mapInArrow(run, "doc_id long, same long, key long, n int, fp long, bits binary, wide binary")
+
+
+class Texts:
+    """The texts of a table's sets, read again where they are wanted: neither they nor their sets are stored beside the table.
+
+    ``sets`` has (key, same, doc_id) of one row for each set, ``again`` those of
+    the sets that several rows have, ``copies`` the hashes (same) of all rows of
+    these. The table must give the same rows each time it is read.
+    """
+
+    def __init__(self, texts: DataFrame, sets: DataFrame, again: DataFrame, copies: DataFrame, width: int):
+        self.texts, self.sets, self.again, self.copies, self.width = texts, sets, again, copies, width
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, n int, fp long, bits binary, members binary")
+    def _first(self, rows: DataFrame) -> DataFrame:
+        """(key, text), one for each of ``rows`` (key, same, doc_id)."""
+        rows = cut(rows.select("key", F.col("same").alias("_same"), F.col("doc_id").alias("_doc")))
+        rows = F.broadcast(rows) if rows.count() <= KEYS_BROADCAST else rows
+        found = self.texts.join(rows, (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+        return found.groupBy("key").agg(F.first("text").alias("text"))
 
+    def of(self, keys: DataFrame) -> DataFrame:
+        """(key, text) of ``keys`` (key, each once)."""
+        return self._first(_having(self.sets.select("key", "same", "doc_id"), keys))
 
-def buckets(sets: DataFrame, similarity: float) -> DataFrame:
+    def all(self) -> DataFrame:
+        """(text), one for each set."""
+        copies = F.broadcast(self.copies) if self.copies.count() <= KEYS_BROADCAST else self.copies
+        alone = self.texts.join(copies, "same", "left_anti")
+        return alone.select("text").unionAll(self._first(self.again).select("text"))
+
+
+def buckets(texts: DataFrame, similarity: float, width: int = 5) -> DataFrame:
     """(sig, key, prev, size) of the signatures that several keys have; prev is the key before it in the bucket."""
 
     def spread(batches):
-        signatures = Signatures(similarity)
+        signatures, known = Signatures(similarity), Words()
         for batch in slices(batches):
-            found = [signatures.of(np.frombuffer(m, np.uint64)) for m in batch.column(1).to_pylist()]
-            keys = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            sets = [shingle_set(t, width, known) for t in batch.column(0).to_pylist()]
+            found = list(map(signatures.of, sets))
+            keys = np.repeat(np.fromiter(map(set_key, sets), np.int64, len(sets)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys)], ["sig", "key"])
 
     def sweep(batches):
@@ -419,7 +475,7 @@ def buckets(sets: DataFrame, similarity: float) -> DataFrame:
             some = size > 1
             yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(key[some]), pa.array(prev[some], mask=first[some]), pa.array(size[some])], ["sig", "key", "prev", "size"])
 
-    rows = sets.select("key", "members").mapInArrow(spread, "sig long, key long")
+    rows = texts.select("text").mapInArrow(spread, "sig long, key long")
     return rows.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(sweep, "sig long, key long, prev long, size long")
 
 
@@ -444,17 +500,34 @@ def _having(rows: DataFrame, keys: DataFrame, most_broadcast: int = KEYS_BROADCA
     return rows.mapInArrow(run, rows.schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (u, v) of ``pairs`` whose sets have Jaccard similarity ``similarity`` or more."""
+def not_told_apart(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` whose wide bitmaps don't rule the similarity out."""
 
     def run(batches):
-        alike = Signatures(similarity).alike
+        most = Signatures(similarity).most
         for batch in slices(batches):
-            a, b = ([np.frombuffer(m, np.uint64) for m in batch.column(c).to_pylist()] for c in (2, 3))
-            yield batch.select(["u", "v"]).filter(pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 4))
+            apart = np.fromiter(map(bits_apart, batch.column(3).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            yield batch.select(["u", "v"]).filter(pa.array(apart <= most(n + m)))
 
     keys = cut(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
-    members = _having(sets.select("key", "members"), keys)
+    maps = _having(sets.select("key", "n", "wide"), keys)
+    left, right = maps.toDF("u", "n", "a"), maps.toDF("v", "m", "b")
+    return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "n", "a", "m", "b").mapInArrow(run, "u long, v long"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: Texts, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` whose sets have Jaccard similarity ``similarity`` or more."""
+    width = texts.width
+
+    def run(batches):
+        alike, known = Signatures(similarity).alike, Words()
+        for batch in slices(batches, 64):
+            a, b = ([shingle_set(t, width, known) for t in batch.column(c).to_pylist()] for c in (2, 3))
+            yield batch.select(["u", "v"]).filter(pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    pairs = not_told_apart(pairs, sets, similarity)
+    members = texts.of(cut(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()))
     left, right = members.toDF("u", "a"), members.toDF("v", "b")
     return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
@@ -558,7 +631,7 @@ def fingerprint_pairs(sets: DataFrame, most: int = 2) -> DataFrame:
     return same.unionAll(near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+def similar_links(sets: DataFrame, texts: Texts, similarity: float) -> DataFrame:
     """(u, v) edges, each verified, whose components are those of all pairs (key) of Jaccard similarity ``similarity`` or more.
 
     Sets whose SimHashes are near are held against each other first, found by
@@ -569,18 +642,19 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     sets themselves, and are still apart are compared, the closest before the
     rest, so that a crowd of copies isn't paired off in full.
     """
-    members = cut(buckets(sets, similarity))
+    members = cut(buckets(texts.all(), similarity, texts.width))
     tidy(sets.sparkSession)
     shared = members.where("prev is not null").groupBy("key", "prev").agg(F.count("*").alias("n"))
     near = cut(shared.groupBy("key").agg(F.max(F.struct("n", "prev")).alias("top")).select(F.col("key").alias("u"), F.col("top.prev").alias("v")))
-    found = verified(near.unionAll(fingerprint_pairs(sets)).distinct(), sets, similarity)
+    found = verified(near.unionAll(fingerprint_pairs(sets)).distinct(), sets, texts, similarity)
     del shared, near
     tidy(sets.sparkSession)
     for best in (True, False):
         left = cut(open_pairs(members, cut(components(found)), sets, similarity, best))
         if left.isEmpty():
             break
-        found = found.unionAll(verified(left, sets, similarity))
+        tidy(sets.sparkSession)
+        found = found.unionAll(verified(left, sets, texts, similarity))
         tidy(sets.sparkSession)
     return found
 
@@ -592,10 +666,14 @@ def text_near_duplicates(documents: DataFrame, width: int = 5, similarity: float
     ``width``-word shingles is ``similarity`` or more: candidates come from
     signatures that such texts are bound to share, and each link is verified on
     the sets. Texts without words are alike. Nulls, repeated rows and empty
-    tables are treated as in ``near_duplicates``.
+    tables are treated as in ``near_duplicates``. ``documents`` is read several
+    times, so that no set has to be stored, and must give the same rows each time.
     """
-    rows = cut(shingle_sets(documents, width).withColumn("row", F.monotonically_increasing_id()))
+    texts = hashed_texts(documents)
+    rows = cut(shingle_sets(texts, width).withColumn("row", F.monotonically_increasing_id()))
     again = cut(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("row").alias("first")).where("copies > 1").select("key", "first"))
-    again = F.broadcast(again) if again.count() <= KEYS_BROADCAST else again
-    sets = rows.join(again, "key", "left").where("first is null or row = first").select("key", "n", "fp", "bits", "members")
-    return component_ids(rows.select("doc_id", "key"), similar_links(sets, similarity), "key").select("doc_id", "component_id")
+    several = F.broadcast(again) if again.count() <= KEYS_BROADCAST else again
+    sets = rows.join(several, "key", "left").where("first is null or row = first").select("key", "same", "doc_id", "n", "fp", "bits", "wide")
+    copied = cut(rows.join(several, "key").select("key", "same", "doc_id", (F.col("row") == F.col("first")).alias("leads")))
+    source = Texts(texts, sets, copied.where("leads").drop("leads"), cut(copied.select("same").distinct()), width)
+    return component_ids(rows.select("doc_id", "key"), similar_links(sets, source, similarity), "key").select("doc_id", "component_id")

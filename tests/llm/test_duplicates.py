@@ -221,6 +221,36 @@ def test_a_table_is_grouped_as_by_all_pairs(spark):
     assert grouped(spark, texts) == plain_groups(texts)
 
 
+def test_wide_bitmaps_bound_the_difference_and_tell_large_sets_apart():
+    rng = np.random.default_rng(15)
+    for n, m in [(30, 30), (1000, 1100), (1000, 1250), (4000, 4100), (16_000, 17_000), (60_000, 70_000)]:
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(0, 1 << 63, m - int(share * n)).astype(np.uint64)]))
+            differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+            apart = simhash.bits_apart(simhash.wide_parity(a), simhash.wide_parity(b))
+            assert apart <= differ and apart == simhash.bits_apart(simhash.wide_parity(b), simhash.wide_parity(a))
+            if share <= 0.5 and n >= 1000:
+                assert apart > simhash.Signatures(0.8).most(len(a) + len(b))
+
+
+def test_sets_are_not_stored(spark, tmp_path):
+    """What is checkpointed takes far less than the sets' 8 bytes a shingle; copies, in the same letters or not, are grouped all the same."""
+    rng = np.random.default_rng(16)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 1 << 30, 3000)) for _ in range(60)]
+    texts += [texts[3], texts[3].upper(), texts[7].replace(" ", "  "), texts[9][: 9 * len(texts[9]) // 10]] + ["", " "]
+    want = [*range(60), 3, 3, 7, 9, 64, 64]
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        got = grouped(spark, texts)
+    finally:
+        if before.isDefined():
+            spark.sparkContext._jsc.sc().setCheckpointDir(before.get().rsplit("/", 1)[0])
+    assert got == want
+    assert 0 < sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 60 * 3000 * 8 / 2
+
+
 def test_near_fingerprints_of_sets_are_candidates(spark):
     """Sets of one fingerprint, and of fingerprints within two bits, are paired up; a wrong pair does no harm, as links are verified."""
     sets = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 3 << 40), (5, -1)], "key long, fp long")
