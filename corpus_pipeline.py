@@ -9,13 +9,14 @@ all rows of a rejected id go, and rows without an id stay.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, packing, quality, simhash, toxicity
-from tessera.llm.common import read_table, remove, without
+from tessera.llm.common import read_table, remove, tidy, without
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,19 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def fresh(stage):
+    """``stage``, before which executors give back the memory that earlier stages took."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("line_dedup", without_boilerplate), ("near_dedup", one_of_each), ("packing", packed)]
+STAGES = [(name, fresh(stage)) for name, stage in STAGES]
 
 #: Classifiers, hashes and merge rounds: the stages are tested one by one against brute force.
 ORACLE_SQL = None

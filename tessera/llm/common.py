@@ -44,9 +44,16 @@ def release() -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets the context's cleaner remove at once the shuffle files of what is checkpointed and not referred to any more."""
+    """Lets the context's cleaner remove at once the shuffle files of what is checkpointed and not referred to any more.
+
+    Executors then collect theirs too, which gives the heap that earlier work has
+    made large back to the machine: two short tasks for each core, so that every
+    executor is likely to get one. Nothing depends on it.
+    """
     gc.collect()
     spark._jvm.java.lang.System.gc()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc")).alias("gc")).write.format("noop").mode("overwrite").save()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.bpe import BYTE_LEVEL, CACHE_WORDS, PieceTable, byte_letters, parts, vocabulary
-from tessera.llm.common import cut
+from tessera.llm.common import cut, release
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length and salt meet in one task: about so many.
@@ -129,6 +129,7 @@ def token_pieces(documents: DataFrame, path: str, cap: int = 1024, end_id: int =
                     rows += [(doc, k, a, b - a, zlib.crc32(packed[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
 

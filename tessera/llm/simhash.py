@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices, tidy
+from tessera.llm.common import cut, release, slices, tidy
 from tessera.llm.graph import components
 
 #: A partition's value with more fingerprints than this is linked through their neighbours, not pair by pair.
@@ -411,6 +411,8 @@ def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), fps, pa.array(map(parity, sets), pa.binary()), pa.array(map(wide_parity, sets), pa.binary())],
                 ["doc_id", "same", "key", "n", "fp", "bits", "wide"],
             )
+        del known
+        release()
 
     return texts.mapInArrow(run, "doc_id long, same long, key long, n int, fp long, bits binary, wide binary")
 
@@ -454,6 +456,8 @@ def buckets(texts: DataFrame, similarity: float, width: int = 5) -> DataFrame:
             found = list(map(signatures.of, sets))
             keys = np.repeat(np.fromiter(map(set_key, sets), np.int64, len(sets)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys)], ["sig", "key"])
+        del known
+        release()
 
     def sweep(batches):
         last = np.zeros((2, 0), np.int64)  # rows of the bucket that the next batch may go on with
@@ -474,6 +478,7 @@ def buckets(texts: DataFrame, similarity: float, width: int = 5) -> DataFrame:
             size = np.repeat(size, size)
             some = size > 1
             yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(key[some]), pa.array(prev[some], mask=first[some]), pa.array(size[some])], ["sig", "key", "prev", "size"])
+        release()
 
     rows = texts.select("text").mapInArrow(spread, "sig long, key long")
     return rows.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(sweep, "sig long, key long, prev long, size long")
@@ -525,6 +530,8 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: Texts, similarity: float)
         for batch in slices(batches, 64):
             a, b = ([shingle_set(t, width, known) for t in batch.column(c).to_pylist()] for c in (2, 3))
             yield batch.select(["u", "v"]).filter(pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
+        del known
+        release()
 
     pairs = not_told_apart(pairs, sets, similarity)
     members = texts.of(cut(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()))
@@ -568,6 +575,7 @@ def open_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity
                     first = np.concatenate(([True], (u[order][1:] != u[order][:-1]) | (cells[left][order][1:] != cells[left][order][:-1])))
                     u, v = u[order[first]], v[order[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        release()
 
     cells = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     return cells.mapInArrow(compare, "u long, v long").distinct()

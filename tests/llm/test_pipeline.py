@@ -58,6 +58,18 @@ def test_run_is_the_last_stages_rows(spark):
     assert corpus_pipeline.run(spark, SMALL).where("length > 1024").isEmpty()
 
 
+def test_stages_begin_with_memory_given_back(spark, empty):
+    """Every executor is asked to collect its garbage before a stage takes memory of its own."""
+    context = spark.sparkContext
+    for name, stage in corpus_pipeline.STAGES:
+        context.setJobGroup(f"stage-{name}", name)
+        stage(spark, empty, SMALL)
+        first = min(context.statusTracker().getJobIdsForGroup(f"stage-{name}"))
+        info = context.statusTracker().getStageInfo(context.statusTracker().getJobInfo(first).stageIds[0])
+        assert info.numTasks == 2 * context.defaultParallelism
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_operators_import_nothing_back():
     import ast
     from pathlib import Path
