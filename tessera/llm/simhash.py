@@ -654,7 +654,7 @@ def similar_links(sets: DataFrame, texts: Texts, similarity: float) -> DataFrame
     tidy(sets.sparkSession)
     shared = members.where("prev is not null").groupBy("key", "prev").agg(F.count("*").alias("n"))
     near = cut(shared.groupBy("key").agg(F.max(F.struct("n", "prev")).alias("top")).select(F.col("key").alias("u"), F.col("top.prev").alias("v")))
-    found = verified(near.unionAll(fingerprint_pairs(sets)).distinct(), sets, texts, similarity)
+    found = verified(cut(near.unionAll(fingerprint_pairs(sets)).distinct()), sets, texts, similarity)
     del shared, near
     tidy(sets.sparkSession)
     for best in (True, False):

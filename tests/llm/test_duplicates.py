@@ -265,6 +265,63 @@ def test_components_of_long_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def tasks_of(spark, name, run):
+    """Tasks of the jobs that ``run`` starts, those skipped left out, and what it returns."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i), out
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles in 40 partitions whatever their size."""
+    put = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_few_edges_take_few_tasks_in_many_partitions(spark, many_partitions):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+    tasks, rows = tasks_of(spark, "few edges", lambda: graph.components(edges).collect())
+    assert {(r.node, r.root) for r in rows} == {(i, 0) for i in range(301)}
+    assert tasks < 5 * 40
+
+
+def test_near_duplicates_of_a_small_table_take_few_tasks_in_many_partitions(spark, many_partitions):
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 900, 80)] for _ in range(3)]
+    texts = [" ".join([*b[:k], f"x{k}", *b[k + 1 :]]) for b in base for k in range(0, 80, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tasks, rows = tasks_of(spark, "small table", lambda: simhash.text_near_duplicates(docs).collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [(a, b) for a in range(24) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert [r.component_id for r in sorted(rows)] == groups(24, alike)
+    assert tasks < 4_500
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edges_are_joined_up_alike_on_the_driver_and_in_rounds(spark, seed):
+    rng = np.random.default_rng(seed)
+    drawn = rng.integers(0, 150, (110, 2)).tolist()
+    edges = spark.createDataFrame([(a - 75, b - 75) for a, b in drawn] + [(None, 3), (4, None), (9, 9)], "u long, v long")
+    expected = {(a - 75, r - 75) for a, r in enumerate(groups(150, drawn)) if any(a in e and e[0] != e[1] for e in drawn)}
+    for most in (None, 0):
+        rows = graph.components(edges, most).collect()
+        assert {(r.node, r.root) for r in rows} == expected and len(rows) == len(expected)
+
+
 def test_digests_fold_and_tell_apart(spark, odd, empty):
     assert fingerprints.canonical("  Straße ＡＢＣ\n") == fingerprints.canonical("STRASSE abc")
     rows = {r.doc_id: r for r in fingerprints.fingerprints(odd).collect()}
