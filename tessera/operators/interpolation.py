@@ -225,23 +225,44 @@ def empirical_variogram(samples: DataFrame, n_lags: int = 15, max_dist: float |
 
     ``other`` makes it the cross-variogram with another column.
     """
-    names = [value] + ([other] if other else [])
-    s = samples.select("id", "x", "y", *names)
+    s = samples.select("id", "x", "y", F.col(value).cast("double").alias("_a"), F.col(other or value).cast("double").alias("_b"))
     if max_dist is None:
-        x0, y0, x1, y1 = s.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-        del x0, y0, x1, y1
-        max_dist = pairs.every(s, s).agg(F.max("d")).first()[0] / 2
-    found = pairs.within(s, s, max_dist).where("i < j")
-    end = lambda n: s.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in names))
-    both = found.join(end("i"), "i").join(end("j"), "j")
+        max_dist = largest_distance(s) / 2
     step = max_dist / n_lags
-    last = names[-1]
-    product = (F.col(f"{value}_i") - F.col(f"{value}_j")) * (F.col(f"{last}_i") - F.col(f"{last}_j"))
-    bin_of = F.least(F.floor(F.col("d") / step), F.lit(n_lags - 1)).cast("int")
-    out = both.groupBy(bin_of.alias("bin")).agg(F.avg("d").alias("lag"), (0.5 * F.avg(product)).alias("gamma"), F.count("*").alias("n_pairs"))
+    # Pairs with a missing value count, but have no part in the mean.
+    whole = s.select(F.coalesce("_a", F.lit(0.0)).alias("_a"), F.coalesce("_b", F.lit(0.0)).alias("_b"), "id", "x", "y", (F.col("_a").isNotNull() & F.col("_b").isNotNull()).cast("double").alias("_ok"))
+    gaps = not s.where("_a is null or _b is null").isEmpty()
+    columns = (("_a", "_b") if other else ("_a",)) + (("_ok",) if gaps else ())
+
+    def terms(v):
+        out = v.left("_a") - v.right("_a")
+        out = out * (v.left("_b") - v.right("_b") if other else out)
+        known = v.left("_ok") * v.right("_ok") if gaps else None
+        return (v.d, out * known, known) if gaps else (v.d, out)
+
+    bin_of = lambda v: np.minimum(np.floor(v.d / step), n_lags - 1)
+    names = ["d", "p"] + (["m"] if gaps else [])
+    out = pairs.tallied(whole, whole, max_dist, bin_of, terms, n_lags, names, columns, columns, half=True)
+    m = F.when(F.col("m") > 0, F.col("m")) if gaps else F.col("n")
+    out = out.select("bin", (F.col("d") / F.col("n")).alias("lag"), (0.5 * F.col("p") / m).alias("gamma"), F.col("n").alias("n_pairs"))
     return out.where(F.col("n_pairs") >= min_pairs)
 
 
+def largest_distance(points: DataFrame) -> float:
+    """Between any two rows: it is one of the corners of their hull, of which each task sends its own."""
+    from tessera.functions.planar import convex_hull
+
+    def run(batches):
+        left = np.zeros((0, 2))
+        for pdf in batches:
+            xy = pdf[["x", "y"]].to_numpy(float)
+            left = convex_hull(np.vstack([left, xy[np.isfinite(xy).all(1)]]))
+        yield pd.DataFrame(left, columns=["x", "y"])
+
+    corners = convex_hull(points.select("x", "y").mapInPandas(run, "x double, y double").toPandas().to_numpy(float))
+    return max((float(np.sqrt(((corners - c) ** 2).sum(1)).max()) for c in corners), default=0.0)
+
+
 def indicator(value: Column, threshold: float, at_least: bool = True) -> Column:
     return F.when(value >= threshold if at_least else value <= threshold, 1.0).otherwise(0.0)
 
