@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import special
-from tessera.functions.distance import space_time
 from tessera.functions.kernels import COMPACT, kernel
 from tessera.plans import pairs
 
@@ -33,20 +32,22 @@ def pair_weights(points: DataFrame, bandwidth: float, fixed: bool = False, name:
         w = f(F.col("d"), F.lit(float(bandwidth)))
         return found.select("i", "j", "d", w.alias("w")).where("w > 0")
     k = int(bandwidth) + 1  # the row itself is the nearest
-    near = pairs.nearest(targets, points, k, same=False)
-    far = near.groupBy("i").agg(F.max("d").alias("h")).withColumn("h", F.when(F.col("h") > 0, F.col("h")).otherwise(1.0))
-    found = near if name in COMPACT else pairs.every(targets, points, same=False)
-    return found.join(far, "i").select("i", "j", "d", f(F.col("d"), F.col("h")).alias("w")).where("w > 0")
+    near = pairs.nearest(targets, points, k, same=False, ranks=(k,))
+    h = F.when(F.col(f"h{k}") > 0, F.col(f"h{k}")).otherwise(1.0)
+    if name in COMPACT:
+        return near.select("i", "j", "d", f(F.col("d"), h).alias("w")).where("w > 0")
+    far = near.where("rank = 1").select("i", h.alias("h"))
+    return pairs.every(targets, points, same=False).join(far, "i").select("i", "j", "d", f(F.col("d"), F.col("h")).alias("w")).where("w > 0")
 
 
 def _sums(weights: DataFrame, rows: DataFrame, X: list[str], y: str | None, constant: bool = True) -> tuple[DataFrame, int]:
-    """By focal row: sw, the upper triangle of X'WX, X'Wy and y'Wy."""
+    """By focal row: sw, its own weight wii, the upper triangle of X'WX, X'Wy and y'Wy."""
     terms = ([F.lit(1.0)] if constant else []) + [F.col(c).cast("double") for c in X]
     p = len(terms)
     right = rows.select(F.col("id").alias("j"), *(t.alias(f"t{a}") for a, t in enumerate(terms)), *([F.col(y).cast("double").alias("yy")] if y else []))
     joined = weights.join(right, "j")
     w, t = F.col("w"), [F.col(f"t{a}") for a in range(p)]
-    aggs = [F.sum(w).alias("sw")] + [F.sum(w * t[a] * t[b]).alias(f"a{a}_{b}") for a in range(p) for b in range(a, p)]
+    aggs = [F.sum(w).alias("sw"), F.sum(F.when(F.col("i") == F.col("j"), w)).alias("wii")] + [F.sum(w * t[a] * t[b]).alias(f"a{a}_{b}") for a in range(p) for b in range(a, p)]
     if y:
         aggs += [F.sum(w * t[a] * F.col("yy")).alias(f"b{a}") for a in range(p)] + [F.sum(w * F.col("yy") * F.col("yy")).alias("c")]
     return joined.groupBy("i").agg(*aggs), p
@@ -72,9 +73,7 @@ def gwr(rows: DataFrame, y: str, X: list[str], bandwidth: float, fixed: bool = F
     weights = weights if weights is not None else pair_weights(rows, bandwidth, fixed, name)
     sums, p = _sums(weights, rows, X, y)
     own = rows.select(F.col("id").alias("i"), F.array(F.lit(1.0), *(F.col(c).cast("double") for c in X)).alias("xi"), F.col(y).cast("double").alias("yi"))
-    at_self = weights.where("i = j").select("i", F.col("w").alias("wii"))
-    mean = weights.join(rows.select(F.col("id").alias("j"), F.col(y).cast("double").alias("_y")), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("_y")).alias("wy"))
-    joined = sums.join(own, "i").join(at_self, "i", "left").join(mean, "i")
+    joined = sums.join(own, "i")
 
     def solve(batches):
         for pdf in batches:
@@ -88,7 +87,7 @@ def gwr(rows: DataFrame, y: str, X: list[str], bandwidth: float, fixed: bool = F
             x = np.stack(pdf["xi"].to_numpy())
             fitted = (x * beta).sum(1)
             hat = np.einsum("na,nab,nb->n", x, inv, x) * pdf["wii"].fillna(0).to_numpy(float)
-            sst = c - pdf["wy"].to_numpy(float) ** 2 / sw
+            sst = c - b[:, 0] ** 2 / sw
             yield pd.DataFrame({"id": pdf["i"], "beta": list(beta), "se": list(se), "t": list(beta / np.where(se > 0, se, np.nan)), "fitted": fitted, "residual": pdf["yi"].to_numpy(float) - fitted, "hat": hat, "sigma2": s2, "local_r2": np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), 0.0)})
 
     return joined.mapInPandas(solve, "id long, beta array<double>, se array<double>, t array<double>, fitted double, residual double, hat double, sigma2 double, local_r2 double")
@@ -109,29 +108,43 @@ def bic(rss: Column, n: Column, k: Column) -> Column:
 CRITERIA = {"AICc": aicc, "AIC": aic, "BIC": bic}
 
 
-def gwr_scores(rows: DataFrame, y: str, x: str, candidates: list[int], name: str = "bisquare", criterion: str = "AICc") -> DataFrame:
-    """(bandwidth, rss, trace, score) of one-covariate models for every adaptive bandwidth at once.
+def _candidates(rows: DataFrame, columns: dict[str, str], candidates: list[int], name: str) -> DataFrame:
+    """(bandwidth, i, j, w, columns of j): every candidate takes its share of the widest bandwidth's neighbours, found once."""
+    values = rows.select("id", "x", "y", *(F.col(c).cast("double").alias(f"_{n}") for n, c in columns.items()))
+    near = pairs.nearest(values, values, max(candidates) + 1, same=False, columns=tuple(f"_{n}" for n in columns), ranks=tuple(c + 1 for c in candidates))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("b"), F.col(f"h{c + 1}").alias("h")) for c in candidates))).alias("c")
+    named = (F.col(f"_{n}").alias(n) for n in columns)
+    joined = near.select("i", "j", "d", "rank", *named, each).where(F.col("rank") <= F.col("c.b") + 1)
+    w = kernel(name)(F.col("d"), F.when(F.col("c.h") > 0, F.col("c.h")).otherwise(1.0))
+    return joined.select(F.col("c.b").alias("bandwidth"), "i", "j", *columns, w.alias("w")).where("w > 0")
+
+
+def gwr_fits(rows: DataFrame, y: str, x: str, candidates: list[int], name: str = "bisquare") -> DataFrame:
+    """(bandwidth, rss, trace, n, cv) of one-covariate models for every adaptive bandwidth at once.
 
-    The candidates are rows: the neighbours of the widest bandwidth are found
-    once, each candidate takes its share of them, and the closed form of two
-    coefficients keeps every step in Columns.
+    The candidates are rows, and the closed form of two coefficients keeps every
+    step in Columns. A row's neighbours come together, so they are summed before
+    anything is shuffled.
     """
-    widest = max(candidates)
-    near = pairs.nearest(rows, rows, widest + 1, same=False)
-    h = near.where(F.col("rank").isin([c + 1 for c in candidates])).select("i", (F.col("rank") - 1).alias("bandwidth"), F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("h"))
-    joined = near.join(h, "i").where(F.col("rank") <= F.col("bandwidth") + 1).withColumn("w", kernel(name)(F.col("d"), F.col("h")))
-    right = rows.select(F.col("id").alias("j"), F.col(x).cast("double").alias("xj"), F.col(y).cast("double").alias("yj"))
     w, xj, yj = F.col("w"), F.col("xj"), F.col("yj")
-    s = joined.where("w > 0").join(right, "j").groupBy("bandwidth", "i").agg(F.sum(w).alias("s"), F.sum(w * xj).alias("sx"), F.sum(w * xj * xj).alias("sxx"), F.sum(w * yj).alias("sy"), F.sum(w * xj * yj).alias("sxy"), F.sum(F.when(F.col("i") == F.col("j"), w)).alias("wii"))
+    s = _candidates(rows, {"xj": x, "yj": y}, candidates, name).groupBy("bandwidth", "i").agg(F.sum(w).alias("s"), F.sum(w * xj).alias("sx"), F.sum(w * xj * xj).alias("sxx"), F.sum(w * yj).alias("sy"), F.sum(w * xj * yj).alias("sxy"), F.sum(F.when(F.col("i") == F.col("j"), w)).alias("wii"))
     own = rows.select(F.col("id").alias("i"), F.col(x).cast("double").alias("xi"), F.col(y).cast("double").alias("yi"))
     d = F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx")
     b1 = (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / d
     b0 = (F.col("sy") - b1 * F.col("sx")) / F.col("s")
     hat = F.col("wii") * (F.col("sxx") - 2 * F.col("xi") * F.col("sx") + F.col("xi") * F.col("xi") * F.col("s")) / d
     e = s.join(own, "i").select("bandwidth", (F.col("yi") - b0 - b1 * F.col("xi")).alias("e"), hat.alias("hat"))
-    out = e.groupBy("bandwidth").agg(F.sum(F.col("e") * F.col("e")).alias("rss"), F.sum("hat").alias("trace"), F.count("*").cast("double").alias("n"), F.avg(F.pow(F.col("e") / (1 - F.col("hat")), 2)).alias("cv"))
-    score = F.col("cv") if criterion == "CV" else CRITERIA[criterion](F.col("rss"), F.col("n"), F.col("trace"))
-    return out.withColumn("score", score).select("bandwidth", "rss", "trace", "score")
+    return e.groupBy("bandwidth").agg(F.sum(F.col("e") * F.col("e")).alias("rss"), F.sum("hat").alias("trace"), F.count("*").cast("double").alias("n"), F.avg(F.pow(F.col("e") / (1 - F.col("hat")), 2)).alias("cv"))
+
+
+def fit_score(criterion: str) -> Column:
+    """A criterion of ``gwr_fits``."""
+    return F.col("cv") if criterion == "CV" else CRITERIA[criterion](F.col("rss"), F.col("n"), F.col("trace"))
+
+
+def gwr_scores(rows: DataFrame, y: str, x: str, candidates: list[int], name: str = "bisquare", criterion: str = "AICc") -> DataFrame:
+    """(bandwidth, rss, trace, score) of one-covariate models for every adaptive bandwidth at once."""
+    return gwr_fits(rows, y, x, candidates, name).select("bandwidth", "rss", "trace", fit_score(criterion).alias("score"))
 
 
 def select_bandwidth(rows: DataFrame, y: str, X: list[str], fixed: bool = False, name: str = "bisquare", criterion: str = "AICc", low: float | None = None, high: float | None = None, tries: int = 20) -> float:
@@ -175,10 +188,13 @@ def predict(fitted: DataFrame, rows: DataFrame, targets: DataFrame, X: list[str]
 def significance(fitted: DataFrame, n: int, alpha: float = 0.05, correction: str = "bh") -> DataFrame:
     """(id, coefficient, t, p_value, p_adjusted, reject) for each coefficient, on n minus the trace of the hat matrix."""
     from tessera.operators.esda import adjusted_p
+    from tessera.plans.graph import cut
 
+    fitted = cut(fitted.select("id", "t", "hat"))
     trace = fitted.agg(F.sum("hat").alias("_k"))
     long = fitted.select("id", F.posexplode("t").alias("coefficient", "t")).crossJoin(F.broadcast(trace))
     p = long.withColumn("p_value", special.as_column(special.t_two_sided, F.col("t"), n - F.col("_k"))).drop("_k")
+    p = cut(p)
     m = fitted.select(F.size("t")).first()[0]
     each = [adjusted_p(p.where(F.col("coefficient") == c), "p_value", "fdr" if correction == "bh" else "none", alpha) for c in range(m)]
     out = each[0]
@@ -218,17 +234,11 @@ def gwss(rows: DataFrame, columns: list[str], bandwidth: float, fixed: bool = Fa
 
 
 def st_pair_weights(rows: DataFrame, bandwidth: int, scale: float, name: str = "bisquare") -> DataFrame:
-    """(i, j, d, w) by adaptive bandwidth on the space-time distance; ``rows`` has t and up to ``pairs.SMALL`` rows."""
-    from pyspark.sql.window import Window
-
-    if rows.limit(pairs.SMALL + 1).count() > pairs.SMALL:
-        raise ValueError(f"space-time pairs of more than {pairs.SMALL} rows")
-    end = lambda n: rows.select(F.col("id").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), F.col("t").alias(f"t{n}"))
-    d = space_time(F.col("xi"), F.col("yi"), F.col("ti"), F.col("xj"), F.col("yj"), F.col("tj"), scale)
-    found = end("i").join(F.broadcast(end("j"))).select("i", "j", d.alias("d"))
-    near = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= bandwidth + 1)
-    far = near.groupBy("i").agg(F.max("d").alias("h")).withColumn("h", F.when(F.col("h") > 0, F.col("h")).otherwise(1.0))
-    return near.join(far, "i").select("i", "j", "d", kernel(name)(F.col("d"), F.col("h")).alias("w")).where("w > 0")
+    """(i, j, d, w) by adaptive bandwidth on the space-time distance; ``rows`` has t."""
+    placed, k = rows.select("id", "x", "y", F.col("t").cast("double").alias("t")), int(bandwidth) + 1
+    near = pairs.nearest(placed, placed, k, same=False, time=float(scale), ranks=(k,))
+    h = F.when(F.col(f"h{k}") > 0, F.col(f"h{k}")).otherwise(1.0)
+    return near.select("i", "j", "d", kernel(name)(F.col("d"), h).alias("w")).where("w > 0")
 
 
 def gtwr(rows: DataFrame, y: str, X: list[str], bandwidth: int, scale: float = 1.0, name: str = "bisquare") -> DataFrame:
@@ -254,12 +264,8 @@ def select_gtwr(rows: DataFrame, y: str, X: list[str], bandwidths: list[int], sc
 
 def smooth_scores(rows: DataFrame, x: str, r: str, candidates: list[int], name: str = "bisquare") -> DataFrame:
     """(bandwidth, rss, trace, score): AICc of r on x alone, without a constant, for every adaptive bandwidth in one plan."""
-    near = pairs.nearest(rows, rows, max(candidates) + 1, same=False)
-    h = near.where(F.col("rank").isin([c + 1 for c in candidates])).select("i", (F.col("rank") - 1).alias("bandwidth"), F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("h"))
-    joined = near.join(h, "i").where(F.col("rank") <= F.col("bandwidth") + 1).withColumn("w", kernel(name)(F.col("d"), F.col("h")))
-    right = rows.select(F.col("id").alias("j"), F.col(x).cast("double").alias("xj"), F.col(r).cast("double").alias("rj"))
     w, xj, rj = F.col("w"), F.col("xj"), F.col("rj")
-    s = joined.where("w > 0").join(right, "j").groupBy("bandwidth", "i").agg(F.sum(w * xj * xj).alias("xx"), F.sum(w * xj * rj).alias("xr"), F.sum(F.when(F.col("i") == F.col("j"), w)).alias("wii"))
+    s = _candidates(rows, {"xj": x, "rj": r}, candidates, name).groupBy("bandwidth", "i").agg(F.sum(w * xj * xj).alias("xx"), F.sum(w * xj * rj).alias("xr"), F.sum(F.when(F.col("i") == F.col("j"), w)).alias("wii"))
     own = rows.select(F.col("id").alias("i"), F.col(x).cast("double").alias("xi"), F.col(r).cast("double").alias("ri"))
     some = F.when(F.col("xx") > 0, F.col("xx"))
     e = s.join(own, "i").select("bandwidth", (F.col("ri") - F.coalesce(F.col("xr") / some, F.lit(0.0)) * F.col("xi")).alias("e"), F.coalesce(F.col("wii") * F.col("xi") * F.col("xi") / some, F.lit(0.0)).alias("hat"))

@@ -604,11 +604,8 @@ GWB2 = GWB.replace("sum(hat) AS k,", "sum(hat) AS k, avg(power(e / (1 - hat), 2)
 
 @query(with_(PTS, GWB2, f"SELECT bandwidth, {R('n * ln(rss / n) + 2 * k', 'aic')}, {R('n * ln(rss / n) + k * ln(n)', 'bic')}, {R('cv', 'cv')} FROM g"))
 def gwr_criteria(spark, sf_dir):
-    m, out = model_frame(spark, sf_dir), None
-    for name in ("AIC", "BIC", "CV"):
-        one = gw.gwr_scores(m, "z", "v", [30, 60, 90], criterion=name).select("bandwidth", F.col("score").alias(name.lower()))
-        out = one if out is None else out.join(one, "bandwidth")
-    return rounded(out)
+    fits = gw.gwr_fits(model_frame(spark, sf_dir), "z", "v", [30, 60, 90])
+    return rounded(fits.select("bandwidth", *(gw.fit_score(name).alias(name.lower()) for name in ("AIC", "BIC", "CV"))))
 
 
 GWT = "ft AS (SELECT i AS id, b0 * q0 + b1 * q1 AS fitted, t.z, b1, q0, q1, d0, d1, c1_0, b0, greatest(swyy - b0 * b0 * d0 - b1 * b1 * d1, 0) / (sw - 2) AS s2 FROM t1 t JOIN bb USING (i) JOIN k1 USING (i)), tr AS (SELECT sum((q0 * q0 / d0 + q1 * q1 / d1) * w) AS k FROM ft JOIN e ON e.i = ft.id AND e.j = ft.id), lt AS (SELECT id, 0 AS coefficient, (b0 - b1 * c1_0) / sqrt(s2 * (1 / d0 + c1_0 * c1_0 / d1)) AS t FROM ft UNION ALL SELECT id, 1, b1 / sqrt(s2 / d1) FROM ft), ld AS (SELECT lt.*, (SELECT count(*) FROM pts) - k AS df FROM lt, tr), pv AS (SELECT id, coefficient, t, " + PT("t", "df") + " AS p FROM ld), raw AS (SELECT *, p * count(*) OVER (PARTITION BY coefficient) / row_number() OVER (PARTITION BY coefficient ORDER BY p, id) AS raw FROM pv), bh AS (SELECT *, least(1.0::DOUBLE, min(raw) OVER (PARTITION BY coefficient ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM raw)"
