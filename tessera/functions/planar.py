@@ -112,6 +112,110 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     return np.array([t for t in triangles if max(t) < n], int).reshape(-1, 3)
 
 
+class Mesh:
+    """A Delaunay triangulation of which single triangles are found, in a search index of distinct places (``pairs.Index``).
+
+    Corners beyond all rows close it, as in ``delaunay``. Rows on one circle are cut
+    into triangles from the one of the smallest id, whichever of them is asked.
+    """
+
+    def __init__(self, index):
+        self.index, self.n = index, index.n
+        p = np.column_stack([index.x[: self.n], index.y[: self.n]])
+        middle, span = (p.mean(0), max(np.ptp(p, axis=0).max(), 1e-9) * 1e4) if self.n else (np.zeros(2), 1.0)
+        self.p = np.vstack([p, middle + [[-span, -span], [span, -span], [0, span]]])
+        self.outer = np.arange(self.n, self.n + 3)
+
+    def left_of(self, a: int, b: int, near: np.ndarray) -> int:
+        """The third corner of the triangle left of the edge from a to b; ``near`` are rows to begin with."""
+        p, q = self.p[a], self.p[b]
+        cand, found = np.concatenate([near, self.outer]), None
+        while True:
+            u, v = self.p[cand] - p, self.p[cand] - q
+            cross = (q[0] - p[0]) * u[:, 1] - (q[1] - p[1]) * u[:, 0]
+            ok = (cross > 0) & (cand != a) & (cand != b)
+            if not ok.any():
+                return -1 if found is None else found
+            cand, height = cand[ok], (u * v).sum(1)[ok] / cross[ok]
+            found = int(cand[height.argmin()])
+            centre, r2 = self._circle(a, b, found)
+            r = np.sqrt(r2) * (1 + 1e-9)
+            inside = self.index.box(centre[0] - r, centre[0] + r, centre[1] - r, centre[1] + r)
+            inside = np.concatenate([inside, self.outer])
+            d2 = ((self.p[inside] - centre) ** 2).sum(1)
+            other = (inside != a) & (inside != b) & (inside != found)
+            better = inside[(d2 < r2 * (1 - 1e-12)) & other]
+            if not len(better):
+                break
+            u = self.p[better] - p
+            if not ((q[0] - p[0]) * u[:, 1] - (q[1] - p[1]) * u[:, 0] > 0).any():
+                break
+            cand = better
+        round_ = inside[(d2 <= r2 * (1 + 1e-12)) & other & (inside < self.n)]
+        if not len(round_) or max(a, b, found) >= self.n:
+            return found
+        ring = np.concatenate([[a, b, found], round_])
+        least = int(ring[self.index.order[ring].argmin()])
+        if least not in (a, b):
+            return least
+        rest = ring[2:]
+        angle = np.arctan2(*(self.p[rest] - centre).T[::-1]) - np.arctan2(*(p - centre)[::-1])
+        along = np.mod(angle, 2 * np.pi)
+        side = rest[(q[0] - p[0]) * (self.p[rest, 1] - p[1]) - (q[1] - p[1]) * (self.p[rest, 0] - p[0]) > 0]
+        along = along[np.isin(rest, side)]
+        return int(side[along.argmin()] if least == a else side[along.argmax()])
+
+    def _circle(self, a: int, b: int, c: int) -> tuple[np.ndarray, float]:
+        p = self.p[a]
+        (bx, by), (cx, cy) = self.p[b] - p, self.p[c] - p
+        d = 2 * (bx * cy - by * cx)
+        u = np.array([cy * (bx * bx + by * by) - by * (cx * cx + cy * cy), bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)]) / d
+        return p + u, float(u @ u)
+
+    def neighbours(self, i: int, near: np.ndarray) -> set[int]:
+        """Rows that share a triangle's edge with row i; ``near`` are its nearest rows, the nearest first."""
+        if not len(near):
+            return set()
+        out, first = set(), int(near[0])
+        j = first
+        while True:
+            k = self.left_of(i, j, near)
+            if k < 0:
+                raise ValueError(f"no triangle beside row {self.index.id[i]}")
+            if max(j, k) < self.n:
+                out |= {j, k}
+            j = k
+            if j == first:
+                return out
+            if len(out) > self.n:
+                raise ValueError(f"triangles about row {self.index.id[i]} don't close")
+
+    def triangle(self, at: np.ndarray, near: np.ndarray) -> tuple[int, int, int] | None:
+        """Corners of the triangle that holds a place, none outside the rows' hull; by a walk from the nearest row."""
+        if len(near) < 2:
+            return None
+        a = int(near[0])
+        d = ((self.p[near[1:]] - self.p[a]) ** 2).sum(1)
+        r = float(np.sqrt(d.min())) * (1 + 1e-9)
+        close = self.index.box(self.p[a, 0] - r, self.p[a, 0] + r, self.p[a, 1] - r, self.p[a, 1] + r)
+        close = close[close != a]
+        b = int(close[np.lexsort((self.index.order[close], ((self.p[close] - self.p[a]) ** 2).sum(1)))[0]])
+        side = lambda s, t: (self.p[t, 0] - self.p[s, 0]) * (at[1] - self.p[s, 1]) - (self.p[t, 1] - self.p[s, 1]) * (at[0] - self.p[s, 0])
+        if side(a, b) < 0:
+            a, b = b, a
+        for _ in range(4 * self.n + 100):
+            c = self.left_of(a, b, near)
+            if c < 0:
+                return None
+            if side(b, c) < 0:
+                a, b = c, b
+            elif side(c, a) < 0:
+                a, b = a, c
+            else:
+                return (a, b, c) if max(a, b, c) < self.n else None
+        raise ValueError("the walk to a triangle doesn't end")
+
+
 def triangle_edges(triangles: np.ndarray) -> set[tuple[int, int]]:
     return {(int(min(t[a], t[b])), int(max(t[a], t[b]))) for t in triangles for a, b in ((0, 1), (1, 2), (2, 0))}
 

@@ -119,36 +119,21 @@ def thin_plate_spline(samples: DataFrame, targets: DataFrame, smoothing: float =
 
 
 def tin(samples: DataFrame, targets: DataFrame, fill: str = "nearest") -> DataFrame:
-    """Linear on a Delaunay triangulation of up to ``pairs.SMALL`` samples, which is broadcast; outside the nearest sample or null."""
-    from tessera.functions.planar import barycentric, delaunay
-
-    s = finite(samples)
-    if s.limit(pairs.SMALL + 1).count() > pairs.SMALL:
-        raise ValueError(f"a triangulation holds up to {pairs.SMALL} samples")
-    table = s.orderBy("id").toPandas()
-    xy, z = table[["x", "y"]].to_numpy(), table["z"].to_numpy()
-    shared = s.sparkSession.sparkContext.broadcast((xy, z, delaunay(xy)))
-
-    def run(batches):
-        import pandas as pd
-
-        xy, z, triangles = shared.value
-        for pdf in batches:
-            at, out = pdf[["x", "y"]].to_numpy(), np.full(len(pdf), np.nan)
-            for t in triangles:
-                corners = xy[t]
-                box = (at >= corners.min(0) - 1e-12).all(1) & (at <= corners.max(0) + 1e-12).all(1) & np.isnan(out)
-                here = np.flatnonzero(box)
-                if len(here):
-                    share = barycentric(at[here], corners)
-                    ok = (share >= -1e-9).all(1)
-                    out[here[ok]] = share[ok] @ z[t]
-            if fill == "nearest":
-                for i in np.flatnonzero(np.isnan(out)):
-                    out[i] = z[np.hypot(*(xy - at[i]).T).argmin()]
-            yield pd.DataFrame({"id": pdf["id"], "pred": out})
-
-    out = targets.select("id", "x", "y").mapInPandas(run, "id long, pred double")
+    """Linear on the Delaunay triangle that holds a target, found by itself; outside the nearest sample or null."""
+    from tessera.functions.planar import barycentric
+
+    def run(mesh, rows, found):
+        at, out = rows[["x", "y"]].to_numpy(float), np.full(len(rows), np.nan)
+        z = mesh.index.columns["z"]
+        for i, near in found:
+            t = mesh.triangle(at[i], near)
+            if t is not None:
+                out[i] = barycentric(at[i][None], mesh.p[list(t)])[0] @ z[list(t)]
+            elif fill == "nearest":
+                out[i] = z[near[0]]
+        yield pd.DataFrame({"id": rows["id"], "pred": out})
+
+    out = pairs.meshed(targets, finite(samples), run, "id long, pred double", ("z",))
     return out.withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
 
 
