@@ -179,9 +179,10 @@ def adjusted_p(table: DataFrame, p: str = "p_value", method: str = "fdr", alpha:
     ranked = sliced.join(F.broadcast(sizes), "_slice", "left").withColumn("_rank", F.row_number().over(inner) + F.col("_before")).crossJoin(F.broadcast(n))
     ranked = ranked.withColumn("_raw", F.col(p) * F.col("_total") / F.col("_rank"))
     least = ranked.groupBy("_slice").agg(F.min("_raw").alias("_m"))
-    after = F.min("_m").over(Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing))
+    after = F.min("_m").over(Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1))
     least = least.where("_slice is not null").select("_slice", after.alias("_after"))
-    upward = F.min("_raw").over(inner.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # From above: a frame without an end is read again for each of its rows.
+    upward = F.min("_raw").over(Window.partitionBy("_slice").orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = ranked.withColumn("_own", upward).join(F.broadcast(least), "_slice", "left")
     adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_own"), F.coalesce("_after", F.lit(1.0))))
     return out.withColumn("p_adjusted", adjusted).withColumn("reject", F.col("p_adjusted") <= alpha).select(*table.columns, "p_adjusted", "reject")
